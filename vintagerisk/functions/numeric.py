@@ -1,8 +1,12 @@
-"""Null-safe arithmetic on columns.  Missing is always NULL here, never NaN."""
+"""Null-safe arithmetic, as columns and as Spark SQL text.  Missing is always NULL here, never NaN.
+
+Long formulas are written as SQL text: the plan is the same, and the driver sends one
+string instead of hundreds of small calls.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,32 +14,34 @@ def num(x: float) -> Column:
     return F.lit(float(x))
 
 
+def dbl(x: float) -> str:
+    """A double literal in SQL text (a bare 0.1 would be a decimal)."""
+    return f"{float(x)!r}D"
+
+
 def no_nan(col: Column | str) -> Column:
     """NaN orders above every number in Spark and poisons quantiles, so it becomes NULL at the source."""
     col = F.col(col) if isinstance(col, str) else col
     return F.when(~F.isnan(col), col)
 
 
-def ratio(top: Column, bottom: Column, smallest: float = 1e-6) -> Column:
+def ratio(top: str, bottom: str, smallest: float = 1e-6) -> str:
     """`top / bottom`, NULL when either is missing or the denominator is effectively zero."""
-    return F.when(F.abs(bottom) >= num(smallest), top / bottom)
+    return f"CASE WHEN abs({bottom}) >= {dbl(smallest)} THEN ({top}) / ({bottom}) END"
 
 
-def clamp(col: Column, low: Column | float, high: Column | float) -> Column:
+def clamp(col: Column, low: float, high: float) -> Column:
     """Clip that keeps NULL as NULL (`greatest`/`least` alone would skip it)."""
-    low = num(low) if isinstance(low, (int, float)) else low
-    high = num(high) if isinstance(high, (int, float)) else high
-    return F.when(col.isNotNull(), F.greatest(low, F.least(high, col)))
+    return F.when(col.isNotNull(), F.greatest(num(low), F.least(num(high), col)))
 
 
-def zero_if_null(col: Column | str) -> Column:
-    col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(col, num(0))
+def clamp_sql(value: str, low: str, high: str) -> str:
+    return f"CASE WHEN ({value}) IS NOT NULL THEN greatest({low}, least({high}, {value})) END"
 
 
-def logit(p: Column, eps: float = 1e-9) -> Column:
-    q = clamp(p, eps, 1 - eps)
-    return F.log(q / (1 - q))
+def logit_sql(p: str, eps: float = 1e-9) -> str:
+    q = clamp_sql(p, dbl(eps), dbl(1 - eps))
+    return f"ln(({q}) / (1D - ({q})))"
 
 
 def sigmoid(x: Column) -> Column:
@@ -46,3 +52,10 @@ def rounded(col: Column | str, places: int = 6) -> Column:
     """Round for output; adding zero folds -0.0 into 0.0."""
     col = F.col(col) if isinstance(col, str) else col
     return F.round(col.cast("double"), places) + num(0)
+
+
+def tidy(df: DataFrame, **places: int) -> DataFrame:
+    """Round the named columns for output, keeping the column order."""
+    return df.selectExpr(
+        *[f"round(cast(`{c}` as double), {places[c]}) + 0D AS `{c}`" if c in places else f"`{c}`" for c in df.columns]
+    )

@@ -81,32 +81,33 @@ def with_epoch(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = N
 
 def period_states(facts_with_epoch: DataFrame) -> DataFrame:
     """State of every fiscal period from each epoch that changed it until the next one."""
-    fields = P.FIELDS
-    slot = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field")).cast("int")
+    known = ", ".join(f"'{f}'" for f in P.FIELDS)
     src = facts_with_epoch if "marks" in facts_with_epoch.columns else facts_with_epoch.withColumn("marks", tag_marks(F.col("tag")))
-    src = (
-        src.withColumn("slot", slot - 1).where(F.col("slot") >= 0)
-        .withColumn("value_filed", F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.col("filed")))
-        .withColumn("marks_filed", F.when(F.col("marks").isNotNull(), F.col("filed")))
-    )
+    src = src.selectExpr(
+        "cik", "source", "period_end", "epoch", "filed", "value", "marks",
+        f"cast(array_position(array({known}), field) as int) - 1 AS slot",
+        "CASE WHEN value IS NOT NULL AND NOT isnan(value) THEN filed END AS value_filed",
+        "CASE WHEN marks IS NOT NULL THEN filed END AS marks_filed",
+    ).where("slot >= 0")
 
-    def newest(what: str, slot: int) -> Column:
-        return F.max_by(what, F.when(F.col("slot") == slot, F.col(f"{what}_filed")))
+    def newest(what: str, field: str) -> str:
+        return f"max_by({what}, CASE WHEN slot = {P.FIELDS.index(field)} THEN {what}_filed END)"
 
+    carried = P.FIELDS + [f"{f}_marks" for f in MARKED_FIELDS]
     deltas = src.groupBy("cik", "source", "period_end", "epoch").agg(
         F.max("filed").alias("filed"),
-        F.bit_or(F.expr("shiftleft(1L, slot)")).alias("present"),
-        *[newest("value", i).alias(f) for i, f in enumerate(fields)],
-        *[newest("marks", fields.index(f)).alias(f"{f}_marks") for f in MARKED_FIELDS],
+        F.expr("bit_or(shiftleft(1L, slot))").alias("present"),
+        *[F.expr(newest("value", f)).alias(f) for f in P.FIELDS],
+        *[F.expr(newest("marks", f)).alias(f"{f}_marks") for f in MARKED_FIELDS],
     )
-    by_period = Window.partitionBy("cik", "period_end").orderBy("epoch")
-    so_far = by_period.rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.select(
+    by_period = "PARTITION BY cik, period_end ORDER BY epoch"
+    so_far = f"({by_period} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return deltas.selectExpr(
         "cik", "source", "period_end", "epoch",
-        F.lead("epoch").over(by_period).alias("next_epoch"),
-        F.max("filed").over(so_far).alias("filed"),
-        F.bit_or("present").over(so_far).alias("present"),
-        *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in fields + [f"{f}_marks" for f in MARKED_FIELDS]],
+        f"lead(epoch) OVER ({by_period}) AS next_epoch",
+        f"max(filed) OVER {so_far} AS filed",
+        f"bit_or(present) OVER {so_far} AS present",
+        *[f"last({c}, true) OVER {so_far} AS {c}" for c in carried],
     )
 
 

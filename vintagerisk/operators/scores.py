@@ -1,62 +1,57 @@
-"""Published distress scores."""
+"""Published distress scores, as SQL expressions over a snapshot or panel."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
-from vintagerisk.functions.numeric import clamp, num, sigmoid, zero_if_null
+from vintagerisk.functions.numeric import clamp, dbl, num, sigmoid
 
 
-def _weighted(weights: dict[str, float]) -> Column:
-    terms = [num(w) * F.col(name) for name, w in weights.items()]
-    return reduce(lambda a, b: a + b, terms)
+def _weighted(weights: dict[str, float]) -> str:
+    return " + ".join(f"{dbl(w)} * {name}" for name, w in weights.items())
 
 
 def z_double_prime(include_constant: bool = False) -> Column:
     """Altman Z'' for non-manufacturers; NULL when any input is missing."""
-    score = _weighted(P.Z2_WEIGHTS)
+    score = F.expr(_weighted(P.Z2_WEIGHTS))
     return score + num(P.Z2_CONSTANT) if include_constant else score
 
 
 def z_prime() -> Column:
     """Altman Z' for private manufacturers; needs `sales_ta`."""
-    return _weighted(P.Z1_WEIGHTS)
+    return F.expr(_weighted(P.Z1_WEIGHTS))
 
 
-def zone(score: Column, cuts: tuple[float, float] = P.Z2_ZONES) -> Column:
-    return (
-        F.when(score.isNull(), "unscored").when(score > num(cuts[0]), "safe").when(score < num(cuts[1]), "distress").otherwise("grey")
+def zone(score: str, cuts: tuple[float, float] = P.Z2_ZONES) -> Column:
+    return F.expr(
+        f"CASE WHEN {score} IS NULL THEN 'unscored' WHEN {score} > {dbl(cuts[0])} THEN 'safe' "
+        f"WHEN {score} < {dbl(cuts[1])} THEN 'distress' ELSE 'grey' END"
     )
 
 
 def score_panel(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("z_double_prime", z_double_prime()).withColumn("z_zone", zone(F.col("z_double_prime")))
+    return panel.withColumn("z_double_prime", z_double_prime()).withColumn("z_zone", zone("z_double_prime"))
 
 
 def o_score(price_index: float = P.O_SCORE_PRICE_INDEX) -> Column:
     """Ohlson's one-year model; missing cash flow and missing prior income count as zero terms."""
-    w = P.O_SCORE_WEIGHTS
-    ta, tl, ca, cl = (F.col(n) for n in ("total_assets", "total_liabilities", "current_assets", "current_liabilities"))
-    ni, prior = F.col("net_income"), F.col("prior_net_income")
-    swing = F.abs(ni) + F.abs(prior)
-    scoreable = (ta > 0) & (tl > 0) & (cl > 0) & ca.isNotNull() & ni.isNotNull()
-    score = (
-        num(w["const"])
-        + num(w["size"]) * F.log(ta / num(price_index))
-        + num(w["tl_ta"]) * (tl / ta)
-        + num(w["wc_ta"]) * ((ca - cl) / ta)
-        + num(w["cl_ca"]) * F.when(ca > 0, cl / ca).otherwise(num(0))
-        + num(w["oeneg"]) * F.when(tl > ta, num(1)).otherwise(num(0))
-        + num(w["ni_ta"]) * (ni / ta)
-        + num(w["ffo_tl"]) * zero_if_null(F.col("cfo") / tl)
-        + num(w["intwo"]) * F.when((ni < 0) & (prior < 0), num(1)).otherwise(num(0))
-        + num(w["chin"]) * F.when(swing > 0, (ni - prior) / swing).otherwise(num(0))
-    )
-    return F.when(scoreable, score)
+    w = {name: dbl(x) for name, x in P.O_SCORE_WEIGHTS.items()}
+    return F.expr(f"""
+        CASE WHEN total_assets > 0 AND total_liabilities > 0 AND current_liabilities > 0
+                  AND current_assets IS NOT NULL AND net_income IS NOT NULL THEN
+            {w['const']} + {w['size']} * ln(total_assets / {dbl(price_index)})
+            + {w['tl_ta']} * (total_liabilities / total_assets)
+            + {w['wc_ta']} * ((current_assets - current_liabilities) / total_assets)
+            + {w['cl_ca']} * CASE WHEN current_assets > 0 THEN current_liabilities / current_assets ELSE 0D END
+            + {w['oeneg']} * CASE WHEN total_liabilities > total_assets THEN 1D ELSE 0D END
+            + {w['ni_ta']} * (net_income / total_assets)
+            + {w['ffo_tl']} * coalesce(cfo / total_liabilities, 0D)
+            + {w['intwo']} * CASE WHEN net_income < 0 AND prior_net_income < 0 THEN 1D ELSE 0D END
+            + {w['chin']} * CASE WHEN abs(net_income) + abs(prior_net_income) > 0
+                THEN (net_income - prior_net_income) / (abs(net_income) + abs(prior_net_income)) ELSE 0D END
+        END""")
 
 
 def o_score_pd(score: Column) -> Column:

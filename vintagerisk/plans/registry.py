@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
-from vintagerisk.functions.numeric import rounded
+from vintagerisk.functions.numeric import tidy
 from vintagerisk.operators import asof, labels, scores
 from vintagerisk.operators.panel import META, build_panel, snapshots
 from vintagerisk.sources import tape
@@ -25,11 +25,6 @@ def issuer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_panel(tape.issuers(spark, sf_dir), tape.facts(spark, sf_dir), tape.WINDOW)
 
 
-def tidy(df: DataFrame, **places: int) -> DataFrame:
-    """Round the named columns for output."""
-    return df.withColumns({name: rounded(name, n) for name, n in places.items()})
-
-
 @query
 def q_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = scores.score_panel(issuer_panel(spark, sf_dir))

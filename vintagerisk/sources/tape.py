@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
-from vintagerisk.functions.numeric import num
+from vintagerisk.functions.numeric import dbl, num
 from vintagerisk.operators.facts import resolve_tag_preference
 
 WINDOW = (dt.date(1996, 1, 1), dt.date(2002, 12, 31))
@@ -56,38 +56,32 @@ def facts_raw(spark: SparkSession, sf_dir: str, null_values: bool = False) -> Da
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_linestatus", "l_quantity"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("fiscal_year"))
-    names = F.array(*[F.lit(f) for f in P.FIELDS])
-    rank = (F.col("l_linenumber") % 3).cast("int")
-    price = F.col("l_extendedprice")
-
-    value = price
-    for name, (scale, shift) in VALUE_RULES.items():
-        value = F.when(F.col("field") == name, (price + num(shift)) * num(scale)).otherwise(value)
+    names = ", ".join(f"'{f}'" for f in P.FIELDS)
+    rules = " ".join(f"WHEN '{f}' THEN (l_extendedprice + {dbl(b)}) * {dbl(a)}" for f, (a, b) in VALUE_RULES.items())
+    value = f"CASE field {rules} ELSE l_extendedprice END"
     if null_values:
-        value = F.when(F.col("l_quantity") != 50, value)
-
-    tag = F.concat_ws("_", "field", F.col("tag_rank").cast("string"))
-    for (name, r), known in MEANINGFUL_TAGS.items():
-        tag = F.when((F.col("field") == name) & (F.col("tag_rank") == r), F.lit(known)).otherwise(tag)
-
-    period_end = F.make_date(F.col("fiscal_year"), F.lit(12), F.lit(31))
-    lag = (30 + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 400).cast("int")
+        value = f"CASE WHEN l_quantity <> 50 THEN {value} END"
+    tags = " ".join(f"WHEN field = '{f}' AND tag_rank = {k} THEN '{tag}'" for (f, k), tag in MEANINGFUL_TAGS.items())
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .withColumn("field", F.element_at(names, (F.col("l_partkey") % len(P.FIELDS)).cast("int") + 1))
-        .withColumn("tag_rank", rank)
-        .select(
-            padded_cik(F.col("l_suppkey")).alias("cik"),
-            F.lit("tape").alias("source"),
+        .selectExpr(
+            "*",
+            f"element_at(array({names}), cast(l_partkey % {len(P.FIELDS)} as int) + 1) AS field",
+            "cast(l_linenumber % 3 as int) AS tag_rank",
+            "make_date(fiscal_year, 12, 31) AS period_end",
+        )
+        .selectExpr(
+            "lpad(cast(l_suppkey as string), 10, '0') AS cik",
+            "'tape' AS source",
             "field",
-            period_end.alias("period_end"),
-            F.date_add(period_end, lag).alias("filed"),
-            F.when(F.col("l_linestatus") == "F", "10-K").otherwise("10-K/A").alias("form"),
-            F.col("fiscal_year").cast("int").alias("fiscal_year"),
-            value.alias("value"),
-            tag.alias("tag"),
+            "period_end",
+            "date_add(period_end, cast(30 + (l_orderkey * 7 + l_linenumber * 13) % 400 as int)) AS filed",
+            "CASE WHEN l_linestatus = 'F' THEN '10-K' ELSE '10-K/A' END AS form",
+            "cast(fiscal_year as int) AS fiscal_year",
+            f"{value} AS value",
+            f"CASE {tags} ELSE concat_ws('_', field, cast(tag_rank as string)) END AS tag",
             "tag_rank",
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_key"),
+            "l_orderkey * 8 + l_linenumber AS row_key",
         )
     )
 
