@@ -40,15 +40,31 @@ def visible_facts(facts: DataFrame, obs: DataFrame, salts: int = 16) -> DataFram
     return joined.drop("salt")
 
 
-def latest_vintage(visible: DataFrame) -> DataFrame:
-    """Newest version of each (field, period) per observation; each column keeps its last non-null."""
+def latest_vintage(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None) -> DataFrame:
+    """Newest version of each (field, period) per observation; each column keeps its last non-null.
 
-    def last_known(name: str) -> Column:
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("filed"))).alias(name)
-
-    return visible.groupBy("cik", "as_of", "field", "period_end").agg(
-        F.max("filed").alias("filed"), *[last_known(c) for c in ("value", "tag", "form", "fiscal_year", "source")]
+    Versions collapse to one row per epoch before the issuer join, so each observation
+    meets exactly one row per visible (field, period).
+    """
+    columns = ["value", "tag", "form", "fiscal_year", "source"]
+    newest = [F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN filed END)").alias(c) for c in columns]
+    versions = with_epoch(facts, obs, dates).groupBy("cik", "field", "period_end", "epoch").agg(
+        F.max("filed").alias("filed"), *newest
+    )
+    by_key = "PARTITION BY cik, field, period_end ORDER BY epoch"
+    so_far = f"({by_key} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    states = versions.selectExpr(
+        "cik AS state_cik", "field", "period_end", "epoch",
+        f"lead(epoch) OVER ({by_key}) AS next_epoch",
+        f"max(filed) OVER {so_far} AS filed",
+        *[f"last({c}, true) OVER {so_far} AS {c}" for c in columns],
     )
+    return obs.select("cik", "as_of").join(states, _current()).drop("state_cik", "epoch", "next_epoch")
+
+
+def _current() -> Column:
+    """Join condition: the state that holds on the observation date."""
+    return F.expr("cik = state_cik AND epoch <= as_of AND (next_epoch IS NULL OR as_of < next_epoch)")
 
 
 def with_epoch(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None) -> DataFrame:
@@ -121,10 +137,7 @@ def observed_periods(
     if min_period_end is not None:
         facts = facts.where(F.col("period_end") >= F.lit(min_period_end))
     states = period_states(with_epoch(facts, obs, dates)).withColumnRenamed("cik", "state_cik")
-    current = (F.col("epoch") <= F.col("as_of")) & (
-        F.col("next_epoch").isNull() | (F.col("as_of") < F.col("next_epoch"))
-    )
-    known = obs.join(states, (F.col("cik") == F.col("state_cik")) & current).drop("state_cik", "epoch", "next_epoch")
+    known = obs.join(states, _current()).drop("state_cik", "epoch", "next_epoch")
 
     each = Window.partitionBy("cik", "as_of")
     in_order = each.orderBy("period_end")

@@ -27,11 +27,11 @@ def tag_marks(tag: Column) -> Column:
 def resolve_tag_preference(raw: DataFrame) -> DataFrame:
     """One fact per (issuer, field, period, filing date): the tag of best rank.
 
-    `row_key` (non-negative, below 2**59) breaks ties between equal ranks.  Rank and key
+    `row_key` (non-negative, below 2**60) breaks ties between equal ranks.  Rank and key
     are packed into one long so each attribute is a plain `min_by`; attributes a query
     does not read are pruned, and map-side combine keeps a hot issuer from piling up.
     """
-    order = F.shiftleft(F.col("tag_rank").cast("bigint"), 59) + F.col("row_key")
+    order = F.shiftleft(F.col("tag_rank").cast("bigint"), 60) + F.col("row_key")
     kept = [c for c in FACT_COLUMNS if c not in FACT_KEY + ["source"] and c in raw.columns]
     return (
         raw.withColumn("pick", order)

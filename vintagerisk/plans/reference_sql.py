@@ -38,7 +38,7 @@ SELECT lpad(CAST(l_suppkey AS varchar), 10, '0') AS cik, f AS field, make_date(y
             WHEN f = 'current_debt' AND l_linenumber % 3 = 0 THEN 'LongTermDebtCurrent'
             WHEN f = 'net_income' AND l_linenumber % 3 = 2 THEN 'NetIncomeLossAvailableToCommonStockholdersBasic'
             ELSE f || '_' || CAST(l_linenumber % 3 AS varchar) END AS tag,
-       l_linenumber % 3 AS tag_rank, 'tape' AS source, l_orderkey, l_linenumber
+       l_linenumber % 3 AS tag_rank, 'tape' AS source, l_orderkey, l_linenumber, p
 FROM (SELECT *, [{_list(P.FIELDS)}][CAST(l_partkey % 23 AS int) + 1] AS f, l_extendedprice AS p,
              CAST(year(o_orderdate) AS int) AS y
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -47,7 +47,7 @@ FROM (SELECT *, [{_list(P.FIELDS)}][CAST(l_partkey % 23 AS int) + 1] AS f, l_ext
 def _resolved(raw: str) -> str:
     return f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, field, period_end, filed
-                                            ORDER BY tag_rank, l_orderkey, l_linenumber) AS rn FROM {raw})
+                                            ORDER BY tag_rank, l_orderkey, l_linenumber, p) AS rn FROM {raw})
 WHERE rn = 1"""
 
 
@@ -220,5 +220,5 @@ FEATURES_SQL = ",\n".join(r(f) for f in P.FEATURES)
 oracle("q_panel", f"""
 SELECT ticker, cik, name, sector, as_of, period_end, filed, CAST(report_lag_days AS int) AS report_lag_days, source,
        is_default_issuer, CAST(days_to_default AS int) AS days_to_default, label,
-       {r('total_assets', 2)}, {r('total_debt', 2)}, {FEATURES_SQL}, {r('z2', 6, 'z_double_prime')}, z_zone
+       {r('total_assets', 4)}, {r('total_debt', 4)}, {FEATURES_SQL}, {r('z2', 6, 'z_double_prime')}, z_zone
 FROM panel""", "panel")

@@ -1,32 +1,8 @@
-"""Every query of the library, named, over the given tables."""
+"""Every query of the library, by name, over the given tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from vintagerisk.plans import queries_ingest, queries_panel  # noqa: F401  (registration)
+from vintagerisk.plans.core import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from vintagerisk import params as P
-from vintagerisk.functions.numeric import tidy
-from vintagerisk.operators import asof, labels, scores
-from vintagerisk.operators.panel import META, build_panel, snapshots
-from vintagerisk.sources import tape
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
-
-
-def issuer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_panel(tape.issuers(spark, sf_dir), tape.facts(spark, sf_dir), tape.WINDOW)
-
-
-@query
-def q_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = scores.score_panel(issuer_panel(spark, sf_dir))
-    places = {f: 6 for f in P.FEATURES + ["z_double_prime"]} | {"total_assets": 2, "total_debt": 2}
-    return tidy(panel, **places)
+__all__ = ["QUERIES"]

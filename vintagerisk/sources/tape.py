@@ -81,7 +81,7 @@ def facts_raw(spark: SparkSession, sf_dir: str, null_values: bool = False) -> Da
             f"{value} AS value",
             f"CASE {tags} ELSE concat_ws('_', field, cast(tag_rank as string)) END AS tag",
             "tag_rank",
-            "l_orderkey * 8 + l_linenumber AS row_key",
+            "pmod((l_orderkey * 8 + l_linenumber) * 16777216 + cast(round(l_extendedprice * 100) as bigint), 1152921504606846976) AS row_key",
         )
     )
 
@@ -188,3 +188,116 @@ def claimed_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("user_id") % 2 == 0).alias("verified"),
         )
     )
+
+
+def statement_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw reported values with real tag names, and the noise a filings feed carries:
+    share units, quarterly forms and spans, foreign taxonomies, unknown tags."""
+    vocabulary = ", ".join(
+        f"array({', '.join(repr(t) for t in tags)})" for tags in (P.INSTANT_FIELDS | P.DURATION_FIELDS).values()
+    )
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(year(o_orderdate) as int) AS fy")
+    return (
+        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        .selectExpr(
+            "*",
+            f"element_at(array({vocabulary}), cast(l_partkey % {len(P.FIELDS)} as int) + 1) AS tags",
+            "make_date(fy, 12, 31) AS period_end",
+            "CASE WHEN l_quantity <> 3 THEN date_sub(make_date(fy, 12, 31), CASE WHEN l_linenumber % 4 = 0 THEN 90 ELSE 364 END) END AS start",
+        )
+        .selectExpr(
+            "lpad(cast(l_suppkey as string), 10, '0') AS cik",
+            "CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'dei' ELSE 'us-gaap' END AS taxonomy",
+            "CASE WHEN l_partkey % 29 = 0 THEN 'UnknownTag' ELSE element_at(tags, cast(l_linenumber % size(tags) as int) + 1) END AS tag",
+            "CASE WHEN l_quantity = 1 THEN 'shares' WHEN l_quantity = 2 THEN 'USD/shares' ELSE 'USD' END AS unit",
+            "start",
+            "period_end",
+            "date_add(period_end, cast(30 + (l_orderkey * 7 + l_linenumber * 13) % 400 as int)) AS filed",
+            "l_extendedprice AS value",
+            "CASE WHEN l_discount = 0 THEN '10-Q' WHEN l_linestatus = 'F' THEN '10-k' ELSE '10-K/A' END AS form",
+            "fy AS fiscal_year",
+            "l_orderkey AS filing_id",
+        )
+    )
+
+
+def company_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One company-facts document per issuer and filing; an order has at most a handful of lines,
+    so no document grows with the data."""
+    text = {"start": "start", "end": "period_end", "filed": "filed"}
+    entry = F.struct(
+        *[F.date_format(c, "yyyy-MM-dd").alias(n) for n, c in text.items()],
+        F.col("value").alias("val"), "form", F.col("fiscal_year").alias("fy"),
+    )
+    by_unit = statement_entries(spark, sf_dir).groupBy("cik", "filing_id", "taxonomy", "tag", "unit").agg(
+        F.collect_list(entry).alias("entries")
+    )
+    by_tag = by_unit.groupBy("cik", "filing_id", "taxonomy", "tag").agg(
+        F.struct(F.map_from_entries(F.collect_list(F.struct("unit", "entries"))).alias("units")).alias("block")
+    )
+    by_taxonomy = by_tag.groupBy("cik", "filing_id", "taxonomy").agg(
+        F.map_from_entries(F.collect_list(F.struct("tag", "block"))).alias("tags")
+    )
+    return by_taxonomy.groupBy("cik", "filing_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts")
+    ).select(F.to_json(F.struct("cik", "facts")).alias("document"))
+
+
+def filing_pages(spark: SparkSession, sf_dir: str, page_size: int = 1000) -> DataFrame:
+    """The filing index as pages of parallel arrays, at most `page_size` filings each."""
+    page_no = F.floor(F.col("accession").cast("bigint") / page_size)
+    iso = F.date_format("filing_date", "yyyy-MM-dd")
+    packed = F.sort_array(F.collect_list(F.struct(F.col("accession").alias("accessionNumber"), "form", iso.alias("filingDate"), "items")))
+    pages = (
+        filings(spark, sf_dir).withColumn("page_no", page_no)
+        .groupBy("cik", "page_no")
+        .agg(packed.alias("rows"), F.min("filing_date").alias("filing_from"), F.max("filing_date").alias("filing_to"))
+    )
+    arrays = F.to_json(F.struct(*[F.col(f"rows.{c}").alias(c) for c in ("form", "filingDate", "items", "accessionNumber")]))
+    latest = pages.groupBy("cik").agg(F.max("page_no").alias("latest"))
+    return pages.join(latest, "cik").select(
+        "cik", (F.col("page_no") == F.col("latest")).alias("is_recent"), "filing_from", "filing_to", arrays.alias("page")
+    )
+
+
+def second_producer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A differently shaped fundamentals table that covers every third issuer."""
+    return (
+        facts(spark, sf_dir).where(F.col("cik").cast("bigint") % 3 == 0)
+        .select(
+            F.col("cik").alias("CIK"), F.col("field").alias("Field"), F.col("period_end").alias("Period_End"),
+            F.col("filed").alias("Filed"), (F.col("value") * 2).alias("Value"),
+        )
+    )
+
+
+def registrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrant names with former names, and the name each issuer is expected to carry."""
+    suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(
+        "lpad(cast(s_suppkey as string), 10, '0') AS cik",
+        "concat('S', cast(s_suppkey as string)) AS ticker",
+        "s_name AS registrant_name",
+        "CASE WHEN s_suppkey % 5 <> 0 THEN array(concat(n_name, ' Holdings'), concat('Old ', s_name)) END AS former_names",
+        """CASE s_suppkey % 3 WHEN 0 THEN lower(s_name) WHEN 1 THEN concat(' "', n_name, '" holdings ') ELSE 'Unrelated Trading' END AS expected_name""",
+    )
+
+
+def parameter_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A masterscale per nation and a recovery class per part, good and bad ones."""
+    scales = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(
+        F.max(F.floor(F.abs("c_acctbal") / 100)).alias("top"), F.count("*").alias("n")
+    ).selectExpr(
+        "c_nationkey AS scale_id",
+        "c_mktsegment AS position",
+        "CASE WHEN c_mktsegment = 'MACHINERY' AND n % 2 = 0 THEN 1D ELSE top / 100D END AS pd_upper",
+    )
+    classes = table(spark, sf_dir, "part").selectExpr(
+        "concat('class_', cast(p_partkey as string)) AS seniority",
+        "CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice / 1000D - 0.5D END AS recovery_mean",
+        "CASE WHEN p_size % 10 = 0 THEN 'ASSUMPTION' ELSE 'SOURCED' END AS status",
+        "CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS citation",
+        "CASE p_partkey % 4 WHEN 0 THEN 'trading_price' WHEN 1 THEN 'ultimate' WHEN 2 THEN 'trading_price' ELSE p_type END AS basis",
+    )
+    return scales, classes
