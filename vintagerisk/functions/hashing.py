@@ -20,11 +20,3 @@ def mix(a: Column, b: Column, seed: int) -> Column:
     first = (a * 40503 + b * 69621 + F.lit(seed * 7919 + 12345)) % m
     second = (first * first + b * 104729 + a * 31 + 1) % m
     return (second * second + second * 48271 + first) % m
-
-
-def mix_sql(a: str, b: str, seed: int) -> str:
-    """The same hash as portable SQL text."""
-    m = MODULUS
-    first = f"((({a}) % {m}) * 40503 + (({b}) % {m}) * 69621 + {seed * 7919 + 12345}) % {m}"
-    second = f"((({first}) * ({first})) + (({b}) % {m}) * 104729 + (({a}) % {m}) * 31 + 1) % {m}"
-    return f"((({second}) * ({second})) + ({second}) * 48271 + ({first})) % {m}"

@@ -24,7 +24,7 @@ def q_expected_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rated_tape(spark, sf_dir).withColumn("el", portfolio.expected_loss()).groupBy("sector", "instrument").agg(
         F.count("*").alias("facilities"), F.sum("ead").alias("ead"), F.sum("el").alias("expected_loss"), F.max("el").alias("largest")
     )
-    return tidy(out, ead=3, expected_loss=3, largest=3)
+    return tidy(out, ead=1, expected_loss=2, largest=3)
 
 
 @query

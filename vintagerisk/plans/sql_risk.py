@@ -38,7 +38,7 @@ view("rated", ["loans"], f"""
 SELECT *, drawn + CASE instrument WHEN 'revolving_credit_facility' THEN 0.75 ELSE 1.0 END * undrawn AS ead,
        (facility_id % 10)/10.0 * {LGD['senior_secured']} + (1 - (facility_id % 10)/10.0) * {LGD['senior_unsecured']} AS lgd FROM loans""")
 oracle("q_expected_loss", f"""
-SELECT sector, instrument, count(*) AS facilities, {r('sum(ead)', 3, 'ead')}, {r('sum(pd*lgd*ead)', 3, 'expected_loss')},
+SELECT sector, instrument, count(*) AS facilities, {r('sum(ead)', 1, 'ead')}, {r('sum(pd*lgd*ead)', 2, 'expected_loss')},
        {r('max(pd*lgd*ead)', 3, 'largest')} FROM rated GROUP BY sector, instrument""", "rated")
 view("irb_parts", ["rated"], f"""
 SELECT *, corr0 - 0.04*(1 - (least(greatest(sales, 5), 50) - 5)/45) AS corr1 FROM (
