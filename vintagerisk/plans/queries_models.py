@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from vintagerisk.models import boosting, bootstrap, calibrate, folds, logit, res
 from vintagerisk.operators import scores
 from vintagerisk.operators.prefix import exact_quantiles
 from vintagerisk.plans.core import issuer_panel, query
+from vintagerisk.plans.run import RunResult, Settings, coefficient_table, report_tables, run, sign_violations
 from vintagerisk.sources import tape
 
 
@@ -91,14 +94,6 @@ def q_logit_foc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gradient.selectExpr("term", "n_train", "abs(gradient) < 1e-5D AS at_optimum")
 
 
-def coefficient_table(spark: SparkSession, fit: logit.Fitted) -> DataFrame:
-    """Standardised coefficients with the sign credit theory expects."""
-    rows = [(f, float(fit.beta[0, j + 1]), P.EXPECTED_SIGN.get(f, 0)) for j, f in enumerate(fit.features)]
-    return spark.createDataFrame(rows, "feature string, coefficient double, expected_sign int").selectExpr(
-        "*", "CASE WHEN abs(coefficient) > 1e-8D THEN cast(sign(coefficient) as int) ELSE 0 END AS actual_sign"
-    ).selectExpr("*", "expected_sign = 0 OR actual_sign = 0 OR expected_sign = actual_sign AS sign_consistent")
-
-
 @query
 def q_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = coefficient_table(spark, resampling.whole_fit(model_rows(spark, sf_dir)))
@@ -108,7 +103,7 @@ def q_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_sign_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = coefficient_table(spark, resampling.whole_fit(model_rows(spark, sf_dir)))
-    return tidy(table.where(f"NOT sign_consistent AND abs(coefficient) >= {P.SIGN_MATERIALITY}"), coefficient=6)
+    return tidy(sign_violations(table), coefficient=6)
 
 
 @query
@@ -212,3 +207,37 @@ def q_crossfit_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.sum("y").cast("bigint").alias("defaults"), F.avg("calibrated").alias("mean_calibrated"), F.max("calibrated").alias("max_calibrated")
     )
     return tidy(folded.withColumn("method", F.lit(method)), mean_calibrated=6, max_calibrated=6)
+
+
+_RUNS: dict[tuple[str, str], RunResult] = {}
+
+
+def full_run(spark: SparkSession, sf_dir: str) -> RunResult:
+    """The end-to-end run, once per session and data set; its frames live in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        settings = Settings(split_year=2000, portfolio_date=dt.date(1999, 6, 30))
+        _RUNS[key] = run(issuer_panel(spark, sf_dir), tape.issuers(spark, sf_dir), settings)
+    return _RUNS[key]
+
+
+@query
+def q_discrimination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(full_run(spark, sf_dir).discrimination, auc=6, lower=6, upper=6, gini=6, ks=6)
+
+
+@query
+def q_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(full_run(spark, sf_dir).predictions, total_debt=4, raw_pd=6, calibrated_pd=6, pd=8, z_double_prime=6)
+
+
+@query
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline figures: sample, discrimination, benchmark verdict, loss and capital."""
+    result = full_run(spark, sf_dir)
+    return tidy(report_tables(result).where("section IN (1, 3, 4, 9)"), value=6)
+
+
+@query
+def q_report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(report_tables(full_run(spark, sf_dir)).orderBy("section", "metric"), value=6)
