@@ -1,4 +1,4 @@
-"""Standard normal distribution as plain column arithmetic (Spark has no erf).
+"""Standard normal distribution as plain SQL arithmetic (Spark has no erf).
 
 The CDF uses W. J. Cody's rational approximations of erf/erfc (Math. Comp. 23, 1969);
 the quantile uses M. J. Wichura's algorithm AS 241 (Applied Statistics 37, 1988).
@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from vintagerisk.functions.numeric import num
+from vintagerisk.functions.numeric import dbl
 
 # FIXED VALUES: published polynomial coefficients, highest power first.
 ERF_NUM = [1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3]
@@ -59,33 +58,53 @@ PPND_F = [
 INV_SQRT_PI = 5.6418958354775628695e-1
 
 
-def _horner(coefs: list[float], x: Column) -> Column:
-    out = num(coefs[0])
+def _horner(coefs: list[float], x: str) -> str:
+    out = dbl(coefs[0])
     for c in coefs[1:]:
-        out = out * x + num(c)
+        out = f"({out} * {x} + {dbl(c)})"
     return out
 
 
-def norm_cdf(x: Column) -> Column:
-    y = F.abs(x) / num(math.sqrt(2.0))
-    y2 = y * y
-    erf_mid = y * _horner(ERF_NUM, y2) / _horner(ERF_DEN, y2)
-    erfc_mid = F.exp(-y2) * _horner(ERFC_NUM, y) / _horner(ERFC_DEN, y)
-    inv = 1 / F.greatest(y2, num(1e-12))
-    erfc_far = F.exp(-y2) / F.greatest(y, num(1e-6)) * (
-        num(INV_SQRT_PI) - inv * _horner(ERFC_TAIL_NUM, inv) / _horner(ERFC_TAIL_DEN, inv)
+def norm_cdf(x: str, y: str | None = None, y2: str | None = None, inv: str | None = None) -> str:
+    """Distribution function of the column named `x`, as SQL text.
+
+    `y`, `y2`, `inv` may name columns that already hold |x|/sqrt(2), its square and the
+    inverse of that; otherwise they are written out.
+    """
+    y = y or f"(abs({x}) / {dbl(math.sqrt(2.0))})"
+    y2 = y2 or f"({y} * {y})"
+    inv = inv or f"(1D / {y2})"
+    erf_mid = f"{y} * {_horner(ERF_NUM, y2)} / {_horner(ERF_DEN, y2)}"
+    erfc_mid = f"exp(-{y2}) * {_horner(ERFC_NUM, y)} / {_horner(ERFC_DEN, y)}"
+    far = f"{dbl(INV_SQRT_PI)} - {inv} * {_horner(ERFC_TAIL_NUM, inv)} / {_horner(ERFC_TAIL_DEN, inv)}"
+    tail = f"CASE WHEN {y} <= 0.46875D THEN 1D - {erf_mid} WHEN {y} <= 4D THEN {erfc_mid} ELSE exp(-{y2}) / {y} * ({far}) END"
+    return f"CASE WHEN {x} IS NULL THEN NULL ELSE 0.5D + sign({x}) * (0.5D - 0.5D * ({tail})) END"
+
+
+def norm_quantile(p: str, r: str | None = None) -> str:
+    """Quantile function of the column named `p` (strictly between 0 and 1), as SQL text."""
+    q = f"({p} - 0.5D)"
+    r_mid = f"(0.180625D - {q} * {q})"
+    central = f"{q} * {_horner(PPND_A, r_mid)} / {_horner(PPND_B, r_mid)}"
+    r = r or f"sqrt(-ln(least({p}, 1D - {p})))"
+    near_r, far_r = f"({r} - 1.6D)", f"({r} - 5D)"
+    near = f"{_horner(PPND_C, near_r)} / {_horner(PPND_D, near_r)}"
+    far = f"{_horner(PPND_E, far_r)} / {_horner(PPND_F, far_r)}"
+    outer = f"CASE WHEN {r} <= 5D THEN {near} ELSE {far} END"
+    return f"CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL WHEN abs({q}) <= 0.425D THEN {central} ELSE sign({q}) * ({outer}) END"
+
+
+def add_norm_cdf(df: DataFrame, x: str, name: str) -> DataFrame:
+    """Add the distribution function of a column.  Intermediates are projected first, so they are computed once per row."""
+    return (
+        df.selectExpr("*", f"abs({x}) / {dbl(math.sqrt(2.0))} AS cdf_y")
+        .selectExpr("*", "cdf_y * cdf_y AS cdf_y2")
+        .selectExpr("*", "CASE WHEN cdf_y2 > 0 THEN 1D / cdf_y2 END AS cdf_inv")
+        .selectExpr("* EXCEPT (cdf_y, cdf_y2, cdf_inv)", f"{norm_cdf(x, 'cdf_y', 'cdf_y2', 'cdf_inv')} AS {name}")
+    )
+
+
+def add_norm_quantile(df: DataFrame, p: str, name: str) -> DataFrame:
+    return df.selectExpr("*", f"sqrt(-ln(least({p}, 1D - {p}))) AS quantile_r").selectExpr(
+        "* EXCEPT (quantile_r)", f"{norm_quantile(p, 'quantile_r')} AS {name}"
     )
-    tail = F.when(y <= 0.46875, 1 - erf_mid).when(y <= 4.0, erfc_mid).otherwise(erfc_far)
-    return F.when(x.isNotNull(), F.when(x > 0, 1 - 0.5 * tail).otherwise(0.5 * tail))
-
-
-def norm_quantile(p: Column) -> Column:
-    q = p - num(0.5)
-    r_mid = num(0.180625) - q * q
-    central = q * _horner(PPND_A, r_mid) / _horner(PPND_B, r_mid)
-    tail_p = F.when(q < 0, p).otherwise(1 - p)
-    r = F.sqrt(-F.log(F.when(tail_p > 0, tail_p)))
-    near = _horner(PPND_C, r - 1.6) / _horner(PPND_D, r - 1.6)
-    far = _horner(PPND_E, r - 5.0) / _horner(PPND_F, r - 5.0)
-    outer = F.when(r <= 5.0, near).otherwise(far)
-    return F.when(F.abs(q) <= 0.425, central).when(q < 0, -outer).otherwise(outer)

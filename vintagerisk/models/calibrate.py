@@ -40,49 +40,43 @@ def fit_lines(scored: DataFrame, train: list[str], ridge: float, p: str = "p", y
     Rows are first counted per distinct probability and condition pattern; every Newton
     step is then one aggregation of five sums per model, on the JVM.
     """
-    flags = [f"CASE WHEN {t} THEN 1 ELSE 0 END AS t{m}" for m, t in enumerate(train)]
-    marks = [f"t{m}" for m in range(len(train))]
+    wanted = ", ".join(f"CASE WHEN {t} THEN {m} END" for m, t in enumerate(train))
     counted = (
         scored.where(f"{p} IS NOT NULL")
-        .selectExpr(f"{logit_sql(p, P.PROBABILITY_EPS)} AS x", f"cast({y} as double) AS y", *flags)
-        .groupBy("x", *marks).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k"))
+        .selectExpr(f"{logit_sql(p, P.PROBABILITY_EPS)} AS x", f"cast({y} as double) AS y", f"array_compact(array({wanted})) AS models")
+        .groupBy("x", "models").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k"))
+        .selectExpr("x", "n", "k", "explode(models) AS m")
         .persist()
     )
-    totals = counted.agg(
-        *[F.sum(F.expr(f"n * {t}")).alias(f"n_{t}") for t in marks], *[F.sum(F.expr(f"k * {t}")).alias(f"k_{t}") for t in marks]
-    ).first()
-    lines = [Line(0.0, 0.0, int(totals[f"n_{t}"] or 0), int(totals[f"k_{t}"] or 0)) for t in marks]
+    spark = scored.sparkSession
+    totals = {r.m: (int(r.n), int(r.k)) for r in counted.groupBy("m").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()}
+    lines = [Line(0.0, 0.0, *totals.get(m, (0, 0))) for m in range(len(train))]
     before = [math.inf] * len(lines)
-    last = [(0.0, 0.0)] * len(lines)
-    step = [(0.0, 0.0)] * len(lines)
+    last, step = [(0.0, 0.0)] * len(lines), [(0.0, 0.0)] * len(lines)
     done = [not line.fitted for line in lines]
+    eta, q = "(a + b * x)", "(1D / (1D + exp(-(a + b * x))))"
+    terms = {
+        "loss": f"n * (greatest({eta}, 0D) + ln(1D + exp(-abs({eta})))) - k * {eta}",
+        "g0": f"n * {q} - k", "g1": f"(n * {q} - k) * x",
+        "h00": f"n * {q} * (1D - {q})", "h01": f"n * {q} * (1D - {q}) * x", "h11": f"n * {q} * (1D - {q}) * x * x",
+    }
+    sums = [F.sum(F.expr(sql)).alias(name) for name, sql in terms.items()]
     while not all(done) and max_steps > 0:
         max_steps -= 1
-        sums = []
-        for m, line in enumerate(lines):
-            if done[m]:
-                continue
-            eta = f"({dbl(line.intercept)} + {dbl(line.slope)} * x)"
-            q = f"(1D / (1D + exp(-{eta})))"
-            soft = f"(greatest({eta}, 0D) + ln(1D + exp(-abs({eta}))))"
-            for name, term in {
-                "loss": f"n * {soft} - k * {eta}", "g0": f"n * {q} - k", "g1": f"(n * {q} - k) * x",
-                "h00": f"n * {q} * (1 - {q})", "h01": f"n * {q} * (1 - {q}) * x", "h11": f"n * {q} * (1 - {q}) * x * x",
-            }.items():
-                sums.append(F.sum(F.expr(f"CASE WHEN t{m} = 1 THEN {term} END")).alias(f"{name}_{m}"))
-        row = counted.agg(*sums).first()
-        for m, line in enumerate(lines):
-            if done[m]:
-                continue
-            loss = row[f"loss_{m}"] + 0.5 * ridge * line.slope**2
+        current = ", ".join(f"({m}, {dbl(line.intercept)}, {dbl(line.slope)})" for m, line in enumerate(lines) if not done[m])
+        # the coefficients travel as rows, one per model, so every step runs the same compiled plan
+        betas = spark.sql(f"SELECT * FROM VALUES {current} AS betas(m, a, b)")
+        for row in counted.join(F.broadcast(betas), "m").groupBy("m").agg(*sums).collect():
+            m, line = row.m, lines[row.m]
+            loss = row.loss + 0.5 * ridge * line.slope**2
             if loss > before[m] * (1 + 1e-12) + 1e-12:  # overshot: halve the step
                 step[m] = (step[m][0] / 2, step[m][1] / 2)
             else:
-                g0, g1 = row[f"g0_{m}"], row[f"g1_{m}"] + ridge * line.slope
+                g0, g1 = row.g0, row.g1 + ridge * line.slope
                 if max(abs(g0), abs(g1)) / line.n < 1e-11:
                     done[m] = True
                     continue
-                h00, h01, h11 = row[f"h00_{m}"], row[f"h01_{m}"], row[f"h11_{m}"] + ridge
+                h00, h01, h11 = row.h00, row.h01, row.h11 + ridge
                 det = h00 * h11 - h01 * h01
                 before[m], last[m] = loss, (line.intercept, line.slope)
                 step[m] = (-(h11 * g0 - h01 * g1) / det, -(h00 * g1 - h01 * g0) / det)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintagerisk.functions.normal import norm_cdf
 from vintagerisk.operators.prefix import equal_count_buckets
 
 
@@ -36,33 +35,21 @@ def brier_decomposition(scored: DataFrame, n_bins: int = 10, p: str = "p", y: st
     )
 
 
-def chi2_survival(x: Column, dof: Column, max_dof: int = 64) -> Column:
-    """P(chi-square > x) for integer degrees of freedom, by the finite series for even dof and
-    the error-function form for odd dof."""
-    from vintagerisk.functions.normal import norm_cdf
-
-    half = x / 2
-    terms = F.sequence(F.lit(1), F.lit(max_dof // 2))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    even = F.aggregate(
-        terms, start,
-        lambda acc, i: F.when(
-            2 * i < dof,
-            F.struct((acc.term * half / i).alias("term"), (acc.total + acc.term * half / i).alias("total")),
-        ).otherwise(acc),
-        lambda acc: F.exp(-half) * acc.total,
-    )
-    first = F.sqrt(2 * x / math.pi) * F.exp(-half)
-    odd_start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
-    odd = F.aggregate(
-        terms, odd_start,
-        lambda acc, i: F.when(
-            2 * i + 1 <= dof,
-            F.struct((acc.term * x / (2 * i + 1)).alias("term"), (acc.total + acc.term).alias("total")),
-        ).otherwise(acc),
-        lambda acc: 2 * (1 - norm_cdf(F.sqrt(x))) + acc.total,
-    )
-    return F.when(dof % 2 == 0, even).otherwise(odd)
+def chi2_survival(x: str, root: str, dof: str, max_dof: int = 64) -> Column:
+    """P(chi-square > x) for integer degrees of freedom, by the finite series; `root` names sqrt(x).
+
+    Even dof: a sum of Poisson terms.  Odd dof: the normal tail plus the same kind of sum.
+    """
+    steps = f"sequence(1, {max_dof // 2})"
+
+    def series(first: str, factor: str, keep: str) -> str:
+        start = f"named_struct('term', {first}, 'total', 0D)"
+        grown = f"named_struct('term', s.term * {factor}, 'total', s.total + s.term)"
+        return f"aggregate({steps}, {start}, (s, i) -> CASE WHEN {keep} THEN {grown} ELSE s END, s -> s.total)"
+
+    even = series(f"exp(-{x} / 2D)", f"{x} / (2D * i)", f"2 * i <= {dof}")
+    odd = series(f"sqrt(2D * {x} / pi()) * exp(-{x} / 2D)", f"{x} / (2D * i + 1D)", f"2 * i + 1 <= {dof}")
+    return F.expr(f"CASE WHEN {dof} % 2 = 0 THEN {even} ELSE 2D * (1D - ({norm_cdf(root)})) + {odd} END")
 
 
 def hosmer_lemeshow(scored: DataFrame, n_groups: int = 10, **columns: str) -> DataFrame:
@@ -76,7 +63,8 @@ def hosmer_lemeshow(scored: DataFrame, n_groups: int = 10, **columns: str) -> Da
         F.sum(F.expr("power(sum_y - sum_p, 2) / spread")).alias("statistic"),
         F.greatest(F.count("*") - 2, F.lit(1)).cast("int").alias("dof"),
     )
-    return stat.withColumn("p_value", chi2_survival(F.col("statistic"), F.col("dof")))
+    rooted = stat.withColumn("root", F.sqrt("statistic"))
+    return rooted.withColumn("p_value", chi2_survival("statistic", "root", "dof")).drop("root")
 
 
 def reliability_table(scored: DataFrame, n_bins: int = 5, **columns: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
-from vintagerisk.functions.normal import norm_cdf, norm_quantile
+from vintagerisk.functions.normal import add_norm_cdf, add_norm_quantile
 from vintagerisk.functions.numeric import dbl, num
 
 # ---- calibration to the population -------------------------------------------------
@@ -182,12 +182,12 @@ def with_irb(df: DataFrame, maturity: str | None = None, sales: str | None = Non
     m = maturity or dbl(P.IRB_MATURITY)
     worst = dbl(NormalDist().inv_cdf(P.IRB_CONFIDENCE))
     correlation = asset_correlation(pd) if sales is None else firm_size_adjusted(asset_correlation(pd), sales)
-    out = df.selectExpr("*", f"{correlation} AS irb_correlation", f"{maturity_adjustment(pd)} AS irb_maturity")
-    out = out.withColumn("irb_g", norm_quantile(F.expr(floored_pd(pd))))
-    arg = F.expr(f"irb_g / sqrt(1 - irb_correlation) + sqrt(irb_correlation / (1 - irb_correlation)) * {worst}")
-    out = out.withColumn("irb_conditional_pd", norm_cdf(arg))
+    arg = f"irb_g / sqrt(1 - irb_correlation) + sqrt(irb_correlation / (1 - irb_correlation)) * {worst} AS irb_arg"
+    out = df.selectExpr("*", f"{correlation} AS irb_correlation", f"{maturity_adjustment(pd)} AS irb_maturity", f"{floored_pd(pd)} AS irb_pd")
+    out = add_norm_cdf(add_norm_quantile(out, "irb_pd", "irb_g").selectExpr("*", arg), "irb_arg", "irb_conditional_pd")
+    out = out.drop("irb_g", "irb_arg", "irb_pd")
     k = f"greatest(0D, ({lgd} * irb_conditional_pd - {floored_pd(pd)} * {lgd}) * (1 + ({m} - 2.5D) * irb_maturity) / (1 - 1.5D * irb_maturity))"
-    return out.withColumn("irb_k", checked(k, pd, lgd, "1D")).drop("irb_g")
+    return out.withColumn("irb_k", checked(k, pd, lgd, "1D"))
 
 
 def risk_weighted_assets(ead: str = "ead") -> Column:

@@ -19,8 +19,10 @@ ROWS_PER_RANGE = 1_000_000
 
 def range_splits(df: DataFrame, key: str) -> list[float]:
     """Cut points that leave about ROWS_PER_RANGE rows in each range (a heavy tie stays whole)."""
-    probabilities = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    found = df.agg(F.count(key).alias("n"), F.percentile_approx(F.col(key).cast("double"), probabilities, 10000).alias("cuts")).first()
+    probabilities = ", ".join(f"{i / MAX_RANGES!r}D" for i in range(1, MAX_RANGES))
+    found = df.selectExpr(f"cast({key} as double) AS k").agg(
+        F.count("k").alias("n"), F.expr(f"percentile_approx(k, array({probabilities}), 10000)").alias("cuts")
+    ).first()
     if not found.n:
         return []
     wanted = min(MAX_RANGES, max(MIN_RANGES, -(-found.n // ROWS_PER_RANGE)))
