@@ -73,9 +73,9 @@ def _summed(rows: DataFrame, features: list[str], models: list[Model], width: in
         yield pd.DataFrame({"m": index[0].ravel(), "j": index[1].ravel(), "s": total.ravel()})
 
     sums = rows.select(*features, "y", "hold").mapInPandas(partial, "m long, j long, s double").groupBy("m", "j").agg(F.sum("s").alias("s"))
+    got = sums.toPandas()  # models x width numbers
     out = np.zeros((len(models), width))
-    for r in sums.collect():  # models x width numbers
-        out[r.m, r.j] = r.s
+    out[got["m"].to_numpy(), got["j"].to_numpy()] = got["s"].to_numpy()
     return out
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vintagerisk import params as P
-from vintagerisk.plans.reference_sql import FEATURES_SQL, Z1_SQL, Z2_SQL, oracle, r, view, zone_sql
+from vintagerisk.plans.reference_sql import FEATURES_SQL, Z1_SQL, oracle, r, view, zone_sql
 
 INT = "CAST({} AS int) AS {}"
 
