@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagerisk.llm import block_naming, bpe, sharding, token_store
+from vintagerisk.llm import block_naming, bpe, jaccard_join, language_id, packing, secret_scan, sharding, token_store, vector_file, warc
 from vintagerisk.llm.frames import hex_sha256, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,91 @@ def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         hex_sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), hex_sha256(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 3)
+    model = language_id.fit(docs.where("fold <> 1"))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+@query
+def op5_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=0)
+
+
+@query
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl, archive = scratch(spark, "crawl"), scratch(spark, "warc")
+    lines = warc.write_monolithic(table(spark, sf_dir, "pages"), crawl)
+    files = warc.normalise(spark, crawl, warc.revisits(lines), archive)
+    return warc.read_archives(spark, archive, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op6_warc_normaliser"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS head FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND head <> page_id THEN head END AS refers_to
+FROM m
+"""
+
+
+@query
+def op9_vector_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_file.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+SQL["op9_vector_file_search"] = """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)]) AS bigint) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS integer) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query
+def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secret_scan.create_ledger(spark, scratch(spark, "ledger"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), ledger, path="doc_id")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    return found.select(
+        F.col("path").alias("doc_id"), *[of(k) for k in base],
+        hex_sha256(secret_scan.listing(F.col("spans"), base)).alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"),
+    )
+
+
+def _sql_spans(kind: str, rank: int, pattern: str, value: str, least: int) -> str:
+    """Spans of one kind in DuckDB: the gaps between the matches and the matches' lengths, added up."""
+    return f"""
+    SELECT doc_id, '{kind}' AS kind, {rank} AS rank, e - n AS start, e AS stop FROM (
+      SELECT doc_id, unnest(list_transform(range(1, len(hit) + 1), lambda i: CAST(list_sum(list_transform(gap[:i], lambda g: length(g))) + list_sum(list_transform(hit[:i], lambda h: length(h))) AS bigint))) AS e,
+             unnest(list_transform(hit, lambda h: length(h))) AS n, unnest(list_transform(val, lambda h: length(h))) AS size
+      FROM (SELECT doc_id, regexp_split_to_array(body, '{pattern}') AS gap, regexp_extract_all(body, '{pattern}') AS hit, {value} AS val FROM d)
+    ) WHERE size >= {least}"""
+
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ACCESS, _HEX, _PEM = "AKIA[A-Z0-9]+", "[0-9a-f]+", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+SQL["op10_blob_ledger"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+s AS ({_sql_spans('assign', 0, _ASSIGN, f"regexp_extract_all(body, '{_ASSIGN}', 2)", 6)} UNION ALL {_sql_spans('access', 1, _ACCESS, 'hit', 20)}
+  UNION ALL {_sql_spans('hex', 2, _HEX, 'hit', 24)} UNION ALL {_sql_spans('pem', 3, _PEM, 'hit', 1)}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
