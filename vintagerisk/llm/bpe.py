@@ -63,19 +63,20 @@ class BacktrackingEncoder(ChunkedEncoder):
         for t, k in number.items():
             self.automaton.add_word(t, k)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.added_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_added = regex.compile("|".join(map(regex.escape, sorted(self.added_ids, key=len, reverse=True)))) if self.added_ids else None
         self.pieces: dict[str, list[int]] = {}
-        super().__init__(lambda chunks: joined([self._uncut(c) for c in chunks]), self._with_added, list(self.added_ids))
+        super().__init__(lambda chunks: joined([self._uncut(c) for c in chunks]), self._with_added, list(self.added_ids), limit=300_000)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether rank-order merging keeps the border between these two tokens; answers are kept in the pair table."""
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
-            known = self.fits[left, right] = self._border_holds(left, right)
+            known = self.fits[pair] = self._border_holds(left, right)
         return known
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -122,7 +123,7 @@ class BacktrackingEncoder(ChunkedEncoder):
         for p in PIECE.findall(text):
             known = self.pieces.get(p)
             if known is None:
-                if len(self.pieces) > 500_000:
+                if len(self.pieces) > 150_000:
                     self.pieces.clear()
                 known = self.piece("".join([self.letter[b] for b in p.encode()]))
                 if len(p) < 64:
