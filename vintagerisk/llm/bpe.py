@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vintagerisk.llm.chunks import ChunkedEncoder, gather, joined, loaded
+from vintagerisk.llm.chunks import ChunkedEncoder, Ids, gather, loaded
 
 # fixed value: how byte-level BPE splits text into pieces
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -57,17 +57,16 @@ class BacktrackingEncoder(ChunkedEncoder):
             self.joined.setdefault(pair, made)
         texts = sorted(number, key=number.__getitem__)
         self.size = [len(t) for t in texts]
-        self.out = [self.vocab[t] for t in texts]
+        self.out = np.array([self.vocab[t] for t in texts], np.uint32)
         self.shorter = [next((number[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in number), None) for t in texts]
         self.automaton = ahocorasick.Automaton()
         for t, k in number.items():
-            self.automaton.add_word(t, k)
+            self.automaton.add_word(t, (k, len(t)))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
         self.added_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_added = regex.compile("|".join(map(regex.escape, sorted(self.added_ids, key=len, reverse=True)))) if self.added_ids else None
-        self.pieces: dict[str, list[int]] = {}
-        super().__init__(lambda chunks: joined([self._uncut(c) for c in chunks]), self._with_added, list(self.added_ids), limit=300_000)
+        super().__init__(self._many, self._with_added, list(self.added_ids), limit=500_000)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether rank-order merging keeps the border between these two tokens; answers are kept in the pair table."""
@@ -96,18 +95,15 @@ class BacktrackingEncoder(ChunkedEncoder):
 
     def piece(self, letters: str) -> list[int]:
         longest = [0] * len(letters)
-        size = self.size
-        for end, k in self.automaton.iter(letters):
-            start = end + 1 - size[k]
-            if size[k] > size[longest[start]] or longest[start] < 256:
-                longest[start] = k
+        for end, (k, n) in self.automaton.iter(letters):
+            longest[end + 1 - n] = k  # matches come by their ends, so the last one at a start is the longest
+        size, shorter, compatible = self.size, self.shorter, self.compatible
         alive = bytearray(b"\x01") * (len(letters) + 1)
         taken: list[int] = []
         at, token = 0, longest[0]
         while at < len(letters):
-            last = taken[-1] if taken else None
-            while token is not None and not (alive[at + size[token]] and (last is None or self.compatible(last, token))):
-                token = self.shorter[token]
+            while token is not None and not (alive[at + size[token]] and (not taken or compatible(taken[-1], token))):
+                token = shorter[token]
             if token is None:
                 alive[at] = 0
                 token = taken.pop()
@@ -116,27 +112,27 @@ class BacktrackingEncoder(ChunkedEncoder):
                 taken.append(token)
                 at += size[token]
                 token = longest[at] if at < len(letters) else None
-        return [self.out[k] for k in taken]
+        return taken
 
-    def _uncut(self, text: str) -> np.ndarray:
+    def _uncut(self, text: str) -> list[int]:
         ids: list[int] = []
         for p in PIECE.findall(text):
-            known = self.pieces.get(p)
-            if known is None:
-                if len(self.pieces) > 150_000:
-                    self.pieces.clear()
-                known = self.piece("".join([self.letter[b] for b in p.encode()]))
-                if len(p) < 64:
-                    self.pieces[p] = known
-            ids += known
-        return np.array(ids, np.uint32)
+            ids += self.piece(p.encode().decode("latin-1").translate(self.letter))
+        return ids
+
+    def _many(self, chunks: list[str]) -> Ids:
+        sizes, ids = [0], []
+        for c in chunks:
+            ids += self._uncut(c)
+            sizes.append(len(ids))
+        return np.array(sizes), self.out[ids]
 
     def _with_added(self, text: str) -> np.ndarray:
         out, at = [], 0
         for m in self.at_added.finditer(text):
-            out += [self._uncut(text[at : m.start()]), np.array([self.added_ids[m[0]]], np.uint32)]
+            out += [self.out[self._uncut(text[at : m.start()])], np.array([self.added_ids[m[0]]], np.uint32)]
             at = m.end()
-        return np.concatenate([*out, self._uncut(text[at:])])
+        return np.concatenate([*out, self.out[self._uncut(text[at:])]])
 
 
 class OffsetDecoder:
@@ -166,7 +162,7 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, (offsets, values) in loaded(BacktrackingEncoder, told.value).batches(batch.column(text)):
+            for at, (offsets, values) in loaded(BacktrackingEncoder, told.value).batches(batch.column(text), 1 << 22):
                 rows = batch.slice(at, len(offsets) - 1)
                 made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in keep], made], [*[f.name for f in keep], ids])

@@ -2,7 +2,8 @@
 
 A text is cut at each space that a non-space character follows. The pre-tokenizers of the supported files always
 start a new piece there, so the ids of a text are its chunks' ids in a row. Chunks repeat: Arrow splits a batch and
-numbers its distinct chunks, only these are encoded, and the ids are gathered back by number. A text that holds the
+numbers its distinct chunks, only these are encoded, and the ids are gathered back by number. Of a chunk that is a word with punctuation behind it (no apostrophe first), the two are encoded
+apart, since a piece always ends between them. A text that holds the
 string of an added token is never cut. A batch is worked on in slices of some megabytes, or of one longer text.
 """
 
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 
 SPACE_RUN = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 CUT = re.compile(r" (?=\S)")
+TAIL = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)")
 Ids = tuple[np.ndarray, np.ndarray]  # offsets (one more than texts), ids
 
 
@@ -43,17 +45,28 @@ class ChunkedEncoder:
         self.known: dict[str, int] = {}
         self.offsets, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
+    def _add(self, chunks: list[str], offsets: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(chunks, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(chunks)), strict=True))
+        self.offsets = np.concatenate([self.offsets, len(self.ids) + offsets[1:]])
+        self.ids = np.concatenate([self.ids, ids])
+
     def _of_distinct(self, chunks: list[str]) -> np.ndarray:
         """Places of the chunks in `offsets`."""
         missing = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(missing) > self.limit:
+        if len(self.known) + 2 * len(missing) > self.limit:
             self._forget()
             missing = chunks
         if missing:
-            self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing)), strict=True))
-            offsets, ids = self.encode_many(missing)
-            self.offsets = np.concatenate([self.offsets, len(self.ids) + offsets[1:]])
-            self.ids = np.concatenate([self.ids, ids])
+            cuts = [TAIL.fullmatch(c) for c in missing]
+            parts = [p for m in cuts if m for p in m.groups()]
+            uncut = [c for c, m in zip(missing, cuts, strict=True) if not m]
+            new = [p for p in dict.fromkeys([*parts, *uncut]) if p not in self.known]
+            if new:
+                self._add(new, *self.encode_many(new))
+            if parts:
+                row = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+                at, size = self.offsets[row], self.offsets[row + 1] - self.offsets[row]
+                self._add([c for c, m in zip(missing, cuts, strict=True) if m], np.r_[0, np.cumsum(size)][::2], gather(at, size, self.ids))
         return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def _of_lists(self, lists: pa.ListArray) -> Ids:
