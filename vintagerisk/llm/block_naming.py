@@ -54,7 +54,7 @@ def identities(docs: DataFrame, size: int = BLOCK_CHARS, locator=F.xxhash64, doc
     every = cut.select(F.explode("blocks").alias("block")).select(locator(F.col("block")).alias("at"), "block")
     # the block itself is sorted on, but only its locator is written beside the name
     first = land(every.distinct().sortWithinPartitions("block").select("at", F.monotonically_increasing_id().alias("name")), "block-names")
-    named = first.groupBy("at").agg(F.count(F.lit(1)).alias("of"), F.min("name").alias("name"))
+    named = land(first.groupBy("at").agg(F.count(F.lit(1)).alias("of"), F.min("name").alias("name")), "locators")
     places = rows.select("row", F.size("at").alias("n"), F.posexplode("at").alias("pos", "at"))
     level = places.join(named, "at").select("row", "n", "pos", "at", F.when(F.col("of") == 1, F.col("name")).alias("name"))
     shared = named.where("of > 1").select("at")
@@ -93,7 +93,7 @@ def _by_content(level: DataFrame, cut: DataFrame, rows: DataFrame, shared: DataF
 def duplicates(docs: DataFrame, size: int = BLOCK_CHARS, locator=F.xxhash64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
     found = land(identities(docs, size, locator, doc_id, text), "identities")
-    groups = found.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = land(found.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return found.join(groups, ["n_blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
