@@ -27,10 +27,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(now)
     while True:
         both = now.union(now.select("lo", "hi"))
-        least = both.groupBy("hi").agg(F.min("lo").alias("least")).select("hi", F.least("hi", "least").alias("least"))
+        least = land(both.groupBy("hi").agg(F.min("lo").alias("least")).select("hi", F.least("hi", "least").alias("least")), "least")
         large = _downward(both.where("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")))
         large = land(large, "large-star")
-        least = large.groupBy("hi").agg(F.min("lo").alias("least"))
+        least = land(large.groupBy("hi").agg(F.min("lo").alias("least")), "least")
         small = large.join(least, "hi").select("hi", "lo", "least")
         new = land(_downward(small.select(F.inline(F.array(F.struct("hi", F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))))), "small-star")
         before, state = state, _state(new)

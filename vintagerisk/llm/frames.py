@@ -20,7 +20,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: each row is computed once, and lost executors cost nothing."""
+    """Write a frame to the shared folder and read it back: each row is computed once, and lost executors cost nothing.
+
+    A join whose sides are both read from tables is one that Spark can split at a hot key while it runs.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)

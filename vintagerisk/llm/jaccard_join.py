@@ -127,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def neighbourhoods(texts: DataFrame) -> DataFrame:
     """(node, root): texts (row, bands) that shared bands tie together, directly or through others; single ones are left out."""
     keyed = texts.select("row", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").select("key", "least")
+    shared = land(keyed.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").select("key", "least"), "shared")
     ties = keyed.join(shared, "key").where("row > least").select("row", "least").distinct()
     tied = components(ties, "row", "least")
     return land(tied.union(tied.select("root", "root").distinct()), "neighbourhoods")
@@ -209,7 +209,7 @@ def near_duplicates(
     copies = land(rows.where("minima IS NOT NULL").groupBy("words_id").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("doc_id")), "copies")
     texts = rows.select("row", "bands").join(copies.select(F.col("first").alias("row")).hint("shuffle_hash"), "row", "left_semi")
     near = neighbourhoods(texts)
-    size = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    size = land(near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "sizes")
     own = near.join(size, "root").select("root", F.col("node").alias("row"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     own = own.join(rows.select("row", "doc_id", "words_id", "minima"), "row")
     own = source.withColumn("words_id", hex_sha256(F.col("words"))).alias("s").join(
@@ -218,14 +218,14 @@ def near_duplicates(
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = own.select("*", other.alias("other")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "minima", "words")
     found = land(compared(members, threshold, tolerance), "links")
-    links = found.groupBy("row").agg(F.sum("n_links").alias("n_links"))
+    links = found.groupBy("row").agg(F.sum("n_links").alias("n_links")).withColumnRenamed("row", "linked")
     tied = components(found, "row", "least")
-    text_class = copies.join(tied, F.col("first") == F.col("node"), "left").join(links, F.col("first") == links["row"], "left").select(
+    text_class = copies.join(tied, F.col("first") == F.col("node"), "left").join(links, F.col("first") == F.col("linked"), "left").select(
         "words_id", "n_copies", "doc_id", F.coalesce("root", "first").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     text_class = land(text_class, "classes")
-    named = text_class.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    text_class = text_class.join(named, "root").select("words_id", "class_id", "n_links", "n_copies")
+    named = land(text_class.groupBy("root").agg(F.min("doc_id").alias("class_id")), "class-names")
+    text_class = land(text_class.join(named, "root").select("words_id", "class_id", "n_links", "n_copies"), "named-classes")
     none = F.col("minima").isNull()
     plain = rows.where(none).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "words_id")
     full = rows.where(~none).select("doc_id", "words_id").join(text_class, "words_id").select("doc_id", "class_id", "n_links", "n_copies", "words_id")

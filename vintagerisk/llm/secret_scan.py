@@ -103,7 +103,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     present = F.concat_ws(":", "kind", "rule_version").isin([f"{r.kind}:{r.version}" for r in rules])
     found = spark.read.schema(LEDGER).parquet(ledger).where((F.size("spans") > 0) & present)
     listed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("kind")].alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind")))
-    by_blob = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(listed))).alias("spans"))
+    by_blob = land(found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(listed))).alias("spans")), "found")
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     return rows.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagerisk.llm.files import opened, replacing
-from vintagerisk.llm.frames import pick
+from vintagerisk.llm.frames import land, pick
 
 LEAST_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -150,7 +150,8 @@ def revisits(lines: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Per line: file, record, revisit (boolean), refers_to."""
     place = F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("order"), "file", "record", "page_id")
     keyed = lines.withColumn("place", place)
-    heads = keyed.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.max("place").alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1")
+    groups = keyed.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes")
+    heads = land(groups.agg(F.max("place").alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1"), "heads")
     chosen = keyed.join(heads, ["digest", "payload_bytes"], "left")
     again = F.col("head").isNotNull() & ((F.col("head.file") != F.col("file")) | (F.col("head.record") != F.col("record")))
     return chosen.select("file", "record", again.alias("revisit"), F.when(again, F.col("head.page_id")).alias("refers_to"))
