@@ -10,8 +10,8 @@ naming table shows for each locator whether it stands for one block only; blocks
 block are named a second time by their whole content. So a weak locator costs time, never a wrong name.
 
 Null text counts as empty. Of equal texts the smallest doc_id stays, null doc_ids last; repeated rows of the doc_id that
-stays are all marked as kept (`deduplicate` returns one of them). Names need no order between documents. No rows: no rows.
-Other columns of the input are not read by `identities`; `deduplicate` returns all of them.
+stays are all marked as kept (`deduplicate` returns one of them). No rows: no rows. Other columns of the input are not read by `identities`;
+`deduplicate` returns all of them. The input is a table: it is read more than once, and its rows are told by their place.
 """
 
 from __future__ import annotations
@@ -43,14 +43,8 @@ def numbered(distinct: DataFrame, *by: str) -> DataFrame:
 def identities(docs: DataFrame, size: int = BLOCK_CHARS, locator=F.xxhash64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: row (own number), doc_id, text_sha256, n_blocks, name; equal (n_blocks, name) means equal text."""
     source = pick(docs, doc_id=doc_id, text=text).select("doc_id", normalised(F.col("text")).alias("text"))
-    cut = source.select("doc_id", "text", blocks(F.col("text"), size).alias("blocks"))
-    rows = land(
-        cut.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", hex_sha256(F.col("text")).alias("text_sha256"),
-            F.transform("blocks", lambda b: locator(b)).alias("at"),
-        ),
-        "rows",
-    )
+    cut = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", blocks(F.col("text"), size).alias("blocks"))
+    rows = land(cut.select("row", "doc_id", hex_sha256(F.col("text")).alias("text_sha256"), F.transform("blocks", lambda b: locator(b)).alias("at")), "rows")
     every = cut.select(F.explode("blocks").alias("block")).select(locator(F.col("block")).alias("at"), "block")
     # the block itself is sorted on, but only its locator is written beside the name
     first = land(every.distinct().sortWithinPartitions("block").select("at", F.monotonically_increasing_id().alias("name")), "block-names")
@@ -59,7 +53,7 @@ def identities(docs: DataFrame, size: int = BLOCK_CHARS, locator=F.xxhash64, doc
     level = places.join(named, "at").select("row", "n", "pos", "at", F.when(F.col("of") == 1, F.col("name")).alias("name"))
     shared = named.where("of > 1").select("at")
     if not shared.isEmpty():
-        level = level.select("row", "n", "pos", "at", "name").transform(lambda df: _by_content(df, cut, rows, shared, locator))
+        level = _by_content(level, cut, shared, locator)
     level = land(level.select("row", "n", "pos", "name"), "level")
     done = [level.where("n = 1").select("row", F.lit(1).cast("long").alias("n_blocks"), "name")]
     longest = rows.agg(F.max(F.size("at"))).first()[0] or 1
@@ -81,12 +75,12 @@ def identities(docs: DataFrame, size: int = BLOCK_CHARS, locator=F.xxhash64, doc
     return rows.select("row", "doc_id", "text_sha256").join(found, "row")
 
 
-def _by_content(level: DataFrame, cut: DataFrame, rows: DataFrame, shared: DataFrame, locator) -> DataFrame:
+def _by_content(level: DataFrame, cut: DataFrame, shared: DataFrame, locator) -> DataFrame:
     """Names for the blocks whose locator stands for several blocks; negative, so that they meet no other name."""
-    content = cut.select(F.explode("blocks").alias("block")).select(locator(F.col("block")).alias("at"), "block").join(shared, "at", "left_semi")
+    every = cut.select("row", F.posexplode("blocks").alias("pos", "block")).withColumn("at", locator(F.col("block")))
+    content = land(every.join(shared, "at", "left_semi").select("row", "pos", "block"), "shared-blocks")
     own = numbered(content.select("block").distinct(), "block").select("block", (-2 - F.col("name")).alias("own"))
-    numbered_rows = cut.select(F.monotonically_increasing_id().alias("row"), F.posexplode("blocks").alias("pos", "block"))
-    where = numbered_rows.withColumn("at", locator(F.col("block"))).join(shared, "at", "left_semi").join(own, "block").select("row", "pos", "own")
+    where = content.join(own, "block").select("row", "pos", "own")
     return level.join(where, ["row", "pos"], "left").withColumn("name", F.coalesce("name", "own"))
 
 

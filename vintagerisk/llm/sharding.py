@@ -55,4 +55,5 @@ def place(docs: DataFrame, shards: Sequence[str], key: str = "doc_id", size: int
     rows = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(owner.tolist())], "slot long, shard string")
     spread = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), F.lit(size))
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("slot", "shard")], spread.alias("slot"))
-    return kept.join(F.broadcast(rows), "slot")
+    columns = [F.col(f"`{c}`") for c in [*kept.columns, "shard"]]
+    return kept.join(F.broadcast(rows), "slot").select(*columns)

@@ -14,7 +14,7 @@ Null vectors, vectors with a null or non-finite component, and rows without a nu
 length than the query's are not compared with it. Rows that repeat number and vector count once; a number with two
 vectors is two candidates and, if asked for, two queries; no row of the query's own number is its result. Ties go to the
 smaller number. Fewer candidates than k: all of them. Empty vectors score 0. Products beyond 53 bits are computed in
-Python integers and clipped to the range of a long. Columns other than the two named are not read.
+Python integers and clipped to the range of a long before they are ranked. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -61,6 +61,10 @@ def _matrix(column: pa.Array, rows: np.ndarray, dim: int, kind: type) -> np.ndar
     return values[start[:, None] + np.arange(dim)].astype(kind)
 
 
+def clipped(score: int) -> int:
+    return min(max(score, -(2**63) + 1), 2**63 - 1)
+
+
 class Block:
     """A block of queries of one length, and their bounds."""
 
@@ -134,7 +138,7 @@ def _read_exact(batches: Iterator[pa.RecordBatch], blocks: dict[int, Block], rea
                     if not wide and len(have) == k and -have[-1][0] > upper[i][order[at]]:
                         break  # no later vector can reach the k-th
                     part = order[at : at + chunk]
-                    scores = [sum(a * int(b) for a, b in zip(q, exact[p], strict=True)) for p in part] if wide else (exact[part] @ q).tolist()
+                    scores = [clipped(sum(a * int(b) for a, b in zip(q, exact[p], strict=True))) for p in part] if wide else (exact[part] @ q).tolist()
                     for p, score in zip(part.tolist(), scores, strict=True):
                         if len(have) == k and -score > have[-1][0]:
                             continue
@@ -143,8 +147,7 @@ def _read_exact(batches: Iterator[pa.RecordBatch], blocks: dict[int, Block], rea
                         del have[k:]
     for (dim, i), have in best.items():
         if have:
-            clipped = [min(max(-s, -(2**63)), 2**63 - 1) for s, _ in have]
-            yield pa.RecordBatch.from_pydict({"query": pa.array([int(blocks[dim].number[i])] * len(have), pa.int64()), "query_id": pa.array([int(blocks[dim].ids[i])] * len(have), pa.int64()), "vec_id": pa.array([x for _, x in have], pa.int64()), "score": pa.array(clipped, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"query": pa.array([int(blocks[dim].number[i])] * len(have), pa.int64()), "query_id": pa.array([int(blocks[dim].ids[i])] * len(have), pa.int64()), "vec_id": pa.array([x for _, x in have], pa.int64()), "score": pa.array([-s for s, _ in have], pa.int64())})
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
