@@ -70,10 +70,12 @@ def _current() -> Column:
 def with_epoch(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None) -> DataFrame:
     """Attach the earliest observation date that sees each fact; facts no date sees are dropped.
 
-    Known grids become a CASE chain.  Otherwise a day calendar is derived from the
-    distinct dates; it has one row per day, so a century is 36,525 rows whatever the
-    data size, and broadcasting it is safe.
+    A fact without a filing date has no place in time and is never seen.  Known grids
+    become a CASE chain.  Otherwise a day calendar is derived from the distinct dates; it
+    has one row per day, so a century is 36,525 rows whatever the data size, and
+    broadcasting it is safe.  Both forms give the same epochs.
     """
+    facts = facts.where(F.col("filed").isNotNull())
     if dates is not None and len(dates) <= 64:
         chain = None
         for day in sorted(set(dates)):

@@ -35,28 +35,27 @@ def brier_decomposition(scored: DataFrame, n_bins: int = 10, p: str = "p", y: st
     )
 
 
-def chi2_survival(x: str, root: str, dof: str, max_dof: int = 64) -> Column:
+def chi2_survival(x: str, root: str, dof: str) -> Column:
     """P(chi-square > x) for integer degrees of freedom, by the finite series; `root` names sqrt(x).
 
     Even dof: a sum of Poisson terms.  Odd dof: the normal tail plus the same kind of sum.
+    The series has as many terms as the dof asks for, and each is taken from its logarithm,
+    so a large statistic does not underflow on the way.
     """
-    steps = f"sequence(1, {max_dof // 2})"
+    def series(first: str, factor: str, terms: str) -> str:
+        start = f"named_struct('log_term', {first}, 'total', 0D)"
+        grown = f"named_struct('log_term', chi_acc.log_term + ln({factor}), 'total', chi_acc.total + exp(chi_acc.log_term))"
+        steps = f"CASE WHEN {terms} >= 1 THEN sequence(1, cast({terms} as int)) ELSE cast(array() as array<int>) END"
+        return f"aggregate({steps}, {start}, (chi_acc, chi_step) -> {grown}, chi_acc -> chi_acc.total)"
 
-    def series(first: str, factor: str, keep: str) -> str:
-        start = f"named_struct('term', {first}, 'total', 0D)"
-        grown = f"named_struct('term', s.term * {factor}, 'total', s.total + s.term)"
-        return f"aggregate({steps}, {start}, (s, i) -> CASE WHEN {keep} THEN {grown} ELSE s END, s -> s.total)"
-
-    even = series(f"exp(-{x} / 2D)", f"{x} / (2D * i)", f"2 * i <= {dof}")
-    odd = series(f"sqrt(2D * {x} / pi()) * exp(-{x} / 2D)", f"{x} / (2D * i + 1D)", f"2 * i + 1 <= {dof}")
-    return F.expr(f"CASE WHEN {dof} % 2 = 0 THEN {even} ELSE 2D * (1D - ({norm_cdf(root)})) + {odd} END")
+    even = series(f"-{x} / 2D", f"{x} / (2D * chi_step)", f"{dof} DIV 2")
+    odd = series(f"ln(sqrt(2D * {x} / pi())) - {x} / 2D", f"{x} / (2D * chi_step + 1D)", f"({dof} - 1) DIV 2")
+    tail = f"CASE WHEN {dof} % 2 = 0 THEN {even} ELSE 2D * (1D - ({norm_cdf(root)})) + {odd} END"
+    return F.expr(f"CASE WHEN {x} <= 0 THEN 1D ELSE {tail} END")
 
 
 def hosmer_lemeshow(scored: DataFrame, n_groups: int = 10, **columns: str) -> DataFrame:
-    """Chi-square over equal-count groups; groups with no variance are left out of the count.
-
-    Low power on few positives: not rejecting is no evidence of calibration.
-    """
+    """Chi-square over equal-count groups, any number of them; groups with no variance are left out of the count."""
     groups = equal_count_buckets(scored, n_groups, **columns)
     used = groups.selectExpr("sum_y", "sum_p", "sum_p * (1 - sum_p / n) AS spread").where("spread > 1e-9D")
     stat = used.agg(

@@ -148,10 +148,11 @@ def gap_fields(snapshots: DataFrame) -> DataFrame:
     return snapshots.where(any_gap).withColumn("missing_fields", missing).withColumn("is_positive", F.col("label") == 1)
 
 
-def gap_tags(snapshots: DataFrame, entries: DataFrame, per_gap: int = 10, near_days: int = 7) -> DataFrame:
+def gap_tags(snapshots: DataFrame, entries: DataFrame, per_gap: int | None = None, near_days: int = 7) -> DataFrame:
     """Tags reported close to the period of a field that is still missing.
 
-    Each (issuer, field) is explained once, at its first gap.  Entries are reduced to
+    Each (issuer, field) is explained once, at its first gap; `per_gap` keeps only that many of
+    its tags, by `position`, for a printed report.  Entries are reduced to
     distinct values before the join, which matches on issuer and on a +/- one-week window.
     """
     probes = ", ".join(f"'{f}', {f}, '{pattern}'" for f, pattern in P.GAP_PROBES.items())
@@ -180,13 +181,15 @@ def gap_tags(snapshots: DataFrame, entries: DataFrame, per_gap: int = 10, near_d
         "*", "row_number() OVER (PARTITION BY ticker, field ORDER BY off_span, tag, span_days, value, filed) AS position"
     )
     known = [t for tags in (P.INSTANT_FIELDS | P.DURATION_FIELDS).values() for t in tags]
-    return ranked.where(f"position <= {per_gap}").select(
+    if per_gap is not None:
+        ranked = ranked.where(F.col("position") <= per_gap)
+    return ranked.select(
         "ticker", "field", "gap_period", "position", "tag", "span_days", "value", "filed", F.col("tag").isin(*known).alias("in_schema")
     )
 
 
-def tag_census(entries: DataFrame, top: int = 18) -> DataFrame:
-    """Debt and interest tags each issuer reports, by number of annual period ends."""
+def tag_census(entries: DataFrame, top: int | None = None) -> DataFrame:
+    """Debt and interest tags each issuer reports, by number of annual period ends; `top` cuts the list for print."""
     known = [t for tags in (P.INSTANT_FIELDS | P.DURATION_FIELDS).values() for t in tags]
     per_period = (
         entries.where("form LIKE '10-K%'").where(F.col("tag").rlike(P.TAG_CENSUS_PATTERN))
@@ -196,4 +199,6 @@ def tag_census(entries: DataFrame, top: int = 18) -> DataFrame:
         F.count("*").alias("period_ends"), F.year(F.min("period_end")).alias("first_year"), F.year(F.max("period_end")).alias("last_year")
     )
     ranked = per_tag.selectExpr("*", "row_number() OVER (PARTITION BY cik ORDER BY period_ends DESC, tag) AS position")
-    return ranked.where(f"position <= {top}").withColumn("in_schema", F.col("tag").isin(*known))
+    if top is not None:
+        ranked = ranked.where(F.col("position") <= top)
+    return ranked.withColumn("in_schema", F.col("tag").isin(*known))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
+from vintagerisk.functions.numeric import no_nan
 
 FACT_KEY = ["cik", "field", "period_end", "filed"]
 FACT_COLUMNS = ["cik", "source", "field", "period_end", "filed", "form", "fiscal_year", "value", "tag"]
@@ -47,7 +48,8 @@ REQUIRED_COLUMNS = {"cik", "field", "period_end", "value", "filed"}
 def normalise_source(raw: DataFrame, source: str) -> DataFrame | None:
     """Bring a second producer's table to the fact columns; None when it cannot be trusted.
 
-    Without a filing date there is no point-in-time guarantee, so such a table is refused.
+    Without a filing date there is no point-in-time guarantee: a table without the column is
+    refused, and so is a single row without the date.  NaN becomes NULL.
     """
     lowered = raw.toDF(*[c.lower() for c in raw.columns])
     if not REQUIRED_COLUMNS <= set(lowered.columns):
@@ -64,9 +66,9 @@ def normalise_source(raw: DataFrame, source: str) -> DataFrame | None:
         F.to_date("filed").alias("filed"),
         "form",
         "fiscal_year",
-        F.col("value").cast("double").alias("value"),
+        no_nan(F.col("value").cast("double")).alias("value"),
         "tag",
-    )
+    ).where("filed IS NOT NULL")
 
 
 def prefer_source(preferred: DataFrame | None, fallback: DataFrame) -> DataFrame:

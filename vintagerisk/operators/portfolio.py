@@ -114,6 +114,7 @@ def mix_lgd(
         return f"aggregate(map_entries({mix}), 0D, (a, e) -> a + e.value * try_element_at({lgds}, e.key))"
 
     problem = f"""CASE WHEN {mix} IS NULL OR size({mix}) = 0 THEN 'no exposure mix'
+        WHEN {total} IS NULL OR isnan({total}) THEN 'weight missing'
         WHEN abs({total} - 1) > {dbl(P.WEIGHT_TOLERANCE)} THEN 'weights do not sum to 1'
         WHEN exists(map_keys({mix}), k -> try_element_at({basis}, k) IS NULL) THEN 'unknown seniority class'
         WHEN size(array_distinct(transform(map_keys({mix}), k -> try_element_at({basis}, k)))) > 1 THEN 'mixed recovery bases' END"""
@@ -129,14 +130,16 @@ def mix_lgd(
 
 
 def facility_ead(tape: DataFrame, factors: dict[str, float] = P.CREDIT_CONVERSION) -> DataFrame:
-    """Drawn plus converted undrawn amount; unknown instruments and negative amounts get no EAD but a reason."""
+    """Drawn plus converted undrawn amount; unknown instruments and missing or negative amounts get no EAD but a reason."""
     cases = " ".join(f"WHEN '{k}' THEN {dbl(v)}" for k, v in factors.items())
     return tape.selectExpr(
         "*", f"CASE instrument {cases} END AS ccf"
     ).selectExpr(
         "*",
-        "CASE WHEN drawn < 0 OR undrawn < 0 THEN 'negative amount' WHEN ccf IS NULL THEN 'no conversion factor' END AS ead_problem",
-        "CASE WHEN drawn >= 0 AND undrawn >= 0 THEN drawn + ccf * undrawn END AS ead",
+        "CASE WHEN drawn < 0 OR undrawn < 0 THEN 'negative amount' WHEN ccf IS NULL THEN 'no conversion factor' "
+        "WHEN drawn IS NULL OR undrawn IS NULL OR isnan(drawn) OR isnan(undrawn) THEN 'amount missing' END AS ead_problem",
+    ).selectExpr(
+        "*", "CASE WHEN ead_problem IS NULL THEN drawn + ccf * undrawn END AS ead",
     )
 
 
@@ -195,14 +198,25 @@ def risk_weighted_assets(ead: str = "ead") -> Column:
 
 
 def portfolio_totals(df: DataFrame, by: list[str] | None = None, maturity: str | None = None) -> DataFrame:
-    """Portfolio sums over columns pd, lgd, ead; `by` breaks them down with subtotals (rollup)."""
+    """Portfolio sums over columns pd, lgd, ead; `by` breaks them down with subtotals (rollup).
+
+    Every sum and weight runs over one set of rows, the facilities with PD, LGD and EAD.
+    Facilities without one of them are counted in `refused_facilities`, and what is known
+    of their exposure stands in `refused_ead`.  A value out of range stops the job.
+    """
     missing = {"pd", "lgd", "ead"} - set(df.columns)
     if missing:
         raise KeyError(f"portfolio frame lacks {sorted(missing)}")
-    rows = with_irb(df, maturity).withColumn("el", expected_loss())
+    usable = "pd IS NOT NULL AND lgd IS NOT NULL AND ead IS NOT NULL AND NOT isnan(pd) AND NOT isnan(lgd) AND NOT isnan(ead)"
+    marked = df.withColumn("usable", F.expr(usable))
+    own = [F.when(F.col("usable"), F.col(c)).alias(c) for c in ("pd", "lgd", "ead")]
+    kept = [c for c in marked.columns if c not in ("pd", "lgd", "ead")]
+    rows = marked.select(*kept, *own, F.when(~F.col("usable") & ~F.isnan("ead"), F.col("ead")).alias("unused_ead"))
+    rows = with_irb(rows, maturity).withColumn("el", expected_loss())
     grouped = rows.rollup(*by) if by else rows.groupBy()
     sums = grouped.agg(
-        F.count("*").alias("facilities"), F.sum("ead").alias("total_ead"), F.sum("el").alias("expected_loss"),
+        F.count_if("usable").alias("facilities"), F.count_if(~F.col("usable")).alias("refused_facilities"), F.sum("unused_ead").alias("unused"),
+        F.sum("ead").alias("total_ead"), F.sum("el").alias("expected_loss"),
         F.sum(F.expr("irb_k * ead")).alias("capital_requirement"),
         F.sum(F.expr("pd * ead")).alias("pd_ead"), F.sum(F.expr("lgd * ead")).alias("lgd_ead"),
     )
@@ -210,6 +224,7 @@ def portfolio_totals(df: DataFrame, by: list[str] | None = None, maturity: str |
         *(by or []), "facilities", "total_ead", "expected_loss", "expected_loss / nullif(total_ead, 0D) AS expected_loss_rate",
         "capital_requirement", f"capital_requirement * {dbl(P.RWA_MULTIPLE)} AS rwa",
         "pd_ead / nullif(total_ead, 0D) AS exposure_weighted_pd", "lgd_ead / nullif(total_ead, 0D) AS exposure_weighted_lgd",
+        "refused_facilities", "coalesce(unused, 0D) AS refused_ead",
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
+from vintagerisk.sources.storage import shared_folder
 
 
 def normalise_cik(raw: Column) -> Column:
@@ -78,18 +80,28 @@ def universe_violations(issuers: DataFrame, require_verified: bool = True) -> Da
     problem = (
         F.when(F.col("cik").isNull() | (F.col("cik") == ""), "cik unresolved")
         .when(default & empty, "defaulted issuer has no exposure mix")
+        .when(default & (total.isNull() | F.isnan(total)), "exposure weight missing")
         .when(default & (F.abs(total - 1) > P.WEIGHT_TOLERANCE), "exposure weights do not sum to 1")
     )
     if require_verified:
-        problem = problem.when(default & ~F.col("verified"), "default event unverified")
+        problem = problem.when(default & ~F.coalesce("verified", F.lit(False)), "default event unverified")
     return issuers.withColumn("problem", problem).where(F.col("problem").isNotNull()).select("ticker", "cik", "default_date", "problem")
 
 
-def require_valid(issuers: DataFrame, require_verified: bool = True) -> None:
-    """Stop a run whose universe is not fit to train on, listing the first problems."""
-    found = universe_violations(issuers, require_verified).orderBy("ticker").take(50)
-    if found:
-        raise ValueError("universe is not ready: " + "; ".join(f"{r.ticker}: {r.problem}" for r in found))
+def require_valid(issuers: DataFrame, require_verified: bool = True, shown: int = 20) -> None:
+    """Stop a run whose universe is not fit to train on.
+
+    All violations go to a table in the shared folder; the error names it, counts them by
+    problem, and quotes the first `shown`.
+    """
+    path = f"{shared_folder(issuers.sparkSession)}/universe-violations-{uuid.uuid4().hex}"
+    universe_violations(issuers, require_verified).write.parquet(path)
+    found = issuers.sparkSession.read.parquet(path)
+    counts = found.groupBy("problem").count().orderBy("problem").collect()
+    if counts:
+        total = ", ".join(f"{r['count']} x {r.problem}" for r in counts)
+        first = "; ".join(f"{r.ticker}: {r.problem}" for r in found.orderBy("ticker").take(shown))
+        raise ValueError(f"universe is not ready ({total}; all in {path}): {first}")
 
 
 def sync_universe(external: DataFrame, present: DataFrame) -> DataFrame:

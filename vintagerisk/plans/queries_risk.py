@@ -119,6 +119,6 @@ def q_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Portfolio totals by sector with the grand total."""
     out = portfolio.portfolio_totals(rated_tape(spark, sf_dir), by=["sector"], maturity="maturity_years")
     return tidy(
-        out, total_ead=2, expected_loss=2, expected_loss_rate=8, capital_requirement=2, rwa=2,
+        out.drop("refused_facilities", "refused_ead"), total_ead=2, expected_loss=2, expected_loss_rate=8, capital_requirement=2, rwa=2,
         exposure_weighted_pd=8, exposure_weighted_lgd=8,
     )

@@ -149,7 +149,7 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cik ORDER BY perio
          CAST(year(max(period_end)) AS int) AS last_year, tag IN {KNOWN} AS in_schema
   FROM usd_entries WHERE starts_with(form, '10-K')
     AND regexp_matches(tag, '(Debt|Borrowing|NotesPayable|SeniorNotes|LineOfCredit|CommercialPaper|FinanceLease|Interest)', 'i')
-  GROUP BY cik, tag)) WHERE position <= 18""", "usd_entries")
+  GROUP BY cik, tag))""", "usd_entries")
 view("probes", ["gap_rows"], " UNION ALL ".join(
     f"SELECT cik, ticker, as_of, period_end AS gap_period, '{f}' AS field, '{p}' AS pattern FROM gap_rows WHERE {f} IS NULL"
     for f, p in P.GAP_PROBES.items()))
@@ -160,5 +160,4 @@ SELECT ticker, field, gap_period, position, tag, span_days, {r('value', 4)}, fil
  FROM (SELECT DISTINCT g.ticker, g.field, g.gap_period, e.tag, CAST(date_diff('day', e.start_day, e.period_end) AS int) AS span_days, e.value, e.filed
        FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, field ORDER BY as_of) AS k FROM probes) WHERE k = 1) g
        JOIN usd_entries e ON e.cik = g.cik AND abs(date_diff('day', e.period_end, g.gap_period)) <= 7
-        AND starts_with(e.form, '10-K') AND e.start_day IS NOT NULL AND regexp_matches(e.tag, g.pattern)))
-WHERE position <= 10""", "probes", "usd_entries")
+        AND starts_with(e.form, '10-K') AND e.start_day IS NOT NULL AND regexp_matches(e.tag, g.pattern)))""", "probes", "usd_entries")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintagerisk import params as P
+from vintagerisk.functions.numeric import no_nan
 
 ENTRY = T.StructType(
     [
@@ -53,7 +54,7 @@ def explode_entries(documents: DataFrame) -> DataFrame:
         F.to_date("start").alias("start"),
         F.to_date("end").alias("period_end"),
         F.to_date("filed").alias("filed"),
-        F.col("val").alias("value"),
+        no_nan("val").alias("value"),
         "form",
         F.col("fy").alias("fiscal_year"),
     )
