@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 import __spark_entry__ as entry
 from tests.llm.cases import ROWS, documents, stored
 from vintagerisk.llm import language_id
@@ -26,13 +28,13 @@ def test_query_op2_on_held_out_documents(spark):
 def test_words_first_then_shorter_grams(spark):
     model = taught(spark)
     scorer = language_id.Scorer(model)
-    assert model.langs == ("de", "en") and "the" in model.words and "haus" in model.words
-    assert scorer.word("the") is model.words["the"]
+    assert model.langs == ("de", "en") and "the" in model.words.row and "haus" in model.words.row
+    assert scorer.row("the").tolist() == model.words.logs[model.words.row["the"]].tolist()
     for word in ("hauses", "thex", "qhy"):
-        n = next(n for n in range(5, 0, -1) if any(g in model.grams[n] for g in language_id.padded_grams(word, n)))
-        known = [model.grams[n][g] for g in language_id.padded_grams(word, n) if g in model.grams[n]]
-        assert scorer.word(word) == tuple(sum(x) / len(known) for x in zip(*known, strict=True))
-    assert scorer.word("日本") == (0.0, 0.0)
+        n = next(n for n in range(5, 0, -1) if any(g in model.grams[n].row for g in language_id.padded_grams(word, n)))
+        known = [model.grams[n].logs[model.grams[n].row[g]] for g in language_id.padded_grams(word, n) if g in model.grams[n].row]
+        assert scorer.row(word) == pytest.approx(sum(known) / len(known), rel=1e-5)
+    assert scorer.row("日本").tolist() == [0.0, 0.0]
     assert scorer.predict("HAUSES Hunde")[0] == "de" and scorer.predict("the dogs")[0] == "en"
 
 
@@ -48,7 +50,7 @@ def test_defined_results_for_odd_input(spark):
 
 def test_the_model_has_a_bound(spark):
     model = taught(spark, max_words=3)
-    assert len(model.words) <= 6 and all(len(g) <= 6 for g in model.grams.values())
+    assert len(model.words.row) <= 6 and all(len(g.row) <= 6 for g in model.grams.values())
     assert taught(spark, max_docs=0).langs == ()
 
 

@@ -17,13 +17,13 @@ column and the prediction; other columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,16 +33,22 @@ from vintagerisk.llm.frames import land, pick
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-MAX_DOCS, MAX_WORDS = 20_000, 60_000
+MAX_DOCS, MAX_WORDS = 20_000, 20_000
 
 
 @dataclass(frozen=True)
-class Model:
-    """langs in order; words and grams[n]: item -> log frequency in each language."""
+class Table:
+    """Items and their log frequency in each language, a row of `logs` per item."""
+
+    row: dict[str, int]
+    logs: np.ndarray
+
 
+@dataclass(frozen=True)
+class Model:
     langs: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[int, dict[str, tuple[float, ...]]]
+    words: Table
+    grams: dict[int, Table]
 
 
 def padded_grams(word: str, n: int) -> list[str]:
@@ -77,42 +83,55 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: i
     return Model(langs, _log_frequencies(words, langs), by_size)
 
 
-def _log_frequencies(counts, langs: tuple[str, ...]) -> dict[str, tuple[float, ...]]:
+def _log_frequencies(counts: pd.DataFrame, langs: tuple[str, ...]) -> Table:
     """log((n + 1/2) / (total + items / 2)) for each item and language."""
-    wide = counts.pivot(index="item", columns="lang", values="n").reindex(columns=list(langs)).fillna(0.0)
-    values = wide.to_numpy(float)
+    codes, items = pd.factorize(counts["item"], sort=True)
+    values = np.zeros((len(items), len(langs)))
+    values[codes, counts["lang"].map({lang: k for k, lang in enumerate(langs)}).to_numpy(int)] = counts["n"]
     logs = np.log((values + 0.5) / (values.sum(0) + 0.5 * max(len(values), 1)))
-    return dict(zip(wide.index.tolist(), map(tuple, logs.tolist()), strict=True))
+    return Table({w: k for k, w in enumerate(items)}, logs.astype(np.float32))
 
 
 class Scorer:
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.unseen: dict[str, tuple[float, ...]] = {}
-
-    def word(self, w: str) -> tuple[float, ...]:
-        known = self.model.words.get(w) or self.unseen.get(w)
-        if known is None:
-            if len(self.unseen) > 300_000:
-                self.unseen.clear()
-            known = self.unseen[w] = self.back_off(w)
-        return known
-
-    def back_off(self, w: str) -> tuple[float, ...]:
+    """Rows of word scores; those of unseen words are worked out once and remembered, up to a limit."""
+
+    def __init__(self, model: Model, limit: int = 200_000) -> None:
+        self.model, self.limit = model, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.unseen: dict[str, int] = {}
+        self.rows = np.empty((1024, len(self.model.langs)), np.float32)
+
+    def row(self, w: str) -> np.ndarray:
+        known = self.model.words.row.get(w)
+        if known is not None:
+            return self.model.words.logs[known]
+        k = self.unseen.get(w)
+        if k is None:
+            k = self.unseen[w] = len(self.unseen)
+            if k == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.rows[k] = self.back_off(w)
+        return self.rows[k]
+
+    def back_off(self, w: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             table = self.model.grams[n]
-            found = [table[g] for g in padded_grams(w, n) if g in table]
+            found = [table.row[g] for g in padded_grams(w, n) if g in table.row]
             if found:
-                return tuple(sum(f[k] for f in found) / len(found) for k in range(len(self.model.langs)))
-        return (0.0,) * len(self.model.langs)
+                return table.logs[found].mean(0)
+        return np.zeros(len(self.model.langs), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall(text.lower())) if text else None
         if not counts or not self.model.langs:
             return UNDETERMINED, 0.0
-        logs = np.array([self.word(w) for w in counts]).T @ np.fromiter(counts.values(), float, len(counts))
+        if len(self.unseen) > self.limit:
+            self._forget()
+        logs = np.fromiter(counts.values(), float, len(counts)) @ np.stack([self.row(w) for w in counts])
         best = int(logs.argmax())
-        return self.model.langs[best], 1.0 / math.fsum(math.exp(max(x - logs[best], -700.0)) for x in logs.tolist())
+        return self.model.langs[best], float(1.0 / np.exp(np.maximum(logs - logs[best], -700.0)).sum())
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
