@@ -4,6 +4,8 @@ import pytest
 
 from vintagerisk.plans.session import local_session
 
+FACT_TYPES = "cik string, source string, field string, period_end date, filed date, form string, fiscal_year int, value double, tag string"
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -11,27 +13,24 @@ def spark():
 
 
 @pytest.fixture
-def make_facts(spark):
-    """Long facts of one issuer from (field, period_end, filed, value[, tag]) tuples."""
-
-    def build(rows, cik="0000000001"):
-        full = [
-            (cik, "test", r[0], r[1], r[2], "10-K", r[1].year, None if r[3] is None else float(r[3]), r[4] if len(r) > 4 else f"T_{r[0]}")
-            for r in rows
-        ]
-        schema = "cik string, source string, field string, period_end date, filed date, form string, fiscal_year int, value double, tag string"
-        return spark.createDataFrame(full, schema)
+def reported(spark):
+    """Facts of a company: {(field, fiscal year): [(days from year end to filing, value[, tag]), ...]}."""
+
+    def build(history, company="7310042"):
+        rows = []
+        for (field, year), versions in history.items():
+            end = year if isinstance(year, dt.date) else dt.date(year, 12, 31)
+            for lag, value, *tag in versions:
+                filed = None if lag is None else end + dt.timedelta(days=lag)
+                rows.append((company, "wire", field, end, filed, "20-F", end.year, None if value is None else float(value), tag[0] if tag else field.title()))
+        return spark.createDataFrame(rows, FACT_TYPES)
 
     return build
 
 
 @pytest.fixture
 def observe(spark):
-    def build(*days, cik="0000000001"):
-        return spark.createDataFrame([(cik, d) for d in days], "cik string, as_of date")
+    def build(*days, company="7310042"):
+        return spark.createDataFrame([(company, d) for d in days], "cik string, as_of date")
 
     return build
-
-
-def day(y, m, d):
-    return dt.date(y, m, d)

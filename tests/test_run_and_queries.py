@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "q_panel", "q_asof_snapshot", "q_latest_vintage", "q_facts_scan", "q_filing_index", "q_default_confirm", "q_universe_violations",
     "q_panel_diagnostics", "q_gap_tags", "q_hosmer_lemeshow", "q_reliability", "q_psi", "q_irb_capital", "q_lgd", "q_exposures",
-    "q_group_folds", "q_crossfit_calibration",
+    "q_group_folds", "q_crossfit_calibration", "q_tag_census", "q_facility_ead", "q_portfolio", "q_epochs_dirty", "q_source_dirty", "q_universe_dirty",
+    "q_portfolio_dirty", "q_refusals_dirty", "q_hosmer_lemeshow_wide",
 ]
 
 

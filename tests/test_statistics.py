@@ -88,6 +88,24 @@ def test_chi_square_tail(spark):
     assert [r.p for r in rows.select(ct.chi2_survival("x", "root", "dof").alias("p")).collect()] == pytest.approx([0.05] * 5, abs=1e-10)
 
 
+def test_chi_square_tail_of_many_degrees_of_freedom(spark):
+    rows = spark.createDataFrame([(float(d), math.sqrt(d), d) for d in (1, 2, 65, 70, 98, 120, 999)] + [(0.0, 0.0, 5), (5000.0, math.sqrt(5000), 98)], "s double, i double, dof int")
+    got = [r.p for r in rows.coalesce(1).select(ct.chi2_survival("s", "i", "dof").alias("p")).collect()]
+
+    def tail(x, dof):
+        """By Simpson's rule over the density."""
+        if x == 0:
+            return 1.0
+        grid = np.linspace(1e-12, x, 400_001)
+        log = (dof / 2 - 1) * np.log(grid) - grid / 2 - dof / 2 * math.log(2) - math.lgamma(dof / 2)
+        y = np.exp(log)
+        return 1 - (grid[1] - grid[0]) / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
+
+    assert got[0] == pytest.approx(math.erfc(math.sqrt(0.5)))
+    assert got[1:] == pytest.approx([tail(x, d) for x, d in [(2, 2), (65, 65), (70, 70), (98, 98), (120, 120), (999, 999), (0, 5), (5000, 98)]], abs=1e-6)
+    assert got[3:6] == pytest.approx([0.4775, 0.4810, 0.4829], abs=5e-4)
+
+
 def test_normal_functions(spark):
     points = [-9.0, -4.1, -2.3, -0.4, 0.0, 0.3, 1.9, 5.0]
     probabilities = [1e-12, 3e-4, 0.01, 0.07, 0.08, 0.5, 0.93, 0.999]
