@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from vintagerisk import params as P
 from vintagerisk.functions.hashing import MODULUS, mix
-from vintagerisk.operators.prefix import running_totals
-
-HASH_RANGES = 64
+from vintagerisk.operators.prefix import range_count, running_totals
 
 
 def fold_count(rows: DataFrame, group: str = "group_id", y: str = "y", folds: int = P.CV_FOLDS) -> int:
@@ -30,7 +28,8 @@ def group_folds(rows: DataFrame, k: int, repeats: int = 1, seed: int = P.SEED, g
         .withColumn("h", mix(F.col(group), F.col("repeat") + 1, seed))
         .withColumn("one", F.lit(1).cast("bigint"))
     )
-    splits = [i * MODULUS / HASH_RANGES for i in range(1, HASH_RANGES)]
+    ranges = range_count(groups.count() * repeats)
+    splits = [i * MODULUS / ranges for i in range(1, ranges)]
     ranked = running_totals(dealt, "h", ["one"], splits, by=["repeat", "stratum"], order=f"h, {group}")
     return ranked.select(group, "repeat", (F.col("one_before") % k).cast("int").alias("fold"))
 

@@ -88,7 +88,7 @@ def quantile_bounds(rows: DataFrame, features: list[str], models: list[Model], q
         .where("value IS NOT NULL AND NOT isnan(value)")
         .selectExpr("j", "value", f"explode(transform(filter(array({wanted}), s -> hold[s.r] <> s.f), s -> s.m)) AS m")
     )
-    got = exact_quantiles(long, ["m", "j"], "value", [quantiles[0], 0.5, quantiles[1]])
+    got = exact_quantiles(long, ["m", "j"], "value", [quantiles[0], 0.5, quantiles[1]], store=False)
     shape = (len(models), len(features))
     low, middle, high = np.full(shape, -np.inf), np.zeros(shape), np.full(shape, np.inf)
     for r in got.collect():  # models x features x 3 numbers

@@ -27,12 +27,14 @@ ASSETS_BIT = 1 << P.FIELDS.index("total_assets")
 MARKED_FIELDS = ["long_term_debt", "current_debt"] + sorted({n.split("~")[0] for n in P.APPROXIMATE_TAGS.values()})
 
 
-def visible_facts(facts: DataFrame, obs: DataFrame, salts: int = 16) -> DataFrame:
+def visible_facts(facts: DataFrame, obs: DataFrame, salts: int | None = None) -> DataFrame:
     """Facts filed on or before each observation date, one row per (observation, fact).
 
-    The fan-out is the answer itself.  Facts are salted and the (small) observations
-    replicated, so one issuer's facts spread over `salts` tasks.
+    The fan-out is the answer itself; `visible_summary` gives totals without it.  Facts are
+    salted and the (small) observations replicated, so one issuer's facts spread over
+    `salts` tasks, as many as there are shuffle partitions unless said otherwise.
     """
+    salts = salts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.pmod(F.hash("field", "period_end", "filed"), F.lit(salts))
     left = facts.withColumn("salt", spread)
     right = obs.select("cik", "as_of").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -40,6 +42,23 @@ def visible_facts(facts: DataFrame, obs: DataFrame, salts: int = 16) -> DataFram
     return joined.drop("salt")
 
 
+def visible_summary(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None) -> DataFrame:
+    """Count, newest filing date and sum of the facts that each observation sees, without joining facts to observations.
+
+    Facts collapse to one row per issuer and epoch; running totals over these meet the observations.
+    """
+    deltas = with_epoch(facts, obs, dates).groupBy("cik", "epoch").agg(
+        F.count("*").alias("n"), F.max("filed").alias("newest"), F.sum("value").alias("total")
+    )
+    by_issuer = "PARTITION BY cik ORDER BY epoch"
+    so_far = f"({by_issuer} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    states = deltas.selectExpr(
+        "cik AS state_cik", "epoch", f"lead(epoch) OVER ({by_issuer}) AS next_epoch",
+        f"sum(n) OVER {so_far} AS n_facts", f"max(newest) OVER {so_far} AS latest_filed", f"sum(total) OVER {so_far} AS total_value",
+    )
+    return obs.select("cik", "as_of").join(states, _current()).drop("state_cik", "epoch", "next_epoch")
+
+
 def latest_vintage(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None) -> DataFrame:
     """Newest version of each (field, period) per observation; each column keeps its last non-null.
 

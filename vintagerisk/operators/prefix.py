@@ -12,22 +12,33 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_RANGES = 1024  # bounds every per-range table, hence its broadcast
+from vintagerisk.sources.storage import materialise
+
 MIN_RANGES = 8
 ROWS_PER_RANGE = 1_000_000
 
 
+def range_count(n: int) -> int:
+    """Ranges for n rows: none is meant to hold more than ROWS_PER_RANGE, however many rows there are."""
+    return max(MIN_RANGES, -(-n // ROWS_PER_RANGE))
+
+
 def range_splits(df: DataFrame, key: str) -> list[float]:
-    """Cut points that leave about ROWS_PER_RANGE rows in each range (a heavy tie stays whole)."""
-    probabilities = ", ".join(f"{i / MAX_RANGES!r}D" for i in range(1, MAX_RANGES))
-    found = df.selectExpr(f"cast({key} as double) AS k").agg(
-        F.count("k").alias("n"), F.expr(f"percentile_approx(k, array({probabilities}), 10000)").alias("cuts")
-    ).first()
-    if not found.n:
-        return []
-    wanted = min(MAX_RANGES, max(MIN_RANGES, -(-found.n // ROWS_PER_RANGE)))
-    step = MAX_RANGES // wanted
-    return sorted(set(found.cuts[step - 1 :: step]))
+    """Cut points that leave about ROWS_PER_RANGE rows in each range (a heavy tie stays whole).
+
+    One number per million rows reaches the driver.  The first pass is enough for up to
+    MIN_RANGES million rows; more rows are cut finer in a second one.
+    """
+    keys = df.selectExpr(f"cast({key} as double) AS k")
+
+    def cuts(ranges: int):
+        probabilities = [i / ranges for i in range(1, ranges)]
+        return F.percentile_approx("k", probabilities, max(10_000, 10 * ranges)).alias("cuts")
+
+    found = keys.agg(F.count("k").alias("n"), cuts(MIN_RANGES)).first()
+    if found.n and range_count(found.n) > MIN_RANGES:
+        found = keys.agg(F.count("k").alias("n"), cuts(range_count(found.n))).first()
+    return sorted(set(found.cuts)) if found.n else []
 
 
 def with_range(df: DataFrame, key: str, splits: list[float]) -> DataFrame:
@@ -42,13 +53,13 @@ def running_totals(counted: DataFrame, key: str, sums: list[str], splits: list[f
     """For a frame with one row per key: exclusive running sums `<s>_before` in key order, and `<s>_total`.
 
     `order` refines the order inside a range (ties of the key); `by` restarts the totals
-    per group; groups must be few, as every (group, range) pair
-    has one row in the broadcast offsets.
+    per group; groups must be few.  The broadcast offsets have one row per (group, range),
+    that is, one for some million rows of the input.
     """
     by = by or []
     ranged = with_range(counted, key, splits)
     totals = ranged.groupBy(*by, "range_id").agg(*[F.sum(s).alias(s) for s in sums])
-    # at most MAX_RANGES rows per group from here to the broadcast
+    # a row per group and range from here to the broadcast
     groups = f"PARTITION BY {', '.join(by)}" if by else ""
     earlier = f"({groups} ORDER BY range_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = totals.selectExpr(
@@ -104,7 +115,7 @@ def equal_count_buckets(scored: DataFrame, k: int, p: str = "p", y: str = "y", k
 
 
 def values_near_ranks(
-    long: DataFrame, keys: list[str], value: str, probabilities: list[float], slack: int = 0, accuracy: int = 10000, small: int = 20000
+    long: DataFrame, keys: list[str], value: str, probabilities: list[float], slack: int = 0, accuracy: int = 10000, small: int = 20000, widen: float = 1.0
 ) -> DataFrame:
     """Distinct values around the wanted quantiles of each group, with exact counts up to each value.
 
@@ -113,9 +124,10 @@ def values_near_ranks(
     pass counts what lies below a bracket, combined map-side into one row with a NULL
     value, and sorts only the values inside it.  A group of up to `small` values is one
     bracket (i = -1).  Groups must be few: brackets are broadcast, one row per (group, probability).
+    `widen` multiplies the margin around each rank.
     """
     present = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    margin = 3.0 / accuracy + (slack + 2) / small
+    margin = (3.0 / accuracy + (slack + 2) / small) * widen
     m = len(probabilities)
     edges = [max(0.0, q - margin) for q in probabilities] + [min(1.0, q + margin) for q in probabilities]
     sketched = present.groupBy(*keys).agg(
@@ -132,9 +144,35 @@ def values_near_ranks(
     return counts.selectExpr(*keys, "i", "n", "v", "c", f"sum(c) OVER {order} AS upto")
 
 
-def exact_quantiles(long: DataFrame, keys: list[str], value: str, probabilities: list[float], **options) -> DataFrame:
-    """Exact interpolated quantiles per group (NULLs skipped): (keys, i, quantile) per wanted probability."""
-    ranked = values_near_ranks(long, keys, value, probabilities, **options)
+def exact_quantiles(long: DataFrame, keys: list[str], value: str, probabilities: list[float], store: bool = True, **options) -> DataFrame:
+    """Exact interpolated quantiles per group (NULLs skipped): (keys, i, quantile) per wanted probability.
+
+    The input is read twice, so it is stored in between unless `store` says that it is
+    cheaper to derive it again (as for rows repeated for many models).  Every bracket is checked: the wanted
+    rank must lie above what was counted below the bracket and within what it holds.  If a
+    sketch missed a rank, the brackets are widened and counted again, so a wrong value
+    cannot come out.  One row per group is kept between the steps.
+    """
+    long = long.select(*keys, value)
+    long = materialise(long) if store else long
+    widen = 1.0
+    while True:
+        ends = materialise(_bracket_ends(values_near_ranks(long, keys, value, probabilities, widen=widen, **options), keys, probabilities))
+        missed = " OR ".join(f"below{i} > floor((n - 1) * {q!r}D) OR reach{i} <= ceil((n - 1) * {q!r}D)" for i, q in enumerate(probabilities))
+        if ends.where(missed).isEmpty():
+            break
+        widen *= 8
+    rows = ", ".join(f"{i}, (n - 1) * {q!r}D, a{i}, b{i}" for i, q in enumerate(probabilities))
+    share = "(position - floor(position))"
+    return ends.selectExpr(*keys, f"stack({len(probabilities)}, {rows}) AS (i, position, a, b)").selectExpr(
+        *keys, "i",
+        f"CASE WHEN a = b OR {share} = 0 THEN a WHEN {share} < 0.5D THEN a + (b - a) * {share} "
+        f"ELSE b - (b - a) * (1D - {share}) END AS quantile",
+    )
+
+
+def _bracket_ends(ranked: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+    """Per group: the two values around each rank, what lies below its bracket and up to its end."""
     columns = []
     for i, q in enumerate(probabilities):
         position = f"((n - 1) * {q!r}D)"
@@ -142,12 +180,7 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probabilities:
         columns += [
             F.expr(f"min(CASE WHEN {mine} AND upto > floor({position}) THEN v END)").alias(f"a{i}"),
             F.expr(f"min(CASE WHEN {mine} AND upto > ceil({position}) THEN v END)").alias(f"b{i}"),
+            F.expr(f"coalesce(max(CASE WHEN {mine} AND v IS NULL THEN upto END), 0)").alias(f"below{i}"),
+            F.expr(f"max(CASE WHEN {mine} THEN upto END)").alias(f"reach{i}"),
         ]
-    ends = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *columns)
-    rows = ", ".join(f"{i}, (n - 1) * {q!r}D, a{i}, b{i}" for i, q in enumerate(probabilities))
-    share = "(position - floor(position))"
-    return ends.selectExpr(*keys, f"stack({len(probabilities)}, {rows}) AS (i, position, a, b)").selectExpr(
-        *keys, "i",
-        f"CASE WHEN a = b OR {share} = 0 THEN a WHEN {share} < 0.5D THEN a + (b - a) * {share} "
-        f"ELSE b - (b - a) * (1D - {share}) END AS quantile",
-    )
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *columns)

@@ -32,11 +32,7 @@ def q_tag_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_visible_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = asof.visible_facts(tape.facts(spark, sf_dir), observations(spark, sf_dir))
-    out = seen.groupBy("cik", "as_of").agg(
-        F.count("*").alias("n_facts"), F.max("filed").alias("latest_filed"), F.sum("value").alias("total_value")
-    )
-    return tidy(out, total_value=4)
+    return tidy(asof.visible_summary(tape.facts(spark, sf_dir), observations(spark, sf_dir)), total_value=4)
 
 
 @query
