@@ -116,7 +116,8 @@ def test_bpe_operator_keeps_rows_and_columns(spark):
     out = bpe.decode(bpe.encode(docs, vocab), vocab)
     assert out.columns == [*[c for c in docs.columns if c != "ids"], "ids", "decoded"]
     assert rows_of(out.select("doc_id", "decoded")) == sorted(((i, t or "") for i, t in ROWS), key=str)
-    assert bpe.decode(bpe.encode(documents(spark, []), vocab), vocab).count() == 0
+    assert rows_of(bpe.recode(docs, vocab)) == rows_of(out)
+    assert bpe.decode(bpe.encode(documents(spark, []), vocab), vocab).count() == 0 == bpe.recode(documents(spark, []), vocab).count()
 
 
 def fewest_bins(lengths, capacity):

@@ -14,7 +14,7 @@ A piece without any cut, however long, is one run of the encoder. Repeated rows
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -155,31 +155,46 @@ class OffsetDecoder:
         return b"".join(out).decode("utf-8", errors="replace")
 
 
-def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`df` with column `ids`, array<int>."""
+def _ids(texts: pa.Array, told) -> Iterator[tuple[int, pa.ListArray]]:
+    """(first row, ids) of the slices of a column of texts."""
+    for at, (offsets, values) in loaded(BacktrackingEncoder, told.value).batches(texts, 1 << 22):
+        yield at, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int32)))
+
+
+def _texts(lists: pa.ListArray, told) -> pa.Array:
+    work = loaded(OffsetDecoder, told.value)
+    return pa.array([work(np.asarray(x.values)) if x.is_valid else "" for x in lists], pa.string())
+
+
+def _mapped(df: DataFrame, new: dict[str, T.DataType], rows: Callable[[pa.RecordBatch, object], Iterator[tuple[int, list[pa.Array]]]], tokenizer_json: str) -> DataFrame:
+    """`df` with the columns `new`, which `rows` makes slice by slice of a batch; columns of these names are replaced."""
     told = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # the size of a vocabulary file
-    keep = [f for f in df.schema.fields if f.name != ids]
+    keep = [f for f in df.schema.fields if f.name not in new]
+    names = [f.name for f in keep] + [*new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, (offsets, values) in loaded(BacktrackingEncoder, told.value).batches(batch.column(text), 1 << 22):
-                rows = batch.slice(at, len(offsets) - 1)
-                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in keep], made], [*[f.name for f in keep], ids])
+            for at, made in rows(batch, told):
+                part = batch.slice(at, len(made[0]))
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], *made], names)
+
+    return df.mapInArrow(run, T.StructType([*keep, *[T.StructField(n, k) for n, k in new.items()]]))
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+
+IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
+
+
+def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """`df` with column `ids`, array<int>."""
+    return _mapped(df, {ids: IDS}, lambda batch, told: ((at, [made]) for at, made in _ids(batch.column(text), told)), tokenizer_json)
 
 
 def decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", text: str = "decoded", step: int = 256) -> DataFrame:
     """`df` with column `text` made from `ids`; special tokens are kept, null ids give empty text."""
-    told = df.sparkSession.sparkContext.broadcast(tokenizer_json)
-    keep = [f for f in df.schema.fields if f.name != text]
+    slices = lambda batch, told: ((k, [_texts(batch.slice(k, step).column(ids), told)]) for k in range(0, batch.num_rows, step))
+    return _mapped(df, {text: TEXT}, slices, tokenizer_json)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, step):
-                rows, work = whole.slice(k, step), loaded(OffsetDecoder, told.value)
-                made = pa.array([work(np.asarray(x.values) if x.is_valid else np.empty(0, np.int32)) for x in rows.column(ids)], pa.string())
-                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in keep], made], [*[f.name for f in keep], text])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(text, T.StringType())]))
+def recode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`df` with column `ids` of its text and column `decoded` of those ids, in one pass."""
+    return _mapped(df, {ids: IDS, decoded: TEXT}, lambda batch, told: ((at, [made, _texts(made, told)]) for at, made in _ids(batch.column(text), told)), tokenizer_json)

@@ -55,8 +55,7 @@ def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocabulary("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab).drop("text"), vocab)
+    coded = bpe.recode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         hex_sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), hex_sha256(F.col("decoded")).alias("decoded_sha256"),
