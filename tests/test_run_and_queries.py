@@ -58,7 +58,7 @@ def test_panel_plan_has_no_row_level_fan_out(spark):
 def test_run_end_to_end(spark):
     issuers = tape.issuers(spark, "/root/testdata/sf0.01")
     panel = build_panel(issuers, tape.facts(spark, "/root/testdata/sf0.01"), tape.WINDOW)
-    settings = end_to_end.Settings(repeats=2, draws=50, split_year=2000, portfolio_date=dt.date(1999, 6, 30))
+    settings = end_to_end.Settings(repeats=2, draws=50, split_year=2000, portfolio_date=dt.date(1999, 6, 30), require_verified=False, boosting_repeats=1, boosting_rounds=3)
     result = end_to_end.run(panel, issuers, settings)
     report = result and end_to_end.report_tables(result).collect()
     assert {r.section for r in report} == set(range(1, 11))
@@ -67,11 +67,13 @@ def test_run_end_to_end(spark):
     assert values["observations"] == 583 and values["paired_n_draws"] == 50
     assert {r.as_of for r in result.exposures.select("as_of").distinct().collect()} == {dt.date(1999, 6, 30)}
     models = {r.model for r in result.discrimination.collect()}
-    assert models == {"logistic_oof", "altman_zpp", "logistic_leave_one_issuer_out", "logistic_out_of_time"}
+    assert models == {"logistic_oof", "altman_zpp", "logistic_leave_one_issuer_out", "logistic_out_of_time", "gbm_oof"}
 
 
 def test_run_stops_without_positives(spark):
     issuers = tape.issuers(spark, SF)
     panel = build_panel(issuers, tape.facts(spark, SF), tape.WINDOW).where("label = 0")
-    result = end_to_end.run(panel, issuers)
+    with pytest.raises(ValueError, match="universe is not ready"):
+        end_to_end.run(panel, issuers)
+    result = end_to_end.run(panel, issuers, end_to_end.Settings(require_verified=False))
     assert result.discrimination is None and {r.section for r in end_to_end.report_tables(result).collect()} == {1, 2, 10}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vintagerisk import params as P
 from vintagerisk.models import folds
+from vintagerisk.sources.storage import ensure_checkpoints, materialise
 
 SENTINEL = -1e6
 
@@ -39,9 +40,10 @@ def _vectors(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_booster(rows: DataFrame, features: list[str] = P.FEATURES, rounds: int = P.GBT_ROUNDS, seed: int = P.SEED):
+    ensure_checkpoints(rows.sparkSession)
     booster = GBTClassifier(
         featuresCol="x", labelCol="y", weightCol="weight", maxDepth=P.GBT_DEPTH, maxIter=rounds, stepSize=P.GBT_STEP,
-        minInstancesPerNode=P.GBT_MIN_LEAF, maxBins=255, seed=seed, checkpointInterval=-1,
+        minInstancesPerNode=P.GBT_MIN_LEAF, maxBins=255, seed=seed, checkpointInterval=10,
     )
     return booster.fit(_vectors(with_class_weight(rows), features))
 
@@ -54,7 +56,7 @@ def predict(model, rows: DataFrame, features: list[str] = P.FEATURES) -> DataFra
 def grouped_oof(rows: DataFrame, n_folds: int = P.CV_FOLDS, repeats: int = 1, rounds: int = P.GBT_ROUNDS, seed: int = P.SEED) -> DataFrame:
     """Mean held-out probability over the repeats; each fold is one distributed fit."""
     k = folds.fold_count(rows, folds=n_folds)
-    held = folds.held_out(rows, folds.group_folds(rows, k, repeats, seed)).persist()
+    held = materialise(folds.held_out(rows, folds.group_folds(rows, k, repeats, seed)))
     parts = None
     for r in range(repeats):
         for f in range(k):

@@ -1,8 +1,8 @@
-"""End-to-end run: panel, models, validation, calibration, loss and capital, report tables.
+"""The whole chain on one issuer panel, from the universe gate to capital and the report tables.
 
-The order matters.  Validation comes before calibration and calibration before loss,
-because each stage can invalidate the next.  Frames that several stages read (panel,
-held-out predictions, calibrated predictions) are materialised once; the rest is lazy.
+Held-out probabilities are made first; everything after them (validation, calibration,
+grades, loss, capital) reads these and never a probability of a model's own training rows.
+What several steps read is stored once in the shared folder, the rest is lazy.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vintagerisk import params as P
 from vintagerisk.functions.numeric import dbl
 from vintagerisk.models import boosting, bootstrap, calibrate, logit, resampling
-from vintagerisk.operators import calibration_tests, diagnostics, discrimination, portfolio, scores, stability
+from vintagerisk.operators import calibration_tests, diagnostics, discrimination, portfolio, scores, stability, universe
 from vintagerisk.operators.prefix import exact_quantiles
 from vintagerisk.sources.storage import materialise, write_csv, write_json
 
@@ -34,7 +34,8 @@ class Settings:
     population_rate: float = P.POPULATION_RATE
     prior_correction: bool = True
     leave_one_out: bool = True
-    boosting_repeats: int = 0  # each repeat is `folds` boosted fits; 0 leaves the challenger out
+    require_verified: bool = True  # the gate refuses defaults that nobody has verified
+    boosting_repeats: int = P.CV_REPEATS  # each repeat is `folds` boosted fits; 0 leaves the challenger out
     boosting_rounds: int = P.GBT_ROUNDS
 
 
@@ -94,6 +95,7 @@ def _discrimination_row(name: str, scored: DataFrame, score: str, settings: Sett
 def run(panel: DataFrame, issuers: DataFrame, settings: Settings | None = None) -> RunResult:
     s = settings or Settings()
     spark = panel.sparkSession
+    universe.require_valid(issuers, s.require_verified)
     panel = materialise(_with_risk_score(panel))
     result = RunResult(
         panel=panel,

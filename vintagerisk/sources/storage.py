@@ -34,11 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so an iterative job survives lost executors."""
-    spark = df.sparkSession
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Reliable checkpoints go to the shared folder unless the session already has a place for them."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, so an iterative job survives lost executors."""
+    ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
