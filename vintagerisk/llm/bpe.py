@@ -23,19 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vintagerisk.llm.chunks import ChunkedEncoder, Ids, gather, loaded
+from vintagerisk.llm.chunks import ChunkedEncoder, Ids, byte_letters, gather, loaded
 
 # fixed value: how byte-level BPE splits text into pieces
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-def byte_letters() -> list[str]:
-    """The printable stand-in of each byte: itself where printable, else the next free letter from U+0100."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256))
-    return [chr(b) if b in shown else chr(256 + next(spare)) for b in range(256)]
-
-
 class BacktrackingEncoder(ChunkedEncoder):
     """Ids of texts for a byte-level BPE file of the tokenizers format."""
 

@@ -77,7 +77,9 @@ class ChunkedEncoder:
         first = np.zeros(len(number), bool)
         first[starts[:-1]] = True
         words = coded.dictionary.to_numpy(zero_copy_only=False)
-        heads, led = np.unique(number[first]), np.unique(number[~first])
+        seen = np.zeros((2, len(words)), bool)
+        seen[0, number[~first]] = seen[1, number[first]] = True
+        led, heads = np.flatnonzero(seen[0]), np.flatnonzero(seen[1])
         place = np.empty((2, len(words)), np.int64)
         chunks = self._of_distinct([" " + w for w in words[led]] + list(words[heads]))
         place[0, led], place[1, heads] = chunks[: len(led)], chunks[len(led) :]
@@ -120,8 +122,21 @@ class ChunkedEncoder:
             at = to
 
 
+def byte_letters() -> list[str]:
+    """The printable stand-in of each byte: itself where printable, else the next free letter from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256))
+    return [chr(b) if b in shown else chr(256 + next(spare)) for b in range(256)]
+
+
 class LibraryEncoder(ChunkedEncoder):
-    """encode(text, add_special_tokens=False) of a tokenizers file."""
+    """encode(text, add_special_tokens=False) of a tokenizers file.
+
+    A chunk that is one word of plain Latin letters is one piece whatever stands around it; where the file's normalizer
+    does no more than lower its case, it goes to the library's model directly. All others take the whole path.
+    """
+
+    WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
@@ -129,24 +144,55 @@ class LibraryEncoder(ChunkedEncoder):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = [t for t in json.loads(tokenizer_json)["added_tokens"]]
+        self.model = self.tokenizer.model
+        spec = json.loads(tokenizer_json)
+        added = spec["added_tokens"]
         # a chunk never holds an added token, so one that takes no space to its sides can stand between chunks
         self.between = next((t for t in added if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])), None)
+        self.letters = dict(enumerate(byte_letters()))
+        self.word = self._word_form(spec)
         super().__init__(self._many, self._one, [t["content"] for t in added])
 
+    def _word_form(self, spec: dict) -> Callable[[str], str] | None:
+        """How the model gets a plain word, for the two kinds of files known; None for others."""
+        before, cuts = spec["normalizer"], spec["pre_tokenizer"]
+        steps = [n["type"] for n in before["normalizers"]] if before and before["type"] == "Sequence" else [before and before["type"]]
+        parts = cuts["pretokenizers"] if cuts["type"] == "Sequence" else [cuts]
+        kinds = [c["type"] for c in parts]
+        bytewise = lambda w: w.encode().decode("latin-1").translate(self.letters)
+        if steps == [None] and kinds == ["ByteLevel"] and parts[0]["use_regex"] and not parts[0]["add_prefix_space"]:
+            return bytewise
+        if steps == ["NFC", "Replace", "Lowercase"] and kinds == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"]:
+            return lambda w: bytewise(w.strip(" ").lower())
+        return None
+
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _many(self, chunks: list[str]) -> Ids:
+        if self.word is None:
+            return self._whole_path(chunks)
+        plain = np.fromiter((self.WORD.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        ids, ends = [], [0]
+        for c in (chunks[k] for k in np.flatnonzero(plain).tolist()):
+            ids += [t.id for t in self.model.tokenize(self.word(c))]
+            ends.append(len(ids))
+        others, own = self._whole_path([chunks[k] for k in np.flatnonzero(~plain).tolist()])
+        start, size = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        start[plain], size[plain] = ends[:-1], np.diff(ends)
+        start[~plain], size[~plain] = others[:-1] + len(ids), np.diff(others)
+        return np.r_[0, np.cumsum(size)], gather(start, size, np.concatenate([np.array(ids, np.uint32), own]))
+
+    def _whole_path(self, chunks: list[str]) -> Ids:
         if self.between is None:
             return joined([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
-        sizes, ids = [], []
+        sizes, ids = [], [np.empty(0, np.uint32)]
         mark, number = self.between["content"], self.between["id"]
         for k in range(0, len(chunks), 1024):
             found = np.array(self.tokenizer.encode_batch_fast([mark.join([*chunks[k : k + 1024], ""])], add_special_tokens=False)[0].ids, np.uint32)
             sizes.append(np.diff(np.flatnonzero(found == number), prepend=-1) - 1)
             ids.append(found[found != number])
-        return np.concatenate([[0], *sizes]).cumsum(), np.concatenate(ids)
+        return np.concatenate([[0], *sizes]).cumsum().astype(np.int64), np.concatenate(ids)
 
 
 _LOADED: dict[str, tuple[str, object]] = {}
