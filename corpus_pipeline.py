@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages over `documents`: each reads what the stage before kept, as Parquet.
 
-Language: documents without letters, or whose language is told with a score under a half, go. Exact and near
+Language: documents without letters, or for whose language nothing speaks (a score under 0.3), go. Exact and near
 duplicates: one document of each group stays. Secrets: documents in which a rule finds something go. Packing: the pieces
 of the remaining documents and their places in sequences of 2,048 tokens.
 
