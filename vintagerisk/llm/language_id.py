@@ -125,7 +125,7 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall(text.lower())) if text else None
-        if not counts or not self.model.langs:
+        if not counts or not self.model.langs or not any(c.isalpha() for w in counts for c in w):
             return UNDETERMINED, 0.0
         if len(self.unseen) > self.limit:
             self._forget()
