@@ -116,7 +116,7 @@ def q_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_fold_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and positives each fold tests, and issuers found on both sides of it (none)."""
     rows = issuer_panel(spark, sf_dir).selectExpr("cast(cik as bigint) AS group_id", "ticker", "as_of", "label AS y")
-    dealt = folds.group_folds(rows, P.CV_FOLDS, repeats=3)
+    dealt = folds.group_folds(rows, P.CV_FOLDS, repeats=P.CV_REPEATS)
     placed = rows.join(dealt, "group_id")
     sides = placed.groupBy("repeat", "ticker").agg(F.count_distinct("fold").alias("folds_of_issuer"))
     leaks = sides.groupBy("repeat").agg(F.count_if(F.col("folds_of_issuer") > 1).alias("leaked_issuers"))

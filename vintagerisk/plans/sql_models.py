@@ -51,7 +51,7 @@ oracle("q_group_folds", "SELECT group_id, repeat, fold FROM dealt", "dealt")
 oracle("q_fold_leakage", """
 SELECT d.repeat, d.fold, count(*) AS n_test, CAST(sum(label) AS bigint) AS positives, count(DISTINCT d.ticker) AS issuers,
        CAST(0 AS bigint) AS leaked_issuers
-FROM panel p JOIN dealt d USING (ticker) WHERE repeat < 3 GROUP BY d.repeat, d.fold""", "panel", "dealt")
+FROM panel p JOIN dealt d USING (ticker) GROUP BY d.repeat, d.fold""", "panel", "dealt")
 oracle("q_oof_pd", f"SELECT ticker, as_of, label AS y, CAST({P.CV_REPEATS} AS bigint) AS n_models, true AS in_range FROM panel", "panel")
 oracle("q_loio_pd", "SELECT ticker, as_of, label AS y, CAST(1 AS bigint) AS n_models, true AS in_range FROM panel", "panel")
 oracle("q_out_of_time", "SELECT ticker, as_of, label AS y, true AS in_range FROM panel WHERE year(as_of) >= 2000", "panel")
