@@ -59,7 +59,7 @@ class BacktrackingEncoder(ChunkedEncoder):
         self.fits: dict[int, bool] = {}
         self.added_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_added = regex.compile("|".join(map(regex.escape, sorted(self.added_ids, key=len, reverse=True)))) if self.added_ids else None
-        super().__init__(self._many, self._with_added, list(self.added_ids), limit=500_000)
+        super().__init__(self._many, self._with_added, list(self.added_ids))
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether rank-order merging keeps the border between these two tokens; answers are kept in the pair table."""
@@ -150,7 +150,7 @@ class OffsetDecoder:
 
 def _ids(texts: pa.Array, told) -> Iterator[tuple[int, pa.ListArray]]:
     """(first row, ids) of the slices of a column of texts."""
-    for at, (offsets, values) in loaded(BacktrackingEncoder, told.value).batches(texts, 1 << 22):
+    for at, (offsets, values) in loaded(BacktrackingEncoder, told.value).batches(texts):
         yield at, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int32)))
 
 

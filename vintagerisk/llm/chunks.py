@@ -37,7 +37,7 @@ def joined(parts: list[np.ndarray]) -> Ids:
 class ChunkedEncoder:
     """encode_many: ids of texts, each for itself. whole: ids of one text that must not be cut. limit: chunks remembered."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Ids], whole: Callable[[str], np.ndarray], added: list[str], limit: int = 800_000) -> None:
+    def __init__(self, encode_many: Callable[[list[str]], Ids], whole: Callable[[str], np.ndarray], added: list[str], limit: int = 500_000) -> None:
         self.encode_many, self.whole, self.added, self.limit = encode_many, whole, added, limit
         self._forget()
 
@@ -110,7 +110,7 @@ class ChunkedEncoder:
             shift += len(ids)
         return np.r_[0, np.cumsum(size)], gather(start, size, np.concatenate([ids for _, (_, ids) in groups]))
 
-    def batches(self, texts: pa.Array, step_bytes: int = 1 << 24) -> Iterator[tuple[int, Ids]]:
+    def batches(self, texts: pa.Array, step_bytes: int = 1 << 22) -> Iterator[tuple[int, Ids]]:
         """(first row, ids) of the slices of a column of texts; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -120,6 +120,7 @@ class ChunkedEncoder:
             to = max(at + 1, int(np.searchsorted(ends, base + step_bytes, "right")))
             yield at, self._slice(texts.slice(at, to - at))
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def byte_letters() -> list[str]:
