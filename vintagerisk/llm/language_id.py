@@ -33,7 +33,7 @@ from vintagerisk.llm.frames import land, pick
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-MAX_DOCS, MAX_WORDS = 20_000, 20_000
+MAX_DOCS, MAX_WORDS = 20_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def _log_frequencies(counts: pd.DataFrame, langs: tuple[str, ...]) -> Table:
 class Scorer:
     """Rows of word scores; those of unseen words are worked out once and remembered, up to a limit."""
 
-    def __init__(self, model: Model, limit: int = 200_000) -> None:
+    def __init__(self, model: Model, limit: int = 100_000) -> None:
         self.model, self.limit = model, limit
         self._forget()
 
