@@ -179,8 +179,9 @@ def normalise(spark: SparkSession, source: str, decisions: DataFrame, target: st
         return pd.DataFrame({"file": [name], "records": [count], "bytes": [at]})
 
     # refers_to travels as text: pandas would turn a column with nulls into floats, which do not hold every number
-    plain = decisions.withColumn("refers_to", F.col("refers_to").cast("string"))
-    plain.groupBy("file").applyInPandas(rewrite, "file string, records long, bytes long").write.mode("overwrite").parquet(f"{target}/files")
+    plain = land(decisions.withColumn("refers_to", F.col("refers_to").cast("string")), "decisions")
+    # a stated number of partitions: the lines are few, and Spark would otherwise put all files into one task
+    plain.repartition(max(1, plain.select("file").distinct().count()), "file").groupBy("file").applyInPandas(rewrite, "file string, records long, bytes long").write.mode("overwrite").parquet(f"{target}/files")
     return spark.read.schema("file string, records long, bytes long").parquet(f"{target}/files")
 
 
