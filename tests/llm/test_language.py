@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -61,3 +62,16 @@ def test_identified_keeps_columns_and_texts_with_a_language(spark):
     kept = out.collect()
     gone = [r for r in ROWS if not any(c.isalpha() for c in r[1] or "")]
     assert len(kept) == len(ROWS) - len(gone)
+
+
+def test_a_kept_item_has_its_true_frequency_in_every_language(spark):
+    texts = [("en", "alpha alpha alpha beta beta gamma gamma die"), ("de", "die die die und und und gamma")]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    whole, cut = language_id.fit(docs), language_id.fit(docs, max_words=2)
+    assert len(cut.words.row) == 4 < len(whole.words.row) == 5
+    assert all(len(cut.grams[n].row) < len(whole.grams[n].row) for n in range(1, 4))
+    for few, all_ in [(cut.words, whole.words), *[(cut.grams[n], whole.grams[n]) for n in range(1, 6)]]:
+        at = np.searchsorted(all_.row.keys, few.row.keys)
+        assert (all_.row.keys[at] == few.row.keys).all() and (few.logs == all_.logs[at]).all()
+    # "die" is third in English and first in German: (1 + 1/2) and (3 + 1/2) of all words
+    assert cut.words.logs[cut.words.row["die"]] == pytest.approx(np.log([3.5 / (7 + 2.5), 1.5 / (8 + 2.5)]), rel=1e-6)

@@ -7,8 +7,10 @@ scores by the mean over the known n-grams of that length.
 
 The fit is on a bounded sample: labelled rows whose hash falls under `max_docs` of their count, so some `max_docs` texts
 (all, if there are fewer). The vocabulary keeps the `max_words` words seen most in each language, and as many n-grams
-of each length; what is left out is scored by the back-off like any unseen word. So the broadcast model is bounded by
-languages x lengths x `max_words` whatever the corpus. Prediction reads every whole text.
+of each length. An item kept for one language carries its true count in every language, and totals run over all items,
+so its log frequencies are those of a model without a limit; what is left out is scored by the back-off like any unseen
+word. So the broadcast model is bounded by languages x lengths x `max_words` whatever the corpus. Items are held as
+64-bit hashes in sorted arrays. Prediction reads every whole text.
 
 Null or letterless text: `und` with score 0. Null labels teach nothing. Ties go to the language that is first in the
 alphabet. No labelled text at all: every text is `und`. Repeated rows are predicted each. The result has the named key
@@ -19,12 +21,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +36,49 @@ from vintagerisk.llm.frames import land, pick
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-MAX_DOCS, MAX_WORDS = 20_000, 10_000
+MAX_DOCS, MAX_WORDS = 20_000, 60_000
+
+
+def _keys(items: Iterable[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(item.encode(), digest_size=8).digest() for item in items), np.uint64)
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Items by number, as a dictionary from item to number would have them: the sorted hashes take 8 bytes an item."""
+
+    keys: np.ndarray
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """Numbers of those of `items` that are known, in their order."""
+        wanted = _keys(items)
+        at = np.searchsorted(self.keys, wanted)
+        inside = at < len(self.keys)
+        at, wanted = at[inside], wanted[inside]
+        return at[self.keys[at] == wanted]
+
+    def get(self, item: str) -> int | None:
+        found = self.find([item])
+        return int(found[0]) if len(found) else None
+
+    def __getitem__(self, item: str) -> int:
+        found = self.get(item)
+        if found is None:
+            raise KeyError(item)
+        return found
+
+    def __contains__(self, item: str) -> bool:
+        return self.get(item) is not None
+
+    def __len__(self) -> int:
+        return len(self.keys)
 
 
 @dataclass(frozen=True)
 class Table:
     """Items and their log frequency in each language, a row of `logs` per item."""
 
-    row: dict[str, int]
+    row: Rows
     logs: np.ndarray
 
 
@@ -72,54 +110,61 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: i
     share = min(1.0, max_docs / max(total, 1))
     sample = rows.where(F.abs(F.xxhash64("text") % 1_000_000) < round(share * 1_000_000))
     counts = land(sample.select("lang", F.explode(_words(F.col("text"))).alias("item")).groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n")), "words")
-    words = _top(counts, ["lang"], max_words).toPandas()
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
     cuts = [F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda k, n=n: F.struct(F.lit(n).alias("size"), F.substr(marked, k, F.lit(n)).alias("item"))) for n in range(1, LONGEST + 1)]
     usable = [F.when(F.length(marked) >= n, c).otherwise(F.array().cast("array<struct<size:int,item:string>>")) for n, c in zip(range(1, LONGEST + 1), cuts, strict=True)]
-    grams = counts.select("lang", "n", F.inline(F.concat(*usable))).groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    grams = _top(grams, ["lang", "size"], max_words).toPandas()
-    langs = tuple(sorted(set(words["lang"])))
-    by_size = {n: _log_frequencies(grams[grams["size"] == n], langs) for n in range(1, LONGEST + 1)}
-    return Model(langs, _log_frequencies(words, langs), by_size)
+    grams = land(counts.select("lang", "n", F.inline(F.concat(*usable))).groupBy("lang", "size", "item").agg(F.sum("n").alias("n")), "grams")
+    langs = tuple(sorted(r.lang for r in counts.select("lang").distinct().collect()))
+    by_size = {n: _log_frequencies(grams.where(F.col("size") == n), langs, max_words) for n in range(1, LONGEST + 1)}
+    return Model(langs, _log_frequencies(counts, langs, max_words), by_size)
+
 
+def _log_frequencies(counts: DataFrame, langs: tuple[str, ...], most: int) -> Table:
+    """log((n + 1/2) / (total + items / 2)) in every language for each item that is among the `most` of one of them.
 
-def _log_frequencies(counts: pd.DataFrame, langs: tuple[str, ...]) -> Table:
-    """log((n + 1/2) / (total + items / 2)) for each item and language."""
-    codes, items = pd.factorize(counts["item"], sort=True)
-    values = np.zeros((len(items), len(langs)))
-    values[codes, counts["lang"].map({lang: k for k, lang in enumerate(langs)}).to_numpy(int)] = counts["n"]
-    logs = np.log((values + 0.5) / (values.sum(0) + 0.5 * max(len(values), 1)))
-    return Table({w: k for k, w in enumerate(items)}, logs.astype(np.float32))
+    n, total and items are those of all counts: the limit leaves rows of the table out and changes none.
+    """
+    sums = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    distinct = counts.select("item").distinct().count()
+    kept = _top(counts, ["lang"], most).select("item").distinct()
+    rows = counts.join(kept, "item", "left_semi").select("item", "lang", "n").toArrow().combine_chunks()
+    coded = pc.dictionary_encode(rows["item"].combine_chunks())
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    values = np.zeros((len(coded.dictionary), len(langs)))
+    values[coded.indices.to_numpy(), pc.index_in(rows["lang"], value_set=pa.array(langs, pa.string())).to_numpy()] = rows["n"].to_numpy()
+    totals = np.array([sums.get(lang, 0) for lang in langs], float)
+    logs = np.log((values + 0.5) / (totals + 0.5 * max(distinct, 1)))
+    keys = _keys(coded.dictionary.to_pylist())
+    order = np.argsort(keys)
+    return Table(Rows(keys[order]), logs[order].astype(np.float32))
 
 
 class Scorer:
-    """Rows of word scores; those of unseen words are worked out once and remembered, up to a limit."""
+    """Rows of word scores; each word's is worked out once and remembered, up to a limit."""
 
     def __init__(self, model: Model, limit: int = 100_000) -> None:
         self.model, self.limit = model, limit
         self._forget()
 
     def _forget(self) -> None:
-        self.unseen: dict[str, int] = {}
+        self.met: dict[str, int] = {}
         self.rows = np.empty((1024, len(self.model.langs)), np.float32)
 
     def row(self, w: str) -> np.ndarray:
-        known = self.model.words.row.get(w)
-        if known is not None:
-            return self.model.words.logs[known]
-        k = self.unseen.get(w)
+        k = self.met.get(w)
         if k is None:
-            k = self.unseen[w] = len(self.unseen)
+            k = self.met[w] = len(self.met)
             if k == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            self.rows[k] = self.back_off(w)
+            known = self.model.words.row.get(w)
+            self.rows[k] = self.back_off(w) if known is None else self.model.words.logs[known]
         return self.rows[k]
 
     def back_off(self, w: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             table = self.model.grams[n]
-            found = [table.row[g] for g in padded_grams(w, n) if g in table.row]
-            if found:
+            found = table.row.find(padded_grams(w, n))
+            if len(found):
                 return table.logs[found].mean(0)
         return np.zeros(len(self.model.langs), np.float32)
 
@@ -127,7 +172,7 @@ class Scorer:
         counts = Counter(WORD.findall(text.lower())) if text else None
         if not counts or not self.model.langs or not any(c.isalpha() for w in counts for c in w):
             return UNDETERMINED, 0.0
-        if len(self.unseen) > self.limit:
+        if len(self.met) > self.limit:
             self._forget()
         logs = np.fromiter(counts.values(), float, len(counts)) @ np.stack([self.row(w) for w in counts])
         best = int(logs.argmax())
