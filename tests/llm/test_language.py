@@ -75,3 +75,14 @@ def test_a_kept_item_has_its_true_frequency_in_every_language(spark):
         assert (all_.row.keys[at] == few.row.keys).all() and (few.logs == all_.logs[at]).all()
     # "die" is third in English and first in German: (1 + 1/2) and (3 + 1/2) of all words
     assert cut.words.logs[cut.words.row["die"]] == pytest.approx(np.log([3.5 / (7 + 2.5), 1.5 / (8 + 2.5)]), rel=1e-6)
+
+
+def test_a_rare_language_in_a_table_larger_than_the_sample(spark):
+    common = spark.range(20_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'en' ELSE 'de' END AS lang", "concat(CASE WHEN id % 2 = 0 THEN 'the cat ' ELSE 'der hund ' END, translate(id, '0123456789', 'abcdefghij')) AS text")
+    rare = spark.createDataFrame([("is", f"hundurinn og kötturinn {'x' * k}") for k in range(1, 6)], "lang string, text string")
+    model = language_id.fit(common.unionByName(rare), max_docs=100)
+    assert model.langs == ("de", "en", "is")
+    assert language_id.Scorer(model).predict("og kötturinn")[0] == "is"
+    # some 47 texts each of the two common ones, all five of the rare one
+    assert language_id._shares({"en": 10_000, "de": 10_000, "is": 5}, 100) == {"en": 0.00475, "de": 0.00475, "is": 1.0}
+    assert language_id._shares({"en": 60, "de": 5}, 65) == {"en": 1.0, "de": 1.0} and language_id._shares({}, 5) == {}

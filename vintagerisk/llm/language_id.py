@@ -5,8 +5,9 @@ language, and of the character n-grams of those words, weighted by how often the
 its frequencies. A word that no language knows falls back: to the longest n at which any of its n-grams is known, and
 scores by the mean over the known n-grams of that length.
 
-The fit is on a bounded sample: labelled rows whose hash falls under `max_docs` of their count, so some `max_docs` texts
-(all, if there are fewer). The vocabulary keeps the `max_words` words seen most in each language, and as many n-grams
+The fit is on a bounded sample of some `max_docs` labelled texts (all, if there are fewer), drawn per language: languages
+with few texts give all of them, the others an equal number each, chosen by hash. So a rare language is learned from as
+many texts as there are, however large the table. The vocabulary keeps the `max_words` words seen most in each language, and as many n-grams
 of each length. An item kept for one language carries its true count in every language, and totals run over all items,
 so its log frequencies are those of a model without a limit; what is left out is scored by the back-off like any unseen
 word. So the broadcast model is bounded by languages x lengths x `max_words` whatever the corpus. Items are held as
@@ -104,11 +105,28 @@ def _top(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
     return counts.selectExpr("*", order).where(F.col("place") <= most).drop("place")
 
 
+def _shares(rows: dict[str, int], max_docs: int) -> dict[str, float]:
+    """The share of each language's rows to draw: all of the small ones, equal numbers of the others, `max_docs` in sum."""
+    left, level = max_docs, 0.0
+    for k, n in enumerate(sorted(rows.values())):
+        level = left / (len(rows) - k)
+        if n > level:
+            break
+        left -= n
+        level = float(n)
+    return {lang: min(1.0, level / n) for lang, n in rows.items()}
+
+
+def _drawn(hashed: Column, share: Column) -> Column:
+    """Whether the upper 53 bits of a 64-bit hash, as a number from 0 to 1, fall under the share."""
+    return F.shiftrightunsigned(hashed, 11).cast("double") < share * float(2**53)
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
     rows = pick(labelled, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL")
-    total = rows.count()
-    share = min(1.0, max_docs / max(total, 1))
-    sample = rows.where(F.abs(F.xxhash64("text") % 1_000_000) < round(share * 1_000_000))
+    found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    shares = labelled.sparkSession.createDataFrame([*_shares(found, max_docs).items()], "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(_drawn(F.xxhash64("text"), F.col("share")))
     counts = land(sample.select("lang", F.explode(_words(F.col("text"))).alias("item")).groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n")), "words")
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
     cuts = [F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda k, n=n: F.struct(F.lit(n).alias("size"), F.substr(marked, k, F.lit(n)).alias("item"))) for n in range(1, LONGEST + 1)]
