@@ -86,3 +86,14 @@ def test_a_rare_language_in_a_table_larger_than_the_sample(spark):
     # some 47 texts each of the two common ones, all five of the rare one
     assert language_id._shares({"en": 10_000, "de": 10_000, "is": 5}, 100) == {"en": 0.00475, "de": 0.00475, "is": 1.0}
     assert language_id._shares({"en": 60, "de": 5}, 65) == {"en": 1.0, "de": 1.0} and language_id._shares({}, 5) == {}
+
+
+def test_copies_of_a_text_change_neither_bound_nor_frequencies(spark):
+    texts = spark.range(2_000).selectExpr("'en' AS lang", "concat('the cat ', translate(id, '0123456789', 'abcdefghij')) AS text")
+    hot = spark.createDataFrame([("en", "page not found"), ("en", ""), ("de", "page not found"), ("de", "der hund")], "lang string, text string")
+    copies = hot.crossJoin(spark.range(1_000)).drop("id")
+    for most in (language_id.MAX_DOCS, 500):
+        once, often = (language_id.fit(texts.unionByName(more), max_docs=most) for more in (hot, copies))
+        assert once.langs == often.langs == ("de", "en")
+        assert (once.words.row.keys == often.words.row.keys).all() and (once.words.logs == often.words.logs).all()
+        assert all((once.grams[n].logs == often.grams[n].logs).all() for n in range(1, 6))

@@ -5,13 +5,16 @@ language, and of the character n-grams of those words, weighted by how often the
 its frequencies. A word that no language knows falls back: to the longest n at which any of its n-grams is known, and
 scores by the mean over the known n-grams of that length.
 
-The fit is on a bounded sample of some `max_docs` labelled texts (all, if there are fewer), drawn per language: languages
-with few texts give all of them, the others an equal number each, chosen by hash. So a rare language is learned from as
-many texts as there are, however large the table. The vocabulary keeps the `max_words` words seen most in each language, and as many n-grams
-of each length. An item kept for one language carries its true count in every language, and totals run over all items,
-so its log frequencies are those of a model without a limit; what is left out is scored by the back-off like any unseen
-word. So the broadcast model is bounded by languages x lengths x `max_words` whatever the corpus. Items are held as
-64-bit hashes in sorted arrays. Prediction reads every whole text.
+The fit is on a bounded sample of some `max_docs` distinct labelled texts (all, if there are fewer), drawn per language:
+copies of a text, told by its 64-bit hash, count once for each language that they are labelled with. Languages with few
+texts give all of them, the others an equal number each, chosen by hash. So a rare language is learned from as many
+texts as there are, however large the table.
+
+The vocabulary keeps the `max_words` words seen most in each language, and as many n-grams of each length. An item kept
+for one language carries its true count in every language, and totals run over all items, so its log frequencies are
+those of a model without a limit; what is left out is scored by the back-off like any unseen word. So the broadcast
+model is bounded by languages x lengths x `max_words` whatever the corpus. Items are held as 64-bit hashes in sorted
+arrays. Prediction reads every whole text.
 
 Null or letterless text: `und` with score 0. Null labels teach nothing. Ties go to the language that is first in the
 alphabet. No labelled text at all: every text is `und`. Repeated rows are predicted each. The result has the named key
@@ -124,9 +127,13 @@ def _drawn(hashed: Column, share: Column) -> Column:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
     rows = pick(labelled, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL")
-    found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    rows = rows.withColumn("hashed", F.xxhash64("text"))
+    distinct = rows.select("lang", "hashed").distinct()
+    found = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     shares = labelled.sparkSession.createDataFrame([*_shares(found, max_docs).items()], "lang string, share double")
-    sample = rows.join(F.broadcast(shares), "lang").where(_drawn(F.xxhash64("text"), F.col("share")))
+    sample = rows.join(F.broadcast(shares), "lang").where(_drawn(F.col("hashed"), F.col("share"))).select("lang", "hashed", "text")
+    # a task sends one row for each text that it drew, however many copies it read
+    sample = sample.groupBy("lang", "hashed").agg(F.first("text").alias("text"))
     counts = land(sample.select("lang", F.explode(_words(F.col("text"))).alias("item")).groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n")), "words")
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
     cuts = [F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda k, n=n: F.struct(F.lit(n).alias("size"), F.substr(marked, k, F.lit(n)).alias("item"))) for n in range(1, LONGEST + 1)]
