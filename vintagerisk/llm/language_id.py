@@ -55,11 +55,16 @@ class Rows:
 
     def find(self, items: list[str]) -> np.ndarray:
         """Numbers of those of `items` that are known, in their order."""
+        at, known = self.search(items)
+        return at[known]
+
+    def search(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each item, and whether it is known."""
         wanted = _keys(items)
         at = np.searchsorted(self.keys, wanted)
-        inside = at < len(self.keys)
-        at, wanted = at[inside], wanted[inside]
-        return at[self.keys[at] == wanted]
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == wanted[known]
+        return at, known
 
     def get(self, item: str) -> int | None:
         found = self.find([item])
@@ -176,15 +181,27 @@ class Scorer:
         self.rows = np.empty((1024, len(self.model.langs)), np.float32)
 
     def row(self, w: str) -> np.ndarray:
-        k = self.met.get(w)
-        if k is None:
-            k = self.met[w] = len(self.met)
-            if k == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            known = self.model.words.row.get(w)
-            self.rows[k] = self.back_off(w) if known is None else self.model.words.logs[known]
+        (k,) = self.places([w])
         return self.rows[k]
 
+    def places(self, words: list[str]) -> list[int]:
+        """Where the rows of distinct words stand in `rows`."""
+        new = [w for w in words if w not in self.met]
+        if new:
+            self._meet(new)
+        return [self.met[w] for w in words]
+
+    def _meet(self, words: list[str]) -> None:
+        first = len(self.met)
+        self.met.update(zip(words, range(first, first + len(words)), strict=True))
+        while len(self.rows) < len(self.met):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        known, inside = self.model.words.row.search(words)
+        for k, w in enumerate(words):
+            if not inside[k]:
+                self.rows[first + k] = self.back_off(w)
+        self.rows[first + np.flatnonzero(inside)] = self.model.words.logs[known[inside]]
+
     def back_off(self, w: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             table = self.model.grams[n]
@@ -199,7 +216,8 @@ class Scorer:
             return UNDETERMINED, 0.0
         if len(self.met) > self.limit:
             self._forget()
-        logs = np.fromiter(counts.values(), float, len(counts)) @ np.stack([self.row(w) for w in counts])
+        at = self.places([*counts])
+        logs = np.fromiter(counts.values(), float, len(counts)) @ self.rows[at]
         best = int(logs.argmax())
         return self.model.langs[best], float(1.0 / np.exp(np.maximum(logs - logs[best], -700.0)).sum())
 
