@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagerisk.llm import block_naming, bpe, jaccard_join, language_id, packing, secret_scan, sharding, token_store, vector_file, warc
+from vintagerisk.llm import block_naming, bpe, divergence, jaccard_join, language_id, packing, secret_scan, sharding, token_store, vector_file, warc
 from vintagerisk.llm.frames import hex_sha256, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,31 @@ g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+SQL["op13_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+held AS (SELECT w.lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY w.lang, source, term),
+totals AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN held USING (lang, source) GROUP BY g.lang, g.source),
+rated AS (SELECT t.lang, t.source, kept.term, coalesce(h.c, 0) AS c, 1 + (1000000000::hugeint * (coalesce(h.c, 0) + 1)) // (t.n + l.v) AS p,
+                 1 + (1000000000::hugeint * (kept.c + 1)) // (l.n + l.v) AS q
+          FROM totals t JOIN kept USING (lang) JOIN langs l USING (lang) LEFT JOIN held h ON h.lang = t.lang AND h.source = t.source AND h.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+          FROM rated a JOIN rated b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM rated WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS bigint) AS value, CAST(rank AS integer) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 200
+"""
