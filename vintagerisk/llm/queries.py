@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagerisk.llm import block_naming, bpe, divergence, jaccard_join, language_id, packing, secret_scan, sharding, token_store, vector_file, warc
+from vintagerisk.llm import block_naming, bpe, divergence, jaccard_join, language_id, line_dedup, packing, secret_scan, sharding, token_store, vector_file, warc
 from vintagerisk.llm.frames import hex_sha256, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,26 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+@query
+def op12_line_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, so that the second one's keys ask the filters of the first."""
+    docs, store = table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.LineStore(spark)
+    half = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2, F.lit(0))
+    for k in (0, 1):
+        store.insert(docs.where(half == k))
+    return store.cleaned(docs).select("doc_id", "n_lines", "n_dropped", hex_sha256(F.col("text")).alias("kept_sha256"))
+
+
+SQL["op12_line_store"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+x AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+h AS (SELECT key, min(doc_id) AS head FROM x WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT x.*, h.head IS NULL OR h.head = doc_id AS stays FROM x LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (stays), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
