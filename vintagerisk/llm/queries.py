@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagerisk.llm import block_naming, bpe, divergence, jaccard_join, language_id, line_dedup, packing, secret_scan, sharding, token_store, vector_file, warc
+from vintagerisk.llm import alignment, block_naming, bpe, divergence, jaccard_join, language_id, line_dedup, packing, secret_scan, sharding, token_store, vector_file, warc
 from vintagerisk.llm.frames import hex_sha256, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,12 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return alignment.Alignment(docs, vocabulary("byte_bpe_50k.json"), model).documents()
+
+
 @query
 def op12_line_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, so that the second one's keys ask the filters of the first."""
