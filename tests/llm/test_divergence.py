@@ -52,7 +52,7 @@ def frame(spark, rows):
     return spark.createDataFrame(full, "lang string, source string, text string, term int, shard int, p int, item int")
 
 
-@pytest.mark.parametrize("postings", [1, 40, 400_000])
+@pytest.mark.parametrize("postings", [1, 40, 1_000_000])
 def test_values_equal_brute_force_whatever_the_block_size(spark, postings, monkeypatch):
     rows = corpus()
     monkeypatch.setattr(divergence.term_index, "__defaults__", (3, postings))

@@ -136,7 +136,7 @@ def merged(pieces: Iterator[dict]) -> Iterator[tuple[bytes, int, list[str], list
         yield term, docs, sources, counts
 
 
-def term_index(docs: DataFrame, min_docs: int = MIN_DOCS, postings: int = 400_000) -> DataFrame:
+def term_index(docs: DataFrame, min_docs: int = MIN_DOCS, postings: int = 1_000_000) -> DataFrame:
     """(lang, term, docs, sources, counts) of the kept terms; under the term '' the groups and their documents."""
     spark = docs.sparkSession
     parts = partitions(spark)
