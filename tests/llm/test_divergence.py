@@ -52,10 +52,10 @@ def frame(spark, rows):
     return spark.createDataFrame(full, "lang string, source string, text string, term int, shard int, p int, item int")
 
 
-@pytest.mark.parametrize("postings", [1, 40, 1_000_000])
-def test_values_equal_brute_force_whatever_the_block_size(spark, postings, monkeypatch):
+@pytest.mark.parametrize("block_bytes", [1, 300, 1 << 23])
+def test_values_equal_brute_force_whatever_the_block_size(spark, block_bytes, monkeypatch):
     rows = corpus()
-    monkeypatch.setattr(divergence.term_index, "__defaults__", (3, postings))
+    monkeypatch.setattr(divergence.term_index, "__defaults__", (3, block_bytes))
     monkeypatch.setattr(divergence.shared_corrections, "__defaults__", (30, 8))
     got = divergence.source_divergence(frame(spark, rows).repartition(4), top=5)
     assert sorted(tuple(r) for r in got.select("lang", "source", "part", "item", "value", "rank").collect()) == brute(rows, top=5)
@@ -65,20 +65,29 @@ def test_no_rows(spark):
     assert divergence.source_divergence(frame(spark, [])).count() == 0
 
 
-def test_runs_merge_into_the_counts_of_all_documents():
+@pytest.mark.parametrize("window", [1, 10, 200_000])
+def test_runs_merge_into_the_counts_of_all_documents(window, monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE", 3)
     rows = [r for r in corpus(80) if r[0] == "en"]
     blocks = [Block() for _ in range(7)]
     for k, (lang, source, text) in enumerate(rows):
         blocks[k % 7].add(lang, source or "", text.encode())
     for shard in range(3):
-        pieces = sorted((p for b in blocks for batch in b.run(3) for p in batch.to_pylist() if p["shard"] == shard), key=lambda p: p["first"])
-        entries = list(merged(iter(pieces)))
-        assert [e[0] for e in entries] == sorted({t for p in pieces for t in p["terms"]})
-        for term, docs, sources, counts in entries:
+        pieces = [dict(zip(batch.schema.names, row)) for b in blocks for batch in b.run(3) for row in zip(*batch.columns) if row[0].as_py() == shard]
+        pieces.sort(key=lambda p: p["first"].as_py())
+        got = {}
+        for terms, docs, sizes, sources, counts in merged(iter(pieces), 1, window):
+            at = 0
+            for term, n, size in zip(terms.to_pylist(), docs.tolist(), sizes.tolist()):
+                assert term not in got
+                got[term] = (n, dict(zip(sources.to_pylist()[at : at + size], counts.tolist()[at : at + size])))
+                at += size
+        assert list(got) == sorted({t for p in pieces for t in p["terms"].as_py()})
+        for term, (docs, held) in got.items():
             want = Counter()
             for _, source, text in rows:
                 want[source or ""] += (divergence.terms_of(text.encode()) + [b""]).count(term)
-            assert dict(zip(sources, counts)) == {s: n for s, n in want.items() if n}
+            assert held == {s: n for s, n in want.items() if n}
             assert docs == sum(term in divergence.terms_of(t.encode()) + [b""] for _, _, t in rows)
 
 

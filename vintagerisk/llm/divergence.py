@@ -1,7 +1,7 @@
 """How far a source's wording departs from its language and from the language's other sources.
 
-Single-pass in-memory indexing: a task counts the terms of its documents in blocks, and when a block holds `postings`
-entries it leaves memory as a run, sorted by term and cut into pieces by hash shard. Each shard's task opens the pieces of
+Single-pass in-memory indexing: a task gathers documents in a block until it holds `block_bytes`, counts the postings of
+its terms, and spills it as a run, sorted by term and cut into pieces by hash shard. Each shard's task opens the pieces of
 all runs in the order of their first terms and merges them with a heap into one entry per (language, term); only the open
 pieces are in memory. Documents are read once, and a frequent term costs one entry per run and source, not one per occurrence.
 
@@ -23,13 +23,13 @@ overflow error stops the job.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,91 +52,127 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 class Block:
-    """Counts of one block: per (language, source) and term its occurrences, per language and term its documents."""
+    """Texts of a block, at most about `size` bytes or one longer text, and their inversion."""
 
     def __init__(self) -> None:
-        self.groups: dict[str, dict[str, Counter]] = {}
-        self.docs: dict[str, Counter] = {}
-        self.postings = 0
+        self.rows: list[tuple[str, str]] = []
+        self.texts: list[bytes] = []
+        self.size = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counts = self.groups.setdefault(lang, {}).setdefault(source, Counter())
-        before, words = len(counts), terms_of(text)
-        words.append(EVERY)
-        counts.update(words)
-        self.docs.setdefault(lang, Counter()).update(set(words))
-        self.postings += len(counts) - before
+        self.rows.append((lang, source))
+        self.texts.append(text.translate(TERM_BYTES))
+        self.size += len(text)
 
     def run(self, shards: int) -> Iterator[pa.RecordBatch]:
         """Pieces of one run per language: shard by shard, terms ascending."""
-        for lang, groups in self.groups.items():
-            terms = sorted(self.docs[lang])
-            number = dict(zip(terms, range(len(terms)), strict=True))
-            names = sorted(groups)
-            term = np.concatenate([np.fromiter(map(number.__getitem__, groups[s]), np.int64, len(groups[s])) for s in names])
-            count = np.concatenate([np.fromiter(groups[s].values(), np.int64, len(groups[s])) for s in names])
-            source = np.repeat(np.arange(len(names)), [len(groups[s]) for s in names])
-            by_term = np.argsort(term, kind="stable")
-            size = np.bincount(term, minlength=len(terms))
-            start = np.cumsum(size) - size
-            docs = np.fromiter(map(self.docs[lang].__getitem__, terms), np.int64, len(terms))
-            shard = np.fromiter(map(crc32, terms), np.int64, len(terms)) % shards
-            order = np.argsort(shard, kind="stable")
-            held = by_term[gather(start[order], size[order], np.arange(len(term)))]
-            edge = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
+        if not self.rows:
+            return
+        groups = {g: k for k, g in enumerate(sorted(set(self.rows)))}
+        langs = {lang: k for k, lang in enumerate(sorted({lang for lang, _ in groups}))}
+        lang_of = np.array([langs[lang] for lang, _ in groups])
+        group = np.fromiter((groups[r] for r in self.rows), np.int64, len(self.rows))
+        # splitting leaves an empty string before a leading space: the empty term, which each document gets once
+        words = pc.ascii_split_whitespace(pa.array([b" " + t if t else t for t in map(bytes.strip, self.texts)], pa.binary()).view(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        doc = np.repeat(np.arange(len(self.rows)), np.diff(np.asarray(words.offsets)))
+        terms = coded.dictionary.cast(pa.binary())
+        rank, order = np.empty(len(terms), np.int64), np.asarray(pc.array_sort_indices(terms))
+        rank[order] = np.arange(len(terms))
+        terms = terms.take(pa.array(order))
+        pairs, count = np.unique(doc * len(terms) + rank[np.asarray(coded.indices)], return_counts=True)
+        doc, term = pairs // len(terms), pairs % len(terms)
+        del words, coded, pairs
+        held, of_doc = np.unique(term * len(groups) + group[doc], return_inverse=True)
+        count = np.bincount(of_doc, count).astype(np.int64)
+        docs = np.bincount(of_doc)
+        term, source = held // len(groups), held % len(groups)
+        shard = np.fromiter(map(crc32, terms.to_pylist()), np.int64, len(terms)) % shards
+        names = pa.array([s for _, s in groups], pa.string())
+        for lang, k in langs.items():
+            mine = np.flatnonzero(lang_of[source] == k)
+            own, start, size = np.unique(term[mine], return_index=True, return_counts=True)
+            n = np.add.reduceat(docs[mine], start)
+            order = np.argsort(shard[own], kind="stable")
+            at = mine[gather(start[order], size[order], np.arange(len(mine)))]
+            edge = np.flatnonzero(np.r_[True, np.diff(shard[own][order]) != 0, True])
             cuts = np.unique(np.concatenate([[len(order)], *[np.arange(a, b, PIECE) for a, b in zip(edge[:-1], edge[1:], strict=True)]]))
             of_terms, of_held = pa.array(cuts, pa.int32()), pa.array(np.r_[0, np.cumsum(size[order])][cuts], pa.int32())
-            sorted_terms = pa.array(terms, pa.binary()).take(pa.array(order))
+            sorted_terms = terms.take(pa.array(own[order]))
             listed = lambda offsets, values: pa.ListArray.from_arrays(offsets, values)
             yield pa.record_batch(
                 [
-                    pa.array(shard[order][cuts[:-1]], pa.int32()), pa.array([lang] * (len(cuts) - 1), pa.string()), sorted_terms.take(pa.array(cuts[:-1])),
-                    listed(of_terms, sorted_terms), listed(of_terms, pa.array(docs[order])), listed(of_terms, pa.array(size[order], pa.int32())),
-                    listed(of_held, pa.array(names, pa.string()).take(pa.array(source[held]))), listed(of_held, pa.array(count[held])),
+                    pa.array(shard[own][order][cuts[:-1]], pa.int32()), pa.array([lang] * (len(cuts) - 1), pa.string()), sorted_terms.take(pa.array(cuts[:-1])),
+                    listed(of_terms, sorted_terms), listed(of_terms, pa.array(n[order])), listed(of_terms, pa.array(size[order], pa.int32())),
+                    listed(of_held, names.take(pa.array(source[at]))), listed(of_held, pa.array(count[at])),
                 ],
                 ["shard", "lang", "first", "terms", "docs", "sizes", "sources", "counts"],
             )
 
 
 class Piece:
-    """A piece of a run while it is merged."""
+    """A piece of a run while it is merged; `at` terms of it are done."""
 
-    def __init__(self, row: dict) -> None:
-        self.terms, self.docs, self.sources, self.counts = row["terms"], row["docs"], row["sources"], row["counts"]
-        self.ends = np.cumsum(row["sizes"]).tolist()
+    def __init__(self, row: dict[str, pa.Scalar]) -> None:
+        self.terms, self.sources = row["terms"].values, row["sources"].values
+        self.docs, self.counts = (row[c].values.to_numpy() for c in ("docs", "counts"))
+        self.ends = np.r_[0, np.cumsum(row["sizes"].values.to_numpy())]
+        self.last = self.terms[-1].as_py()
+        self.at = 0
 
-    def entry(self, i: int) -> tuple[int, list[str], list[int]]:
-        lo, hi = self.ends[i - 1] if i else 0, self.ends[i]
-        return self.docs[i], self.sources[lo:hi], self.counts[lo:hi]
+    def upto(self, bound: bytes | None) -> int:
+        return len(self.docs) if bound is None or self.last < bound else pc.sum(pc.less(self.terms, bound)).as_py()
 
 
-def merged(pieces: Iterator[dict]) -> Iterator[tuple[bytes, int, list[str], list[int]]]:
-    """(term, documents, sources, counts), terms ascending, of pieces in the order of their first terms."""
-    heap: list[tuple[bytes, int, int, Piece]] = []
-    upcoming, opened = next(pieces, None), 0
+def merged(pieces: Iterator[dict[str, pa.Scalar]], min_docs: int, window: int = 200_000) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """(terms, documents, sizes, sources, counts) in term order, of pieces in the order of their first terms.
+
+    A heap holds the open pieces by their last terms. What lies before the first term of the next piece is complete in
+    the open ones and is merged at once; the heap gives up the pieces this ends. Pieces are opened until that is about half of what they hold.
+    """
+    heap: list[tuple[bytes, int, Piece]] = []
+    upcoming, opened, most = next(pieces, None), 0, window
     while heap or upcoming:
-        while upcoming and (not heap or upcoming["first"] <= heap[0][0]):
-            heapq.heappush(heap, (upcoming["first"], opened, 0, Piece(upcoming)))
+        while upcoming and sum(len(p.docs) - p.at for _, _, p in heap) < most:
+            piece = Piece(upcoming)
+            heapq.heappush(heap, (piece.last, opened, piece))
             upcoming, opened = next(pieces, None), opened + 1
-        term, parts = heap[0][0], []
-        while heap and heap[0][0] == term:
-            _, k, i, piece = heap[0]
-            parts.append(piece.entry(i))
-            if i + 1 < len(piece.terms):
-                heapq.heapreplace(heap, (piece.terms[i + 1], k, i + 1, piece))
-            else:
-                heapq.heappop(heap)
-        docs, sources, counts = parts[0]
-        if len(parts) > 1:
-            total: Counter = Counter()
-            for n, names, held in parts:
-                for name, c in zip(names, held, strict=True):
-                    total[name] += c
-            docs, sources, counts = sum(p[0] for p in parts), list(total), list(total.values())
-        yield term, docs, sources, counts
-
-
-def term_index(docs: DataFrame, min_docs: int = MIN_DOCS, postings: int = 1_000_000) -> DataFrame:
+        bound = upcoming["first"].as_py() if upcoming else None
+        stops = [(p, p.upto(bound)) for _, _, p in heap]
+        if upcoming and 2 * sum(stop - p.at for p, stop in stops) < sum(len(p.docs) - p.at for p, _ in stops):
+            most *= 2
+            continue
+        most = window
+        yield _together([(p, p.at, stop) for p, stop in stops if stop > p.at], min_docs)
+        for p, stop in stops:
+            p.at = stop
+        while heap and (bound is None or heap[0][0] < bound):
+            heapq.heappop(heap)
+
+
+def _together(parts: list[tuple[Piece, int, int]], min_docs: int) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    coded = pa.concat_arrays([p.terms.slice(a, b - a) for p, a, b in parts]).dictionary_encode()
+    number = np.asarray(coded.indices, np.int64)
+    docs = np.bincount(number, np.concatenate([p.docs[a:b] for p, a, b in parts])).astype(np.int64)
+    keep = docs >= min_docs
+    for k, term in enumerate(coded.dictionary[:1] if number.size else []):
+        keep[k] |= term.as_py() == EVERY  # the smallest term there is
+    order = np.flatnonzero(keep)[np.asarray(pc.array_sort_indices(coded.dictionary.filter(pa.array(keep))), np.int64)]
+    place = np.full(len(keep), -1, np.int64)
+    place[order] = np.arange(len(order))
+    sizes = np.concatenate([np.diff(p.ends[a : b + 1]) for p, a, b in parts])
+    term = np.repeat(place[number], sizes)
+    kept = term >= 0
+    sources = pa.concat_arrays([p.sources.slice(p.ends[a], p.ends[b] - p.ends[a]) for p, a, b in parts]).filter(pa.array(kept)).dictionary_encode()
+    counts = np.concatenate([p.counts[p.ends[a] : p.ends[b]] for p, a, b in parts])[kept]
+    width = max(1, len(sources.dictionary))
+    held, of = np.unique(term[kept] * width + np.asarray(sources.indices, np.int64), return_inverse=True)
+    total = np.zeros(len(held), np.int64)
+    np.add.at(total, of, counts)
+    return coded.dictionary.take(pa.array(order)), docs[order], np.bincount(held // width, minlength=len(order)), sources.dictionary.take(pa.array(held % width)), total
+
+
+def term_index(docs: DataFrame, min_docs: int = MIN_DOCS, block_bytes: int = 1 << 23) -> DataFrame:
     """(lang, term, docs, sources, counts) of the kept terms; under the term '' the groups and their documents."""
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -152,33 +188,23 @@ def term_index(docs: DataFrame, min_docs: int = MIN_DOCS, postings: int = 1_000_
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
             for lang, source, text in zip(langs, sources, batch.column("text"), strict=True):
                 block.add(lang, source, text.as_py())
-                if block.postings >= postings:
+                if block.size >= block_bytes:
                     yield from block.run(shards)
                     block = Block()
         yield from block.run(shards)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for k in range(0, batch.num_rows, 64) for row in batch.slice(k, 64).to_pylist())
-        out: list[tuple] = []
-        for (_, lang), pieces in groupby(rows, key=lambda r: (r["shard"], r["lang"])):
-            for term, n, sources, counts in merged(iter(pieces)):
-                if n >= min_docs or term == EVERY:
-                    out.append((lang, term, n, sources, counts))
-                if len(out) == 10_000:
-                    yield _index_batch(out)
-                    out = []
-        yield _index_batch(out)
+        rows = (dict(zip(batch.schema.names, row, strict=True)) for batch in batches for row in zip(*batch.columns, strict=True))
+        for (_, lang), pieces in groupby(rows, key=lambda r: (r["shard"].as_py(), r["lang"].as_py())):
+            for terms, n, sizes, sources, counts in merged(iter(pieces), min_docs):
+                offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, pa.array(counts))]
+                yield pa.record_batch([pa.array([lang] * len(terms), pa.string()), terms, pa.array(n), *lists], ["lang", "term", "docs", "sources", "counts"])
 
     runs = texts.mapInArrow(invert, RUNS).repartition(parts, "shard").sortWithinPartitions("shard", "lang", "first")
     return runs.mapInArrow(merge, INDEX)
 
 
-def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "term", "docs", "sources", "counts"])
-
-
 def frequency(count: str, total: str, vocabulary: str) -> str:
     return f"1 + (cast({SCALE} as decimal(10,0)) * ({count} + 1)) DIV ({total} + {vocabulary})"
 
@@ -302,6 +328,4 @@ def shared_corrections(rated: DataFrame, pairs: int = 1 << 20, held: int = 1 <<
 
 def _changes(column: pa.Array) -> np.ndarray:
     """Whether each value but the first differs from the one before."""
-    import pyarrow.compute as pc
-
     return pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False).astype(bool)
