@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from vintagerisk.llm import files
 from vintagerisk.llm.chunks import Ids, LibraryEncoder, byte_letters, gather, joined
-from vintagerisk.llm.frames import scratch
+from vintagerisk.llm.frames import scratch, sliced
 from vintagerisk.llm.perfect_hash import PerfectHash
 
 META = "▁"
-SLICE = 1 << 22
+SLICE = 1 << 20
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -59,17 +59,15 @@ class PlainEncoder(LibraryEncoder):
     """Tokenizer A: special tokens' strings in a text are plain text."""
 
     def __init__(self, tokenizer_json: str) -> None:
-        from tokenizers import Tokenizer
-
         super().__init__(tokenizer_json)
         self.limit = 150_000
-        self.plain = Tokenizer.from_str(tokenizer_json)
-        self.plain.no_truncation()
-        self.plain.no_padding()
-        self.plain.encode_special_tokens = True
 
     def _one(self, text: str) -> np.ndarray:
-        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.tokenizer.encode_special_tokens = True
+        try:
+            return super()._one(text)
+        finally:
+            self.tokenizer.encode_special_tokens = False
 
     def bytes(self) -> ByteTable:
         value = {letter: b for b, letter in enumerate(byte_letters())}
@@ -137,15 +135,15 @@ class PieceEncoder:
         return np.r_[0, np.cumsum(size)][rows - rows[0]], gather(start, size, ids)
 
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[object, object] = {}
 
 
-def once(name: str, key: object, make) -> object:
-    """One object of each name per Python worker, made again when its key changes."""
-    if name not in _LOADED or _LOADED[name][0] != key:
-        _LOADED.pop(name, None)
-        _LOADED[name] = (key, make())
-    return _LOADED[name][1]
+def once(key: object, make) -> object:
+    """One object per Python worker, which Spark uses again for further tasks: of encoders and tables only the last is held."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = make()
+    return _LOADED[key]
 
 
 def encoders(tokenizer_json: str, model: bytes) -> tuple[PlainEncoder, PieceEncoder, ByteTable, ByteTable]:
@@ -153,7 +151,7 @@ def encoders(tokenizer_json: str, model: bytes) -> tuple[PlainEncoder, PieceEnco
         a, b = PlainEncoder(tokenizer_json), PieceEncoder(model)
         return a, b, a.bytes(), b.bytes()
 
-    return once("encoders", (hash(tokenizer_json), hash(model)), make)
+    return once((hash(tokenizer_json), hash(model)), make)
 
 
 TOKENS = "doc_id {0}, a binary, b binary"
@@ -165,12 +163,11 @@ def tokens(docs: DataFrame, tokenizer_json: str, model: bytes, text: str = "text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok_a, tok_b, bytes_a, bytes_b = encoders(tokenizer_json, model)
-        for batch in batches:
+        for batch in sliced(batches, "text", SLICE):
             texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
-            spaced = pc.binary_join_element_wise("", texts, " ")
-            for at, (oa, ia) in tok_a.batches(spaced, SLICE):
-                part, own = texts.slice(at, len(oa) - 1), spaced.slice(at, len(oa) - 1)
-                ob, ib = tok_b.encode(part)
+            own = pc.binary_join_element_wise("", texts, " ")
+            for _, (oa, ia) in tok_a.batches(own, 4 * SLICE + len(own)):
+                ob, ib = tok_b.encode(texts)
                 ends = np.r_[0, np.cumsum(pc.binary_length(own).to_numpy())]
                 spelt = np.frombuffer(b"".join(own.cast(pa.binary()).to_pylist()), np.uint8)
                 good = np.diff(ends) > 1
@@ -187,7 +184,7 @@ def tokens(docs: DataFrame, tokenizer_json: str, model: bytes, text: str = "text
                             good[k] &= np.array_equal(flat[size[k] : size[k + 1]], spelt[ends[k] : ends[k + 1]])
                 ids_of = lambda offsets, ids: [ids[a:b].astype("<u4").tobytes() if g else b"" for a, b, g in zip(offsets[:-1], offsets[1:], good, strict=True)]
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(at, len(good)), pa.array(ids_of(oa, ia), pa.binary()), pa.array(ids_of(ob, ib), pa.binary())], ["doc_id", "a", "b"]
+                    [batch.column("doc_id"), pa.array(ids_of(oa, ia), pa.binary()), pa.array(ids_of(ob, ib), pa.binary())], ["doc_id", "a", "b"]
                 )
 
     return docs.selectExpr(f"`{doc_id}` AS doc_id", f"cast(`{text}` as string) AS text").mapInArrow(encode, TOKENS.format(kind))
@@ -244,14 +241,8 @@ class Aligned:
 
 
 def aligned(batches: Iterator[pa.RecordBatch], size_a: np.ndarray, size_b: np.ndarray, bytes_at_once: int = SLICE) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + bytes_at_once, "right")))
-            part = batch.slice(at, to - at)
-            yield part, Aligned(part, size_a, size_b)
-            at = to
+    for part in sliced(batches, "a", bytes_at_once):
+        yield part, Aligned(part, size_a, size_b)
 
 
 class PairTable:
@@ -321,6 +312,7 @@ class Alignment:
         size_a, size_b = self.size_a, self.size_b
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _LOADED.clear()  # the encoders
             out = lambda found: pa.record_batch([pa.array(found)], ["pair"])
             seen = np.empty(0, np.int64)
             for _, x in aligned(batches, size_a, size_b):
@@ -360,7 +352,7 @@ class Alignment:
         uri, shards, size_a, size_b = self.hash_uri, self.shards, self.size_a, self.size_b
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = once("pairs", (uri, first), lambda: PairTable(uri, first, last, shards))
+            table = once((uri, first), lambda: PairTable(uri, first, last, shards))
             dense = {k: np.zeros(len(h.keys), np.int64) for k, h in table.hashes.items()}
             for _, x in aligned(batches, size_a, size_b):
                 pairs, n = np.unique(x.links(len(size_b)), return_counts=True)
@@ -417,7 +409,7 @@ class Alignment:
         kind = dict(self.tokens.dtypes)["doc_id"]
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = once("pairs", (uri, first), lambda: PairTable(uri, first, last, shards))
+            table = once((uri, first), lambda: PairTable(uri, first, last, shards))
             for batch, x in aligned(batches, size_a, size_b):
                 pairs, place = np.unique(x.links(len(size_b)), return_inverse=True)
                 count = np.zeros(len(pairs), np.int64)

@@ -35,14 +35,13 @@ from pyspark.sql import functions as F
 
 from vintagerisk.llm import files
 from vintagerisk.llm.cuckoo import CuckooFilter, FilterChain
-from vintagerisk.llm.frames import land, partitions, scratch
+from vintagerisk.llm.frames import land, partitions, scratch, sliced
 
 LEAST = 10
 SPACE = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1  # stands for a missing document number
 KEY = ["hi", "lo"]
 REFS, COUNTS, FILTERS = "hi bigint, lo bigint, doc bigint", "hi bigint, lo bigint, n_refs bigint, first_doc bigint, last_doc bigint", "shard bigint, level int, payload binary"
-SLICE = 1 << 22
 
 
 def numbered(doc_id: str) -> str:
@@ -70,17 +69,6 @@ class Lines:
         return at, digest[np.asarray(coded.indices, np.int64)]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds some megabytes of text, or one longer text."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + SLICE, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def references(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(hi, lo, doc): the distinct keys of each row."""
 
