@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from vintagerisk.llm.frames import scratch, sliced
 from vintagerisk.llm.perfect_hash import PerfectHash
 
 META = "▁"
-SLICE = 1 << 20
+SLICE = 1 << 21
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -60,7 +61,7 @@ class PlainEncoder(LibraryEncoder):
 
     def __init__(self, tokenizer_json: str) -> None:
         super().__init__(tokenizer_json)
-        self.limit = 150_000
+        self.limit = 250_000
 
     def _one(self, text: str) -> np.ndarray:
         self.tokenizer.encode_special_tokens = True
@@ -85,7 +86,7 @@ class PieceEncoder:
     CHUNK = re.compile(r" +[^ ]*")
     LONE = "- -"  # stands for a lone space at the end of a text; no chunk has a space behind another character
 
-    def __init__(self, model: bytes, limit: int = 150_000) -> None:
+    def __init__(self, model: bytes, limit: int = 250_000) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -95,7 +96,8 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = {self.LONE: np.array([self.library.piece_to_id(META)], np.uint32)}
+        self.known = {self.LONE: 0}
+        self.offsets, self.ids = np.array([0, 1]), np.array([self.library.piece_to_id(META)], np.uint32)
 
     def bytes(self) -> ByteTable:
         entries = []
@@ -104,18 +106,18 @@ class PieceEncoder:
             entries.append(bytes([int(byte[1], 16)]) if byte else b"" if self.library.is_control(i) else piece.replace(META, " ").encode())
         return ByteTable(entries)
 
-    def _distinct(self, chunks: list[str]) -> list[np.ndarray]:
-        """ids of each chunk, given without its first space."""
+    def _distinct(self, chunks: list[str]) -> np.ndarray:
+        """Places in `offsets` of the chunks, given without their first space."""
         new = [c for c in chunks if c not in self.known]
-        got = dict(zip(new, self.library.encode(new, num_threads=1), strict=True))
-        if len(self.known) + len(new) > self.limit:
-            out = [np.array(got[c] if c in got else self.known[c], np.uint32) for c in chunks]
+        if len(self.known) + len(new) > self.limit or len(self.ids) > 16 * self.limit:
             self._forget()
-        else:
-            got = {c: np.array(ids, np.uint32) for c, ids in got.items()}
-            out = [got[c] if c in got else self.known[c] for c in chunks]
-        self.known |= {c: np.array(ids, np.uint32) for c, ids in got.items() if len(c) <= 40}
-        return out
+            new = [c for c in chunks if c not in self.known]
+        if new:
+            found = self.library.encode(new, num_threads=1)
+            self.known.update(zip(new, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(new)), strict=True))
+            self.offsets = np.concatenate([self.offsets, len(self.ids) + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts: pa.Array) -> Ids:
         if not self.cuts:
@@ -128,11 +130,10 @@ class PieceEncoder:
                 lists[k] = [c[1:] or self.LONE for c in self.CHUNK.findall(" " + texts[k].as_py())]
             words = pa.array(lists, pa.list_(pa.string()))
         coded = words.flatten().dictionary_encode()
-        offsets, ids = joined(self._distinct(coded.dictionary.to_pylist()))
-        number = np.asarray(coded.indices, np.int64)
-        start, size = offsets[:-1][number], np.diff(offsets)[number]
+        place = self._distinct(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)]
+        start, size = self.offsets[place], self.offsets[place + 1] - self.offsets[place]
         rows = np.asarray(words.offsets, np.int64)
-        return np.r_[0, np.cumsum(size)][rows - rows[0]], gather(start, size, ids)
+        return np.r_[0, np.cumsum(size)][rows - rows[0]], gather(start, size, self.ids)
 
 
 _LOADED: dict[object, object] = {}
