@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vintagerisk import params as P
 from vintagerisk.functions.hashing import mix
+from vintagerisk.operators import prefix
 from vintagerisk.models import bootstrap, boosting, calibrate, folds, logit, resampling
 
 
@@ -167,6 +168,39 @@ def test_isotonic_against_pool_adjacent_violators(spark):
     assert got["isotonic"].to_numpy() == pytest.approx(pav(levels["mean"].to_numpy(), levels["count"].to_numpy(float)), abs=1e-9)
 
 
+@pytest.mark.parametrize("rows_per_range", [1_000_000, 40])
+def test_isotonic_of_continuous_scores_over_any_ranges(spark, monkeypatch, rows_per_range):
+    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", rows_per_range)
+    rng = np.random.default_rng(16)
+    p = np.r_[rng.random(3000), np.full(400, 0.375)]
+    pdf = pd.DataFrame({"p": p, "y": (rng.random(3400) < p**3).astype(int)})
+    held = [None, float("nan"), -1.0, 2.0, *rng.random(300)]
+    asked = spark.createDataFrame([(None if x is None else float(x),) for x in [*held, *np.unique(p)]], "p double")
+    dirty = spark.createDataFrame(pd.concat([pdf, pd.DataFrame({"p": [np.nan, np.nan], "y": [1, 0]})]))
+    model = calibrate.isotonic_fit(dirty)
+    got = isotonic_rates = {r.p: r.isotonic for r in calibrate.isotonic_apply(model, asked).collect() if r.p is not None and r.p == r.p}
+    levels = pdf.groupby("p")["y"].agg(["mean", "count"])
+    rate = pav(levels["mean"].to_numpy(), levels["count"].to_numpy(float))
+    want = np.interp([x for x in got], levels.index, rate)
+    assert list(isotonic_rates.values()) == pytest.approx(want, abs=1e-9)
+    assert calibrate.isotonic_apply(model, asked).where("isotonic IS NULL").count() == 2
+    assert (len(model.splits) > 50) == (rows_per_range == 40)
+
+
+def test_cross_fitted_isotonic_equals_one_map_per_fold(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"group_id": np.arange(900) % 45, "p": rng.random(900)})
+    pdf["y"] = (rng.random(900) < pdf["p"]).astype(int)
+    out, method = calibrate.cross_fitted_calibration(spark.createDataFrame(pdf), n_folds=3, min_positives=5)
+    got = out.toPandas()
+    assert method == "isotonic" and len(got) == 900
+    for fold, part in got.groupby("fold"):
+        train = got[got["fold"] != fold].groupby("p")["y"].agg(["mean", "count"])
+        rate = pav(train["mean"].to_numpy(), train["count"].to_numpy(float))
+        want = np.clip(np.interp(part["p"], train.index, rate), P.PROBABILITY_EPS, 1 - P.PROBABILITY_EPS)
+        assert part["calibrated"].to_numpy() == pytest.approx(want, abs=1e-9)
+
+
 def test_cross_fitting_chooses_its_method(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"group_id": np.arange(300) % 60, "p": np.clip(rng.random(300), 0.01, 0.99)})

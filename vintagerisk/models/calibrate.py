@@ -6,14 +6,14 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
 from vintagerisk.functions.numeric import clamp_sql, dbl, logit_sql
 from vintagerisk.models import folds
+from vintagerisk.models.isotonic import StepMaps, fit_steps
+from vintagerisk.sources.storage import materialise
 
 
 @dataclass
@@ -95,17 +95,17 @@ def calibration_slope(scored: DataFrame, p: str = "p", y: str = "y") -> Line:
     return fit_lines(scored, ["true"], 0.0, p, y)[0]
 
 
-def isotonic_fit(scored: DataFrame, p: str = "p", y: str = "y"):
-    """Monotone map from probability to observed rate.  Ties are pooled first, so the model sees
-    one weighted row per distinct probability."""
-    pooled = scored.where(f"{p} IS NOT NULL").groupBy(F.col(p).alias("x")).agg(F.avg(y).alias("rate"), F.count("*").cast("double").alias("weight"))
-    ready = VectorAssembler(inputCols=["x"], outputCol="x_vector").transform(pooled)
-    return IsotonicRegression(featuresCol="x_vector", labelCol="rate", weightCol="weight", predictionCol="isotonic").fit(ready)
+def isotonic_fit(scored: DataFrame, p: str = "p", y: str = "y") -> StepMaps:
+    """Monotone map from probability to observed rate; rows are first counted per distinct probability."""
+    rows = scored.selectExpr(f"nanvl({p}, NULL) AS score", f"cast({y} as bigint) AS y").where("score IS NOT NULL")
+    return fit_steps(rows.groupBy("score").agg(F.array(F.count("*")).alias("n"), F.array(F.sum("y")).alias("k")), 1)
 
 
-def isotonic_apply(model, scored: DataFrame, p: str = "p") -> DataFrame:
-    ready = VectorAssembler(inputCols=[p], outputCol="x_vector", handleInvalid="keep").transform(scored)
-    return model.transform(ready).drop("x_vector")
+def isotonic_apply(model: StepMaps, scored: DataFrame, p: str = "p") -> DataFrame:
+    """Adds `isotonic`. Each distinct probability is looked up once."""
+    levels = scored.selectExpr(f"nanvl({p}, NULL) AS score").where("score IS NOT NULL").distinct().withColumn("m", F.lit(0))
+    rates = model.rates(levels).selectExpr("score AS level_score", "rate AS isotonic")
+    return scored.join(rates, F.col(p) == F.col("level_score"), "left").drop("level_score")
 
 
 def cross_fitted_calibration(
@@ -116,28 +116,29 @@ def cross_fitted_calibration(
 
     Isotonic needs enough positives in its training folds, else Platt; a training set of
     one class leaves its fold as it is.  Returns the frame with `calibrated` and the
-    method most folds used.
+    method most folds used.  The input is read once: the maps of all folds are fitted
+    together from the counts per probability and fold.
     """
-    keyed = scored.withColumn("group_id", F.col(group).cast("bigint")).withColumn("y_int", F.col(y).cast("int"))
+    keyed = materialise(scored.withColumn("group_id", F.col(group).cast("bigint")).withColumn("y_int", F.col(y).cast("int")))
     k = folds.fold_count(keyed, y="y_int", folds=n_folds)
     dealt = folds.group_folds(keyed, k, 1, seed, y="y_int").select("group_id", "fold")
-    rows = keyed.join(dealt, "group_id").drop("y_int")
-    lines = fit_lines(rows, [f"fold <> {f}" for f in range(k)], 1.0 / P.LOGIT_C, p, y)
-    used, parts = [], []
-    for f, line in enumerate(lines):
-        mine = rows.where(F.col("fold") == f)
-        if not line.fitted:
-            part = mine.withColumn("calibrated", F.col(p))
-        elif method == "isotonic" and line.positives >= min_positives:
-            model = isotonic_fit(rows.where(F.col("fold") != f), p, y)
-            part = isotonic_apply(model, mine, p).withColumn("calibrated", F.col("isotonic")).drop("isotonic")
-            used.append("isotonic")
-        else:
-            part = mine.withColumn("calibrated", F.expr(line.sql(p)))
-            used.append("platt")
-        parts.append(part)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    bounded = clamp_sql(f"nanvl({p}, NULL)", dbl(P.PROBABILITY_EPS), dbl(1 - P.PROBABILITY_EPS))
+    rows = materialise(keyed.join(dealt, "group_id").drop("y_int").withColumn("level_score", F.expr(bounded)))
+    lines = fit_lines(rows, [f"fold <> {f}" for f in range(k)], 1.0 / P.LOGIT_C, "level_score", y)
+    stepped = [f for f, line in enumerate(lines) if method == "isotonic" and line.fitted and line.positives >= min_positives]
+    straight = [f for f, line in enumerate(lines) if line.fitted and f not in stepped]
+    whens = " ".join([f"WHEN fold = {f} THEN {lines[f].sql('level_score')}" for f in straight])
+    if stepped:
+        held = lambda value: ", ".join(f"sum({value}) - coalesce(sum(CASE WHEN fold = {f} THEN {value} END), 0)" for f in range(k))
+        counted = rows.where("level_score IS NOT NULL").groupBy(F.col("level_score").alias("score")).agg(
+            F.expr(f"array({held('1L')})").alias("n"), F.expr(f"array({held(f'cast({y} as bigint)')})").alias("k")
+        )
+        levels = rows.where(F.col("fold").isin(stepped) & F.col("level_score").isNotNull()).selectExpr("fold AS m", "level_score AS score").distinct()
+        rates = fit_steps(counted, k).rates(levels).selectExpr("m AS fold", "score AS level_score", "rate AS isotonic_rate")
+        rows = rows.join(rates, ["fold", "level_score"], "left").select(*rows.columns, "isotonic_rate")
+        whens += f" WHEN fold IN ({', '.join(map(str, stepped))}) THEN isotonic_rate"
+    calibrated = f"CASE {whens} ELSE level_score END" if whens else "level_score"
+    out = rows.withColumn("calibrated", F.expr(calibrated)).drop("level_score", "isotonic_rate")
+    used = Counter({"isotonic": len(stepped), "platt": len(straight)})
     clipped = clamp_sql("calibrated", dbl(P.PROBABILITY_EPS), dbl(1 - P.PROBABILITY_EPS))
-    return out.withColumn("calibrated", F.expr(clipped)), (Counter(used).most_common(1)[0][0] if used else "none")
+    return out.withColumn("calibrated", F.expr(clipped)), (used.most_common(1)[0][0] if stepped or straight else "none")

@@ -192,21 +192,25 @@ def q_calibration_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic rate at every distinct score (scores to three decimals)."""
-    scored = tape.scored(spark, sf_dir).withColumn("p", F.round("p", 3))
+    """Isotonic rate at every distinct score."""
+    scored = tape.scored(spark, sf_dir)
     levels = scored.groupBy("p").agg(F.count("*").alias("n"))
     out = calibrate.isotonic_apply(calibrate.isotonic_fit(scored), levels)
-    return tidy(out.select("p", "n", "isotonic"), p=3, isotonic=8)
+    return tidy(out.select("p", "n", "isotonic"), p=12, isotonic=8)
 
 
 @query
 def q_crossfit_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platt maps cross-fitted by group: mean calibrated probability per fold."""
-    out, method = calibrate.cross_fitted_calibration(tape.scored(spark, sf_dir), method="platt", group="grp")
-    folded = out.groupBy("fold").agg(
-        F.count("*").alias("n"), F.sum("y").cast("bigint").alias("defaults"), F.avg("calibrated").alias("mean_calibrated"), F.max("calibrated").alias("max_calibrated")
-    )
-    return tidy(folded.withColumn("method", F.lit(method)), mean_calibrated=6, max_calibrated=6)
+    """Platt and isotonic maps cross-fitted by group: calibrated probabilities of each fold."""
+    found = None
+    for method in ("platt", "isotonic"):
+        out, used = calibrate.cross_fitted_calibration(tape.scored(spark, sf_dir), method=method, group="grp")
+        folded = out.groupBy("fold").agg(
+            F.count("*").alias("n"), F.sum("y").cast("bigint").alias("defaults"), F.avg("calibrated").alias("mean_calibrated"), F.max("calibrated").alias("max_calibrated"),
+            F.avg(F.col("calibrated") ** 2).alias("mean_square"),
+        ).withColumn("method", F.lit(used))
+        found = folded if found is None else found.unionByName(folded)
+    return tidy(found, mean_calibrated=6, max_calibrated=6, mean_square=6)
 
 
 _RUNS: dict[tuple[str, str], RunResult] = {}

@@ -123,16 +123,36 @@ FROM (SELECT *, {mixed('grp', '1')} FROM score_strata)""")
 view("fold_logits", ["logits", "score_folds"], "SELECT fold, x, sum(n) AS n, sum(k) AS k FROM logits JOIN score_folds USING (grp) GROUP BY fold, x")
 view("lines_cross", ["fold_logits"], newton(
     1.0 / P.LOGIT_C, "unnest(range(0, 5))", "fold_logits l WHERE l.fold <> lines.m").replace("lines", "lines_cross"))
+# isotonic levels for the whole (-1) and without each fold: stretches of falling rates are pooled a few times, and
+# what remains goes through the max-min formula
+view("level_counts", ["scored", "score_folds"], f"""
+SELECT m, CASE WHEN m = -1 THEN p ELSE {CLIPPED} END AS p, count(*) AS n, CAST(sum(y) AS double) AS k
+FROM scored JOIN score_folds USING (grp), (SELECT unnest(range(-1, 5)) AS m) WHERE fold <> m GROUP BY 1, 2""")
+view("pooled_0", ["level_counts"], "SELECT m, p AS lo, n, k FROM level_counts")
+ROUNDS = 6
+for step in range(1, ROUNDS + 1):
+    view(f"pooled_{step}", [f"pooled_{step - 1}"], f"""
+SELECT m, min(lo) AS lo, sum(n) AS n, sum(k) AS k FROM (
+ SELECT *, sum(rise) OVER (PARTITION BY m ORDER BY lo) AS stretch FROM (
+  SELECT *, CASE WHEN k / n > lag(k / n) OVER (PARTITION BY m ORDER BY lo) THEN 1 ELSE 0 END AS rise FROM pooled_{step - 1})) GROUP BY m, stretch""")
+view("stretches", [f"pooled_{ROUNDS}"], f"""
+SELECT m, lo, n, k, row_number() OVER w AS i, sum(n) OVER w AS s, sum(k) OVER w AS t FROM pooled_{ROUNDS} WINDOW w AS (PARTITION BY m ORDER BY lo)""")
+view("stretch_rates", ["stretches"], """
+SELECT m, b AS i, max(least_rate) AS rate FROM (
+ SELECT m, a, b, min(slope) OVER (PARTITION BY m, a ORDER BY b DESC) AS least_rate FROM (
+  SELECT x.m, x.i AS a, z.i AS b, (z.t - (x.t - x.k)) / (z.s - (x.s - x.n)) AS slope FROM stretches x JOIN stretches z ON z.m = x.m AND z.i >= x.i)) GROUP BY m, b""")
+view("isotonic_levels", ["level_counts", "stretches", "stretch_rates"], """
+SELECT m, p, n, rate, lead(p) OVER (PARTITION BY m ORDER BY p) AS next_p, lead(rate) OVER (PARTITION BY m ORDER BY p) AS next_rate FROM (
+ SELECT l.m, l.p, l.n, q.rate FROM level_counts l ASOF JOIN stretches b ON l.m = b.m AND l.p >= b.lo JOIN stretch_rates q ON q.m = b.m AND q.i = b.i)""")
+view("isotonic_held_out", ["isotonic_levels", "scored", "score_folds"], f"""
+SELECT f.fold, s.y, CASE WHEN l.p IS NULL THEN (SELECT arg_min(rate, p) FROM isotonic_levels WHERE m = f.fold) WHEN l.next_p IS NULL OR s.p = l.p THEN l.rate
+       ELSE l.rate + (l.next_rate - l.rate) * (s.p - l.p) / (l.next_p - l.p) END AS c
+FROM (SELECT grp, y, {CLIPPED} AS p FROM scored) s JOIN score_folds f USING (grp) ASOF LEFT JOIN isotonic_levels l ON l.m = f.fold AND s.p >= l.p""")
+view("platt_held_out", ["scored", "score_folds", "lines_cross"], f"""
+SELECT f.fold, s.y, 1/(1 + exp(-(a + b*ln({CLIPPED} / (1 - {CLIPPED}))))) AS c
+FROM scored s JOIN score_folds f USING (grp) JOIN lines_cross l ON l.m = f.fold AND l.i = 25""")
 oracle("q_crossfit_calibration", f"""
-SELECT fold, count(*) AS n, CAST(sum(y) AS bigint) AS defaults, {r('avg(c)', 6, 'mean_calibrated')}, {r('max(c)', 6, 'max_calibrated')}, 'platt' AS method
-FROM (SELECT f.fold, s.y, 1/(1 + exp(-(a + b*ln({CLIPPED} / (1 - {CLIPPED}))))) AS c
-      FROM scored s JOIN score_folds f USING (grp) JOIN lines_cross l ON l.m = f.fold AND l.i = 25) GROUP BY fold""", "scored", "score_folds", "lines_cross")
-view("levels", ["scored"], """
-SELECT p, n, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS s, sum(k) OVER (ORDER BY p) AS t
-FROM (SELECT round(p, 3) AS p, count(*) AS n, CAST(sum(y) AS double) AS k FROM scored GROUP BY 1)""")
-oracle("q_isotonic", f"""
-SELECT {r('l.p', 3, 'p')}, l.n, {r('max(m)', 8, 'isotonic')} FROM (
- SELECT a, b, min(slope) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM (
-  SELECT x.i AS a, z.i AS b, (z.t - coalesce(w.t, 0)) / (z.s - coalesce(w.s, 0)) AS slope
-  FROM levels x JOIN levels z ON z.i >= x.i LEFT JOIN levels w ON w.i = x.i - 1)) q
-JOIN levels l ON l.i = q.b GROUP BY l.p, l.n""", "levels")
+SELECT fold, method, count(*) AS n, CAST(sum(y) AS bigint) AS defaults, {r('avg(c)', 6, 'mean_calibrated')}, {r('max(c)', 6, 'max_calibrated')}, {r('avg(c * c)', 6, 'mean_square')}
+FROM (SELECT fold, y, greatest(1e-9, least(1 - 1e-9, c)) AS c, 'platt' AS method FROM platt_held_out
+      UNION ALL SELECT fold, y, greatest(1e-9, least(1 - 1e-9, c)), 'isotonic' FROM isotonic_held_out) GROUP BY fold, method""", "platt_held_out", "isotonic_held_out")
+oracle("q_isotonic", f"SELECT {r('p', 12, 'p')}, n, {r('rate', 8, 'isotonic')} FROM isotonic_levels WHERE m = -1", "isotonic_levels")
