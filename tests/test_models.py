@@ -114,26 +114,48 @@ def test_one_class_training_is_skipped(rows):
     assert scored.where("raw_pd IS NULL").select("group_id").distinct().collect()[0][0] == first
 
 
-def test_bootstrap_against_plain_resampling(spark):
+def resampled_auc(pdf, score, draw):
+    """AUC of the rows repeated as their group weighs."""
+    w = bootstrap.weights(draw, pdf["grp"].to_numpy(), P.SEED)
+    sample = pdf.loc[np.repeat(pdf.index, w)]
+    pos, neg = sample.loc[sample["y"] == 1, score].to_numpy(), sample.loc[sample["y"] == 0, score].to_numpy()
+    return (pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean()
+
+
+@pytest.mark.parametrize("rows_per_range", [1_000_000, 20])
+def test_bootstrap_against_plain_resampling(spark, monkeypatch, rows_per_range):
+    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", rows_per_range)
     rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"grp": np.repeat(np.arange(30), 4), "p": np.round(rng.random(120), 2), "y": (rng.random(120) < 0.2).astype(int)})
-    df = spark.createDataFrame(pdf)
-    draws = {r.draw: r.auc for r in bootstrap.bootstrap_draws(df, draws=50).collect()}
-    for b in (0, 7, 49):
-        picks = [spark.range(30).select((mix(F.lit(b), F.col("id"), P.SEED) % 30).alias("g")).collect()] if b == 0 else None
-        counts = bootstrap.multiplicities(b, 30, P.SEED)
-        if picks:
-            assert np.bincount([r.g for r in picks[0]], minlength=30).tolist() == counts.tolist()
-        sample = pdf.loc[np.concatenate([np.repeat(np.flatnonzero(pdf["grp"] == g), counts[g]) for g in range(30)])]
-        pos, neg = sample.loc[sample["y"] == 1, "p"].to_numpy(), sample.loc[sample["y"] == 0, "p"].to_numpy()
-        pairs = (pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean()
-        assert draws[b] == pytest.approx(pairs, abs=1e-12)
+    pdf = pd.DataFrame({"grp": np.repeat(np.arange(30), 6), "p": np.where(rng.random(180) < 0.4, 0.5, np.round(rng.random(180), 2)), "y": (rng.random(180) < 0.2).astype(int)})
+    pdf["q"], pdf["flat"] = -pdf["p"] ** 2, 0.25
+    dirty = pd.concat([pdf, pd.DataFrame({"grp": [3, 4], "p": [np.nan] * 2, "q": [np.nan] * 2, "flat": [np.nan] * 2, "y": [1, 0]})])
+    df = spark.createDataFrame(dirty)
+    draws = {r.draw: r for r in bootstrap.bootstrap_draws(df, ["p", "q", "flat"], draws=40).collect()}
+    for b in (0, 7, 39):
+        picks = spark.createDataFrame([(g,) for g in range(30)], "g long").select("g", mix(F.lit(b), F.col("g"), P.SEED).alias("h")).collect()
+        assert [sum(r.h >= x for x in bootstrap.BOUNDS) for r in picks] == bootstrap.weights(b, np.arange(30), P.SEED).tolist()
+        for k, score in enumerate(["p", "q", "flat"]):
+            assert draws[b][f"auc_{k}"] == pytest.approx(resampled_auc(pdf, score, b), abs=1e-12)
     out = bootstrap.bootstrap_auc(df, draws=200).first()
     assert 0 <= out.lower <= out.auc <= out.upper <= 1 and out.n_draws == 200
-    same = bootstrap.paired_difference(df.withColumn("q", F.col("p")), "p", "q", draws=50).first()
+    same = bootstrap.paired_difference(df.withColumn("r", F.col("p")), "p", "r", draws=50).first()
     assert same.difference == 0 and not same.significant and same.verdict == "no distinguishable difference"
 
 
+def test_a_score_of_all_rows_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", 20)
+    df = spark.range(500).selectExpr("0 AS which", "id AS g", "0.5D AS score")
+    splits, tasks = bootstrap._cuts(df)
+    assert tasks == {1.0: 50} and splits[0] == 0.5
+
+
+def test_weights_are_poisson():
+    w = np.concatenate([bootstrap.weights(b, np.arange(5000), P.SEED) for b in range(20)])
+    assert w.mean() == pytest.approx(1, abs=0.02) and w.var() == pytest.approx(1, abs=0.03) and (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
+    a, b = bootstrap.weights(3, np.arange(5000), P.SEED), bootstrap.weights(4, np.arange(5000), P.SEED)
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.05
+
+
 def test_calibration_line_recovers_the_truth(spark):
     rng = np.random.default_rng(4)
     p = np.round(rng.uniform(0.02, 0.98, 20000), 4)

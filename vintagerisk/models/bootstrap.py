@@ -1,14 +1,20 @@
 """Issuer-clustered bootstrap of the AUC.
 
-A draw picks as many issuers as there are, with replacement.  The picks are a hash of
-(draw, slot), so every task works out the multiplicities it needs by itself and nothing
-is collected, broadcast or multiplied by the number of draws in a shuffle.  Scores are
-cut into ranges; each range yields, per draw, its weighted positives, negatives and
-ordered pairs, and the ranges of a draw are chained in score order.
+Each issuer weighs in a draw as often as a Poisson variable of mean one says, which is resampling issuers with replacement
+up to the size of the resample (an AUC does not depend on it). The weight comes from a hash of (draw, issuer) alone: a task
+works out the weights of the issuers it sees, and no list of issuers exists anywhere.
+
+Scores are cut into ranges; each range yields, per draw, its weighted positives, negatives and ordered pairs, and the ranges of
+a draw are chained in score order. A score that very many rows share is a range of its own, whose rows are dealt to several
+tasks: its positives and negatives add up, and its pairs follow from the sums. Several scores go through the same pass.
+
+Rows without group, and NULL or NaN scores, take no part.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,8 +22,13 @@ from pyspark.sql import functions as F
 
 from vintagerisk import params as P
 from vintagerisk.functions.hashing import MODULUS
+from vintagerisk.operators import prefix
 from vintagerisk.operators.discrimination import auc
-from vintagerisk.operators.prefix import range_splits, running_totals, with_range
+from vintagerisk.sources.storage import materialise
+
+# P(weight <= j) on the scale of the hash; a hash at or above the last bound weighs as many times as there are bounds
+BOUNDS = [math.floor(MODULUS * math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1))) for j in range(12)]
+PARTS = "which int, range_id double, draw int, pos double, neg double, pairs double"
 
 
 def _mix(a: int, b: np.ndarray, seed: int) -> np.ndarray:
@@ -29,55 +40,62 @@ def _mix(a: int, b: np.ndarray, seed: int) -> np.ndarray:
     return (second * second + second * 48271 + first) % m
 
 
-def multiplicities(draw: int, n_groups: int, seed: int, chunk: int = 1_000_000) -> np.ndarray:
-    """How often each group is picked in one draw of `n_groups` slots."""
-    counts = np.zeros(n_groups, dtype="int64")
-    for start in range(0, n_groups, chunk):
-        slots = np.arange(start, min(start + chunk, n_groups))
-        counts += np.bincount(_mix(draw, slots, seed) % n_groups, minlength=n_groups)
-    return counts
+def weights(draw: int, groups: np.ndarray, seed: int) -> np.ndarray:
+    """How often each group counts in a draw."""
+    return np.searchsorted(BOUNDS, _mix(draw, groups, seed), side="right")
 
 
-def indexed_groups(scored: DataFrame, group: str) -> tuple[DataFrame, int]:
-    """Distinct groups with a dense index in group order, and how many there are."""
-    groups = scored.select(F.col(group).cast("bigint").alias("g")).distinct().withColumn("one", F.lit(1).cast("bigint"))
-    n = groups.count()
-    ranked = running_totals(groups, "g", ["one"], range_splits(groups, "g"))
-    return ranked.select("g", F.col("one_before").alias("gi")), n
+def _cuts(counted: DataFrame) -> tuple[list[float], dict[float, int]]:
+    """Cut points, and the tasks for each range that is one heavy score.
+
+    A score with more rows than half a range holds; there are at most twice as many as ranges, and only these reach the driver.
+    """
+    limit = prefix.ROWS_PER_RANGE // 2
+    heavy = {r.score: r.n for r in counted.groupBy("score").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()}
+    cuts = {*prefix.range_splits(counted, "score"), *heavy, *(math.nextafter(s, math.inf) for s in heavy)}
+    splits = sorted(cuts)
+    return splits, {float(splits.index(s) + 1): -(-n // limit) for s, n in heavy.items()}
 
 
 def bootstrap_draws(
-    scored: DataFrame, score: str = "p", y: str = "y", group: str = "grp", draws: int = P.BOOTSTRAP_DRAWS, seed: int = P.SEED
+    scored: DataFrame, scores: list[str], y: str = "y", group: str = "grp", draws: int = P.BOOTSTRAP_DRAWS, seed: int = P.SEED
 ) -> DataFrame:
-    """(draw, auc) for every draw that holds both classes."""
-    index, n_groups = indexed_groups(scored, group)
-    rows = scored.where(F.col(score).isNotNull()).select(
-        F.col(group).cast("bigint").alias("g"), F.col(score).cast("double").alias("score"), F.col(y).cast("bigint").alias("y")
+    """(draw, auc_0, auc_1, ...) of every draw in which all scores meet both classes."""
+    pairs = ", ".join(f"{k}, nanvl(cast({s} as double), NULL)" for k, s in enumerate(scores))
+    long = scored.selectExpr(f"cast({group} as bigint) AS g", f"cast({y} as bigint) AS y", f"stack({len(scores)}, {pairs}) AS (which, score)")
+    counted = materialise(
+        long.where("score IS NOT NULL AND g IS NOT NULL").groupBy("which", "g", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     )
-    counted = rows.groupBy("g", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    ranged = with_range(counted.join(index, "g"), "score", range_splits(rows, "score")).select("range_id", "gi", "score", "pos", "neg")
+    ranged = None
+    for k in range(len(scores)):
+        mine = counted.where(F.col("which") == k)
+        splits, tasks = _cuts(mine)
+        dealt = " ".join(f"WHEN range_id = {r}D THEN pmod(xxhash64(g), {n})" for r, n in tasks.items())
+        part = prefix.with_range(mine, "score", splits).withColumn("deal", F.expr(f"CASE {dealt} ELSE 0 END" if dealt else "0").cast("long"))
+        ranged = part if ranged is None else ranged.unionByName(part)
 
     def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", kind="stable")
-        gi, pos, neg = (pdf[c].to_numpy() for c in ("gi", "pos", "neg"))
-        starts = np.flatnonzero(np.r_[True, np.diff(pdf["score"].to_numpy()) > 0])
+        pos, neg, score = (pdf[c].to_numpy() for c in ("pos", "neg", "score"))
+        groups, at = np.unique(pdf["g"].to_numpy(), return_inverse=True)
+        starts = np.flatnonzero(np.r_[True, np.diff(score) > 0])
         out = np.empty((draws, 3))
         for b in range(draws):
-            w = multiplicities(b, n_groups, seed)[gi]
+            w = weights(b, groups, seed)[at]
             p_here = np.add.reduceat(w * pos, starts)
             n_here = np.add.reduceat(w * neg, starts)
             below = np.cumsum(n_here) - n_here
-            out[b] = p_here.sum(), n_here.sum(), float((p_here * (below + 0.5 * n_here)).sum())
-        return pd.DataFrame({"range_id": key[0], "draw": np.arange(draws), "pos": out[:, 0], "neg": out[:, 1], "pairs": out[:, 2]})
-
-    parts = ranged.groupBy("range_id").applyInPandas(chain, "range_id double, draw int, pos double, neg double, pairs double")
-    earlier = "(PARTITION BY draw ORDER BY range_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    chained = parts.selectExpr("draw", "pos", "neg", f"pairs + pos * coalesce(sum(neg) OVER {earlier}, 0D) AS pairs")
-    return (
-        chained.groupBy("draw").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
-        .where("pos > 0 AND neg > 0")
-        .selectExpr("draw", "pairs / (pos * neg) AS auc")
-    )
+            out[b] = p_here.sum(), n_here.sum(), float((p_here * below).sum() + 0.5 * (p_here * n_here).sum() * (len(starts) > 1))
+        return pd.DataFrame({"which": key[0], "range_id": key[1], "draw": np.arange(draws), "pos": out[:, 0], "neg": out[:, 1], "pairs": np.where(len(starts) > 1, out[:, 2], np.nan)})
+
+    parts = ranged.groupBy("which", "range_id", "deal").applyInPandas(chain, PARTS)
+    # of a range of one score the pairs are half the product of what its tasks add up to
+    whole = parts.groupBy("which", "range_id", "draw").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max(F.expr("nanvl(pairs, NULL)")).alias("pairs"))
+    earlier = "(PARTITION BY which, draw ORDER BY range_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    chained = whole.selectExpr("which", "draw", "pos", "neg", f"coalesce(pairs, 0.5D * pos * neg) + pos * coalesce(sum(neg) OVER {earlier}, 0D) AS pairs")
+    each = chained.groupBy("draw", "which").agg((F.sum("pairs") / F.expr("nullif(sum(pos) * sum(neg), 0D)")).alias("auc"))
+    aucs = [F.max(F.expr(f"CASE WHEN which = {k} THEN auc END")).alias(f"auc_{k}") for k in range(len(scores))]
+    return each.groupBy("draw").agg(*aucs).where(" AND ".join(f"auc_{k} IS NOT NULL" for k in range(len(scores))))
 
 
 def _interval(draws: DataFrame, value: str, alpha: float) -> DataFrame:
@@ -91,16 +109,15 @@ def _interval(draws: DataFrame, value: str, alpha: float) -> DataFrame:
 def bootstrap_auc(scored: DataFrame, score: str = "p", y: str = "y", group: str = "grp", draws: int = P.BOOTSTRAP_DRAWS,
                   seed: int = P.SEED, alpha: float = P.BOOTSTRAP_ALPHA) -> DataFrame:
     point = auc(scored, score, y).select("auc").scalar()
-    return _interval(bootstrap_draws(scored, score, y, group, draws, seed), "auc", alpha).withColumn("auc", point)
+    return _interval(bootstrap_draws(scored, [score], y, group, draws, seed), "auc_0", alpha).withColumn("auc", point)
 
 
 def paired_difference(scored: DataFrame, score_a: str, score_b: str, y: str = "y", group: str = "grp", draws: int = P.BOOTSTRAP_DRAWS,
                       seed: int = P.SEED, alpha: float = P.BOOTSTRAP_ALPHA) -> DataFrame:
     """AUC of A minus AUC of B under the same resamples, with a verdict from the interval."""
-    a = bootstrap_draws(scored, score_a, y, group, draws, seed).withColumnRenamed("auc", "auc_a")
-    b = bootstrap_draws(scored, score_b, y, group, draws, seed).withColumnRenamed("auc", "auc_b")
+    both = bootstrap_draws(scored, [score_a, score_b], y, group, draws, seed)
     point = (auc(scored, score_a, y).select("auc").scalar(), auc(scored, score_b, y).select("auc").scalar())
-    out = _interval(a.join(b, "draw").withColumn("gap", F.col("auc_a") - F.col("auc_b")), "gap", alpha)
+    out = _interval(both.withColumn("gap", F.col("auc_0") - F.col("auc_1")), "gap", alpha)
     return out.withColumn("difference", point[0] - point[1]).selectExpr(
         "difference", "lower", "upper", "n_draws", "coalesce(lower > 0 OR upper < 0, false) AS significant",
         "CASE WHEN difference IS NULL THEN 'not computable' WHEN lower > 0 OR upper < 0 THEN "

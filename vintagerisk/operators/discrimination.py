@@ -9,8 +9,8 @@ from vintagerisk.operators.prefix import range_splits, running_totals
 
 
 def score_ladder(scored: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
-    """One row per distinct score: positives and negatives here, below, and in all."""
-    rows = scored.select(F.col(score).cast("double").alias("score"), F.col(y).alias("y")).where("score IS NOT NULL")
+    """One row per distinct score: positives and negatives here, below, and in all. NULL and NaN scores take no part."""
+    rows = scored.select(F.expr(f"nanvl(cast({score} as double), NULL)").alias("score"), F.col(y).alias("y")).where("score IS NOT NULL")
     counted = rows.groupBy("score").agg(
         F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum((1 - F.col("y")).cast("bigint")).alias("neg")
     )

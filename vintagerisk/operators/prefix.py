@@ -92,9 +92,9 @@ def equal_count_buckets(scored: DataFrame, k: int, p: str = "p", y: str = "y", k
     Rows are first counted per distinct p.  A p whose whole run of ranks falls in one
     bucket is added as it stands; only the at most k - 1 values that straddle a boundary
     are ranked row by row on the key, again in ranges, so even a p shared by a third of
-    the rows is spread over tasks.
+    the rows is spread over tasks.  NULL and NaN values of p take no part.
     """
-    rows = scored.select(F.col(p).alias("p"), F.col(y).cast("bigint").alias("y"), F.col(key).cast("bigint").alias("key")).where("p IS NOT NULL")
+    rows = scored.select(F.expr(f"nanvl(cast({p} as double), NULL)").alias("p"), F.col(y).cast("bigint").alias("y"), F.col(key).cast("bigint").alias("key")).where("p IS NOT NULL")
     counted = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"))
     placed = running_totals(counted, "p", ["n"], range_splits(rows, "p")).selectExpr(
         "p", "n", "sum_y", "n_before", "n_total",

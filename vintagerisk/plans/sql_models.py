@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from vintagerisk import params as P
 from vintagerisk.functions.hashing import MODULUS
+from vintagerisk.models.bootstrap import BOUNDS
 from vintagerisk.plans import sql_panel, sql_validation  # noqa: F401  (views)
 from vintagerisk.plans.reference_sql import oracle, r, view
 
@@ -56,11 +57,9 @@ oracle("q_oof_pd", f"SELECT ticker, as_of, label AS y, CAST({P.CV_REPEATS} AS bi
 oracle("q_loio_pd", "SELECT ticker, as_of, label AS y, CAST(1 AS bigint) AS n_models, true AS in_range FROM panel", "panel")
 oracle("q_out_of_time", "SELECT ticker, as_of, label AS y, true AS in_range FROM panel WHERE year(as_of) >= 2000", "panel")
 
-view("groups", ["scored"], "SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS gi, count(*) OVER () AS g FROM (SELECT DISTINCT grp FROM scored)")
-view("picks", ["groups"], f"""
-SELECT b, gi, count(*) AS w FROM (
- SELECT b, h3 % g AS gi FROM (SELECT b, k, g, {mixed('b', 'k')} FROM (SELECT unnest(range(0, {P.BOOTSTRAP_DRAWS})) AS b),
-  (SELECT g, unnest(range(0, g)) AS k FROM (SELECT max(g) AS g FROM groups)))) GROUP BY b, gi""")
+view("picks", ["scored"], f"""
+SELECT b, grp, {' + '.join(f'CAST(h3 >= {bound} AS int)' for bound in BOUNDS)} AS w FROM (
+ SELECT b, grp, {mixed('b', 'grp')} FROM (SELECT unnest(range(0, {P.BOOTSTRAP_DRAWS})) AS b), (SELECT DISTINCT grp FROM scored))""")
 view("scored_two", ["scored"], "SELECT *, -abs(p - 0.2) AS p2 FROM scored")
 
 
@@ -69,7 +68,7 @@ def draws(score: str) -> str:
 SELECT b, sum(wp * (below + 0.5*wn)) / (CAST(sum(wp) AS double) * sum(wn)) AS auc FROM (
  SELECT *, sum(wn) OVER (PARTITION BY b ORDER BY s) - wn AS below FROM (
   SELECT b, s, CAST(sum(w*pos) AS double) AS wp, CAST(sum(w*neg) AS double) AS wn FROM (
-   SELECT gi, {score} AS s, sum(y) AS pos, sum(1 - y) AS neg FROM scored_two JOIN groups USING (grp) GROUP BY gi, s) JOIN picks USING (gi)
+   SELECT grp, {score} AS s, sum(y) AS pos, sum(1 - y) AS neg FROM scored_two GROUP BY grp, s) JOIN picks USING (grp)
   GROUP BY b, s)) GROUP BY b"""
 
 
@@ -78,8 +77,8 @@ def point(score: str) -> str:
  SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM (SELECT {score} AS s, sum(y) AS pos, sum(1 - y) AS neg FROM scored_two GROUP BY s)))"""
 
 
-view("draws_one", ["groups", "picks", "scored_two"], draws("p"))
-view("draws_two", ["groups", "picks", "scored_two"], draws("p2"))
+view("draws_one", ["picks", "scored_two"], draws("p"))
+view("draws_two", ["picks", "scored_two"], draws("p2"))
 oracle("q_bootstrap_auc", f"""
 SELECT {r(point('p'), 8, 'auc')}, {r('quantile_cont(auc, 0.025)', 8, 'lower')}, {r('quantile_cont(auc, 0.975)', 8, 'upper')}, count(*) AS n_draws
 FROM draws_one""", "draws_one")
