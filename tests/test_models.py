@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vintagerisk import params as P
 from vintagerisk.functions.hashing import mix
 from vintagerisk.operators import prefix
-from vintagerisk.models import bootstrap, boosting, calibrate, folds, logit, resampling
+from vintagerisk.models import bootstrap, boosting, calibrate, folds, histogram, logit, resampling
 
 
 def make_panel(n_issuers=24, years=6, seed=7):
@@ -234,8 +234,74 @@ def test_cross_fitting_chooses_its_method(spark):
     assert method == "platt"
 
 
+def grown(x, y, w, edges, rounds, min_leaf=P.GBT_MIN_LEAF):
+    """Plain boosting on bins, node by node: returns the raw score of bin rows."""
+    bins = lambda z: np.column_stack([np.where(np.isnan(z[:, j]), 999, np.searchsorted(e, z[:, j])) for j, e in enumerate(edges)])
+    b = bins(x)
+    share = (w * y).sum() / w.sum()
+    base = np.log(share / (1 - share))
+    raw, trees = np.full(len(y), base), []
+
+    def tree(rows, g, h, depth):
+        G, H = g[rows].sum(), h[rows].sum()
+        best = (1e-10, None)
+        for j in range(b.shape[1] if depth else 0):
+            for c in range(len(edges[j]) + 1):
+                for missing_left in (False, True):
+                    left = np.where(b[rows, j] == 999, missing_left, b[rows, j] <= c)
+                    l, r = rows[left], rows[~left]
+                    if min(len(l), len(r)) < min_leaf or min(h[l].sum(), h[r].sum()) < 1e-3:
+                        continue
+                    gain = g[l].sum() ** 2 / (h[l].sum() + 1) + g[r].sum() ** 2 / (h[r].sum() + 1) - G**2 / (H + 1)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (j, c, missing_left, l, r))
+        if best[1] is None:
+            return -P.GBT_STEP * G / (H + 1)
+        j, c, missing_left, l, r = best[1]
+        return j, c, missing_left, tree(l, g, h, depth - 1), tree(r, g, h, depth - 1)
+
+    def value(t, row):
+        while isinstance(t, tuple):
+            j, c, missing_left, l, r = t
+            t = l if (missing_left if row[j] == 999 else row[j] <= c) else r
+        return t
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-raw))
+        trees.append(tree(np.arange(len(y)), w * (p - y), w * p * (1 - p), P.GBT_DEPTH))
+        raw = raw + [value(trees[-1], r) for r in b]
+    return lambda z: 1 / (1 + np.exp(-(base + np.array([sum(value(t, r) for t in trees) for r in bins(z)]))))
+
+
+def test_boosted_models_of_all_folds_equal_plain_boosting(spark, rows, panel_pdf):
+    names = ["wc_ta", P.FEATURES[0] if P.FEATURES[0] != "wc_ta" else P.FEATURES[1]]
+    scored, forest = resampling.boosted_oof(rows, n_folds=2, repeats=2, features=names, rounds=5, bins=16, refresh=2, rows_per_task=50)
+    got = scored.toPandas().set_index(["ticker", "as_of"])["gbt_pd"]
+    dealt = folds.group_folds(rows, 2, 2).toPandas()
+    want = pd.Series(0.0, index=pd.MultiIndex.from_frame(panel_pdf[["ticker", "as_of"]]))
+    for _, part in dealt.groupby("repeat"):
+        where = panel_pdf["cik"].astype(int).map(dict(zip(part["group_id"], part["fold"])))
+        for f in range(2):
+            train, test = panel_pdf[where != f], panel_pdf[where == f]
+            y = train["label"].to_numpy(float)
+            w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+            predict = grown(train[names].to_numpy(float), y, w, forest.edges, 5)
+            want[list(zip(test["ticker"], test["as_of"]))] += predict(test[names].to_numpy(float)) / 2
+    assert got.reindex(want.index).to_numpy() == pytest.approx(want.to_numpy(), abs=1e-6)
+
+
+def test_boosting_learns_which_side_missing_values_take(spark):
+    data = [(i, None if i % 2 else float(i % 7), int(i % 2 == 1 or i % 7 == 6)) for i in range(200)]
+    df = spark.createDataFrame(data, "group_id long, x double, y int").selectExpr("*", "array(-1) AS hold", "'t' AS ticker", "current_date() AS as_of")
+    forest = histogram.fit_forest(df, [(0, 0)], ["x"], rounds=40)
+    scored = histogram.out_of_fold(df.withColumn("hold", F.array(F.lit(0))), forest, resampling.KEYS).toPandas()
+    assert scored.loc[scored["y"] == 1, "gbt_pd"].min() > scored.loc[scored["y"] == 0, "gbt_pd"].max()
+    one_class = histogram.fit_forest(df.withColumn("y", F.lit(0)), [(0, 0)], ["x"], rounds=2)
+    assert not one_class.usable.any()
+
+
 def test_booster_and_weights(spark, rows):
     weights = {r.y: r.weight for r in boosting.class_weights(spark.sql("SELECT * FROM VALUES (1), (0), (0), (0) AS t(y)")).collect()}
     assert weights[1] == pytest.approx(3 * weights[0])
-    scored = boosting.grouped_oof(rows, n_folds=2, rounds=3).toPandas()
+    scored = boosting.predict(boosting.fit_booster(rows, rounds=3), rows).toPandas()
     assert len(scored) == 144 and scored["gbt_pd"].between(0, 1).all()

@@ -1,4 +1,4 @@
-"""Gradient-boosting challenger on MLlib.
+"""Gradient-boosting challenger on MLlib, one fit; `histogram.py` has the held-out fits.
 
 Missing values keep their meaning through an indicator column next to a sentinel.  MLlib
 trees have no L2 term on leaf values, so probabilities differ from a ridge-shrunken
@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
-from vintagerisk.models import folds
-from vintagerisk.sources.storage import ensure_checkpoints, materialise
+from vintagerisk.sources.storage import ensure_checkpoints
 
 SENTINEL = -1e6
 
@@ -51,18 +50,3 @@ def fit_booster(rows: DataFrame, features: list[str] = P.FEATURES, rounds: int =
 def predict(model, rows: DataFrame, features: list[str] = P.FEATURES) -> DataFrame:
     scored = model.transform(_vectors(rows, features)).withColumn("gbt_pd", vector_to_array("probability")[1])
     return scored.drop("x", "rawPrediction", "probability", "prediction")
-
-
-def grouped_oof(rows: DataFrame, n_folds: int = P.CV_FOLDS, repeats: int = 1, rounds: int = P.GBT_ROUNDS, seed: int = P.SEED) -> DataFrame:
-    """Mean held-out probability over the repeats; each fold is one distributed fit."""
-    k = folds.fold_count(rows, folds=n_folds)
-    held = materialise(folds.held_out(rows, folds.group_folds(rows, k, repeats, seed)))
-    parts = None
-    for r in range(repeats):
-        for f in range(k):
-            train = held.where(F.col("hold")[r] != f)
-            if train.agg(F.count_distinct("y")).first()[0] < 2:
-                continue
-            part = predict(fit_booster(train, rounds=rounds, seed=seed), held.where(F.col("hold")[r] == f)).select("ticker", "as_of", "group_id", "y", "gbt_pd")
-            parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("ticker", "as_of", "group_id", "y").agg(F.avg("gbt_pd").alias("gbt_pd"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -9,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
-from vintagerisk.models import folds, logit
+from vintagerisk.models import folds, histogram, logit
 from vintagerisk.operators.prefix import range_splits, running_totals, values_near_ranks
 from vintagerisk.sources.storage import materialise
 
@@ -33,12 +36,29 @@ def whole_fit(rows: DataFrame, features: list[str] = P.FEATURES) -> logit.Fitted
     return logit.fit_models(rows.withColumn("hold", F.array(F.lit(-1))), [(0, 0)], features)
 
 
-def grouped_oof(rows: DataFrame, n_folds: int = P.CV_FOLDS, repeats: int = P.CV_REPEATS, seed: int = P.SEED) -> tuple[DataFrame, logit.Fitted]:
-    """Repeated stratified group folds: every fit of every repeat in the same passes."""
+def oof(
+    rows: DataFrame, fit: Callable[[DataFrame, list[logit.Model]], Any], score: Callable[[DataFrame, Any, list[str]], DataFrame],
+    n_folds: int = P.CV_FOLDS, repeats: int = P.CV_REPEATS, seed: int = P.SEED,
+) -> tuple[DataFrame, Any]:
+    """Repeated stratified group folds around any model.
+
+    `fit(held, models)` gets the rows with `hold`, per repeat the fold a row is held out of, and the (repeat, fold) of every
+    model wanted, so that it can fit them in the same passes; `score(held, fitted, keys)` returns the held-out predictions.
+    """
     k = folds.fold_count(rows, folds=n_folds)
     held = materialise(folds.held_out(rows, folds.group_folds(rows, k, repeats, seed)))
-    fit = logit.fit_models(held, [(r, f) for r in range(repeats) for f in range(k)])
-    return logit.out_of_fold(held, fit, KEYS), fit
+    fitted = fit(held, [(r, f) for r in range(repeats) for f in range(k)])
+    return score(held, fitted, KEYS), fitted
+
+
+def grouped_oof(rows: DataFrame, n_folds: int = P.CV_FOLDS, repeats: int = P.CV_REPEATS, seed: int = P.SEED) -> tuple[DataFrame, logit.Fitted]:
+    """Out-of-fold probabilities of the logistic pipeline."""
+    return oof(rows, logit.fit_models, logit.out_of_fold, n_folds, repeats, seed)
+
+
+def boosted_oof(rows: DataFrame, n_folds: int = P.CV_FOLDS, repeats: int = P.CV_REPEATS, seed: int = P.SEED, **options: Any) -> tuple[DataFrame, histogram.Forest]:
+    """Out-of-fold probabilities of the boosted challenger, `gbt_pd`."""
+    return oof(rows, partial(histogram.fit_forest, **options), histogram.out_of_fold, n_folds, repeats, seed)
 
 
 def out_of_time(rows: DataFrame, split_year: int, year: Column | None = None) -> tuple[DataFrame, logit.Fitted]:

@@ -214,6 +214,7 @@ GBT_DEPTH = 3
 GBT_ROUNDS = 120
 GBT_STEP = 0.05
 GBT_MIN_LEAF = 3
+GBT_L2 = 1.0
 
 # --------------------------------------------------------------------------
 # FIXED VALUES: masterscale, recoveries, conversion factors, capital formula

@@ -164,6 +164,13 @@ def q_gbm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(scored.select("ticker", "as_of", "y", "gbt_pd"), gbt_pd=6)
 
 
+@query
+def q_gbm_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out probabilities of the boosted challenger: all repeats and folds, grown together."""
+    scored, _ = resampling.boosted_oof(model_rows(spark, sf_dir))
+    return tidy(scored.select("ticker", "as_of", "y", "n_models", "gbt_pd"), gbt_pd=6)
+
+
 @query
 def q_bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(bootstrap.bootstrap_auc(tape.scored(spark, sf_dir)), auc=8, lower=8, upper=8)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vintagerisk import params as P
 from vintagerisk.functions.numeric import dbl
-from vintagerisk.models import boosting, bootstrap, calibrate, logit, resampling
+from vintagerisk.models import bootstrap, calibrate, logit, resampling
 from vintagerisk.operators import calibration_tests, diagnostics, discrimination, portfolio, scores, stability, universe
 from vintagerisk.operators.prefix import exact_quantiles
 from vintagerisk.sources.storage import materialise, write_csv, write_json
@@ -35,7 +35,7 @@ class Settings:
     prior_correction: bool = True
     leave_one_out: bool = True
     require_verified: bool = True  # the gate refuses defaults that nobody has verified
-    boosting_repeats: int = P.CV_REPEATS  # each repeat is `folds` boosted fits; 0 leaves the challenger out
+    boosting_repeats: int = P.CV_REPEATS  # 0 leaves the challenger out
     boosting_rounds: int = P.GBT_ROUNDS
 
 
@@ -124,7 +124,8 @@ def run(panel: DataFrame, issuers: DataFrame, settings: Settings | None = None)
         left_out = materialise(resampling.leave_one_issuer_out(rows))
         found.append(_discrimination_row("logistic_leave_one_issuer_out", left_out, "raw_pd", s, interval=False))
     if s.boosting_repeats:
-        boosted = materialise(boosting.grouped_oof(rows, s.folds, s.boosting_repeats, s.boosting_rounds, s.seed))
+        boosted, _ = resampling.boosted_oof(rows, s.folds, s.boosting_repeats, s.seed, rounds=s.boosting_rounds)
+        boosted = materialise(boosted.where("gbt_pd IS NOT NULL"))
         found.append(_discrimination_row("gbm_oof", boosted, "gbt_pd", s))
     if s.split_year is not None:
         late, _ = resampling.out_of_time(rows, s.split_year)
