@@ -82,19 +82,19 @@ class Forest:
 
 
 def best_split(hist: np.ndarray, min_leaf: int, l2: float) -> tuple:
-    """(feature, cut, missing goes left, left and right gradient and Hessian) of one node's (features, bins, 3) sums."""
-    total = hist[0].sum(axis=0)
-    missing, below = hist[:, -1], np.cumsum(hist[:, :-1], axis=1)
-    left = np.stack([below, below + missing[:, None]], axis=2)  # missing right, missing left
-    right = total - left
-    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + l2)
+    """(feature, cut, missing goes left, left and right gradient and Hessian) of one node's (3, features, bins) sums."""
+    total = hist[:, 0].sum(axis=1)
+    missing, below = hist[:, :, -1], np.cumsum(hist[:, :, :-1], axis=2)
+    left = np.stack([below, below + missing[:, :, None]], axis=3)  # missing right, missing left
+    right = total[:, None, None, None] - left
+    score = lambda s: s[0] ** 2 / (s[1] + l2)
     gain = score(left) + score(right) - score(total)
-    fine = (left[..., 2] >= min_leaf) & (right[..., 2] >= min_leaf) & (left[..., 1] >= LEAST_HESSIAN) & (right[..., 1] >= LEAST_HESSIAN)
+    fine = (left[2] >= min_leaf) & (right[2] >= min_leaf) & (left[1] >= LEAST_HESSIAN) & (right[1] >= LEAST_HESSIAN)
     gain = np.where(fine, gain, -np.inf)
     f, c, side = np.unravel_index(int(np.argmax(gain)), gain.shape)
     if gain[f, c, side] <= 1e-10:
         return -1, 0, False, total[0], total[1], 0.0, 0.0
-    return int(f), int(c), bool(side), *left[f, c, side, :2].tolist(), *right[f, c, side, :2].tolist()
+    return int(f), int(c), bool(side), *left[:2, f, c, side].tolist(), *right[:2, f, c, side].tolist()
 
 
 def fit_forest(
@@ -103,6 +103,7 @@ def fit_forest(
 ) -> Forest:
     """held: features, `y` and `hold` (per repeat the fold a row is held out of). Model (repeat, fold) trains on all other rows."""
     edges = edges_of(held, features, bins)
+    bins = max(map(len, edges)) + 1  # few distinct values need few
     counts = ", ".join(f"count_if(hold[{r}] <> {f}), count_if(hold[{r}] <> {f} AND y = 1)" for r, f in models)
     n, pos = np.array(held.selectExpr(f"array({counts}) AS c").first().c, dtype="float64").reshape(-1, 2).T
     usable = (pos > 0) & (pos < n)
@@ -193,10 +194,11 @@ def _splits(state: DataFrame, forest: Forest, since: int, t: int, level: int, op
     def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = nodes[key[0]]
         hist = sum(np.frombuffer(s, np.float64) for s in pdf["sums"]).reshape(3, len(own), d, width)
-        rows = [(key[0], node, *best_split(np.moveaxis(hist[:, k], 0, -1), min_leaf, l2)) for k, node in enumerate(own)]
+        rows = [(key[0], node, *best_split(hist[:, k], min_leaf, l2)) for k, node in enumerate(own)]
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SPLITS.split(", ")])
 
-    return state.mapInPandas(partial, "m int, sums binary").groupBy("m").applyInPandas(choose, SPLITS).collect()
+    tasks = min(len(nodes), state.sparkSession.sparkContext.defaultParallelism)
+    return state.mapInPandas(partial, "m int, sums binary").repartition(tasks, "m").groupBy("m").applyInPandas(choose, SPLITS).collect()
 
 
 def out_of_fold(rows: DataFrame, forest: Forest, keys: list[str], name: str = "gbt_pd") -> DataFrame:

@@ -11,6 +11,7 @@ from vintagerisk import params as P
 from vintagerisk.functions.numeric import tidy
 from vintagerisk.models import boosting, bootstrap, calibrate, folds, logit, resampling
 from vintagerisk.operators import scores
+from vintagerisk.operators.panel import design_columns
 from vintagerisk.operators.prefix import exact_quantiles
 from vintagerisk.plans.core import issuer_panel, query
 from vintagerisk.plans.run import RunResult, Settings, coefficient_table, report_tables, run, sign_violations
@@ -49,6 +50,12 @@ def q_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out, median=6, mean=6, deviation=6)
 
 
+@query
+def q_design_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fit gets to see: keys, label and every feature as a double."""
+    return tidy(design_columns(issuer_panel(spark, sf_dir)), **{f: 6 for f in P.FEATURES})
+
+
 @query
 def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(boosting.class_weights(tape.scored(spark, sf_dir)), weight=9)

@@ -38,6 +38,7 @@ oracle("q_preprocess", f"""
 SELECT feature, {r('max(med)', 6, 'median')}, {r('avg(coalesce(c, med))', 6, 'mean')},
        {r('CASE WHEN stddev_pop(coalesce(c, med)) < 1e-10 THEN 1 ELSE stddev_pop(coalesce(c, med)) END', 6, 'deviation')}, count(*) AS n_rows
 FROM clipped GROUP BY feature""", "clipped")
+oracle("q_design_columns", f"SELECT ticker, as_of, label, {', '.join(r(f, 6, f) for f in P.FEATURES)} FROM panel", "panel")
 oracle("q_class_weights", f"""
 SELECT y, n, {r('(SELECT count(*) FROM scored) / (2.0 * n)', 9, 'weight')} FROM (SELECT y, count(*) AS n FROM scored GROUP BY y)""", "scored")
 oracle("q_risk_score", f"SELECT ticker, as_of, {r('-coalesce(z2, (SELECT median(z2) FROM panel))', 6, 'risk_score')} FROM panel", "panel")
