@@ -40,7 +40,7 @@ from vintagerisk.llm.frames import scratch, sliced
 from vintagerisk.llm.perfect_hash import PerfectHash
 
 META = "▁"
-SLICE = 1 << 21
+SLICE = 1 << 20
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -61,7 +61,7 @@ class PlainEncoder(LibraryEncoder):
 
     def __init__(self, tokenizer_json: str) -> None:
         super().__init__(tokenizer_json)
-        self.limit = 250_000
+        self.limit = 120_000
 
     def _one(self, text: str) -> np.ndarray:
         self.tokenizer.encode_special_tokens = True
@@ -86,7 +86,7 @@ class PieceEncoder:
     CHUNK = re.compile(r" +[^ ]*")
     LONE = "- -"  # stands for a lone space at the end of a text; no chunk has a space behind another character
 
-    def __init__(self, model: bytes, limit: int = 250_000) -> None:
+    def __init__(self, model: bytes, limit: int = 120_000) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -159,7 +159,7 @@ TOKENS = "doc_id {0}, a binary, b binary"
 
 
 def tokens(docs: DataFrame, tokenizer_json: str, model: bytes, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, a, b): little-endian unsigned 32-bit ids of each document, empty where the two do not spell the text."""
+    """(doc_id, a, b): ids of each document in little-endian bytes, two an id where the vocabulary allows, empty where the two do not spell the text."""
     kind = dict(docs.dtypes)[doc_id]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,25 +183,30 @@ def tokens(docs: DataFrame, tokenizer_json: str, model: bytes, text: str = "text
                         flat = table.joined(ids)
                         for k in np.flatnonzero(same).tolist():
                             good[k] &= np.array_equal(flat[size[k] : size[k + 1]], spelt[ends[k] : ends[k + 1]])
-                ids_of = lambda offsets, ids: [ids[a:b].astype("<u4").tobytes() if g else b"" for a, b, g in zip(offsets[:-1], offsets[1:], good, strict=True)]
+                ids_of = lambda offsets, ids, table: [ids[a:b].astype(id_type(len(table.size))).tobytes() if g else b"" for a, b, g in zip(offsets[:-1], offsets[1:], good, strict=True)]
                 yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array(ids_of(oa, ia), pa.binary()), pa.array(ids_of(ob, ib), pa.binary())], ["doc_id", "a", "b"]
+                    [batch.column("doc_id"), pa.array(ids_of(oa, ia, bytes_a), pa.binary()), pa.array(ids_of(ob, ib, bytes_b), pa.binary())], ["doc_id", "a", "b"]
                 )
 
     return docs.selectExpr(f"`{doc_id}` AS doc_id", f"cast(`{text}` as string) AS text").mapInArrow(encode, TOKENS.format(kind))
 
 
-def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    size = pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
-    return np.r_[0, np.cumsum(size)], np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int64)
+def id_type(vocabulary: int) -> np.dtype:
+    """Little-endian, as wide as the vocabulary asks for."""
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
+def flat_ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False) // kind.itemsize
+    return np.r_[0, np.cumsum(size)], np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64)
 
 
 class Aligned:
     """The tokens of some documents in a row, with their common ends."""
 
     def __init__(self, batch: pa.RecordBatch, size_a: np.ndarray, size_b: np.ndarray) -> None:
-        self.rows_a, self.a = flat_ids(batch.column("a"))
-        self.rows_b, self.b = flat_ids(batch.column("b"))
+        self.rows_a, self.a = flat_ids(batch.column("a"), id_type(len(size_a)))
+        self.rows_b, self.b = flat_ids(batch.column("b"), id_type(len(size_b)))
         ends_a, ends_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
         marked = np.zeros((2, int(ends_a[-1]) + 1 if len(ends_a) else 1), bool)
         marked[0, ends_a] = marked[1, ends_b] = True
@@ -241,7 +246,7 @@ class Aligned:
         return [hashlib.sha256(text[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def aligned(batches: Iterator[pa.RecordBatch], size_a: np.ndarray, size_b: np.ndarray, bytes_at_once: int = SLICE) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+def aligned(batches: Iterator[pa.RecordBatch], size_a: np.ndarray, size_b: np.ndarray, bytes_at_once: int = SLICE // 2) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
     for part in sliced(batches, "a", bytes_at_once):
         yield part, Aligned(part, size_a, size_b)
 
