@@ -63,6 +63,25 @@ def test_whole_fit_matches_the_written_out_pipeline(rows, panel_pdf):
     assert fit.beta[0, 1 + P.FEATURES.index("negative_equity")] == pytest.approx(0, abs=1e-9)
 
 
+def test_bounds_of_every_training_set_are_the_plain_quantiles(spark):
+    """Folds that are alike, one that holds all high values, rows held out of nothing, ties, and a feature without values."""
+    rng = np.random.default_rng(11)
+    n, names = 3000, ["smooth", "tied", "gaps", "empty"]
+    x = np.c_[rng.normal(size=n), rng.integers(0, 4, n), np.where(rng.random(n) < 0.4, np.nan, rng.normal(size=n)), np.full(n, np.nan)]
+    hold = np.c_[rng.integers(0, 5, n), np.where(x[:, 0] > 0.4, 2, rng.integers(0, 2, n)), np.full(n, -1)]
+    data = [(*(None if np.isnan(v) else float(v) for v in r), 0, h.tolist()) for r, h in zip(x, hold, strict=True)]
+    rows = spark.createDataFrame(data, ", ".join(f"{f} double" for f in names) + ", y int, hold array<int>")
+    models = [(0, f) for f in range(5)] + [(1, f) for f in range(3)] + [(2, 0)]
+    fit = logit.quantile_bounds(rows, names, models)
+    for m, (r, f) in enumerate(models):
+        own = x[hold[:, r] != f]
+        for j in range(3):
+            low, middle, high = np.nanquantile(own[:, j], [0.01, 0.5, 0.99])
+            assert (fit.low[m, j], fit.high[m, j]) == pytest.approx((low, high), abs=1e-12)
+            assert fit.middle[m, j] == pytest.approx(middle, abs=1e-12)
+        assert (fit.low[m, 3], fit.middle[m, 3], fit.high[m, 3]) == (-np.inf, 0, np.inf)
+
+
 def test_out_of_fold_matches_per_fold_fits(spark, rows, panel_pdf):
     scored, _ = resampling.grouped_oof(rows, n_folds=3, repeats=2)
     got = scored.toPandas().set_index(["ticker", "as_of"])["raw_pd"]

@@ -1,3 +1,4 @@
+import itertools
 import math
 from statistics import NormalDist
 
@@ -74,6 +75,43 @@ def test_exact_quantiles_against_numpy(spark, small, accuracy):
         assert r.quantile == pytest.approx(np.quantile(values, probabilities[r.i]), abs=1e-12)
 
 
+@pytest.mark.parametrize("n", [3_000, 60_000])
+def test_brackets_end_at_a_fixed_size(spark, monkeypatch, n):
+    """Values of a wide range, two thirds of them ties: what is left between the ends of a bracket does not grow with the rows."""
+    left = []
+    narrowed = prefix._narrowed
+
+    def watched(present, keys, state, *rest):
+        out = narrowed(present, keys, state, *rest)
+        left.append(out)
+        return out
+
+    monkeypatch.setattr(prefix, "_narrowed", watched)
+    data = spark.range(n).selectExpr("'k' AS g", "CASE WHEN id % 3 = 0 THEN exp(pmod(xxhash64(id), 1000003) / 30000D) WHEN id % 3 = 1 THEN 7D ELSE 3D END AS v")
+    values = np.sort(data.toPandas()["v"].to_numpy())
+    ranks = sorted({0, 1, n // 3 - 1, n // 2, n - 2, n - 1, *np.searchsorted(values, [3.0, 7.0]).tolist(), *(np.searchsorted(values, [3.0, 7.0], "right") - 1).tolist()})
+    wanted = spark.createDataFrame([("k", i, int(r)) for i, r in enumerate(ranks)], "g string, i int, rank long")
+    got = {r.i: (r.a, r.b) for r in prefix.order_statistics(data, ["g"], wanted, accuracy=200, small=50).collect()}
+    assert got == {i: (values[r], values[r + 1] if r + 1 < n else None) for i, r in enumerate(ranks)}
+    assert 1 <= len(left) <= 6
+    rows = data.collect()
+    for b in left[-1].collect():
+        assert sum(b.low < r.v < b.high for r in rows) <= 50
+
+
+def test_a_poor_proposal_costs_a_pass_only(spark):
+    data = spark.range(1000).selectExpr("1 AS g", "cast(id DIV 3 as double) AS v")
+    values = [i // 3 for i in range(1000)]
+    ends = ((200.0, 201.0), (250.0, 250.0), (0.5, 0.6), (33.0, 300.0))
+    asked = [(1, i, rank, 0.0, 333.0, 0, None, True, *e) for i, (rank, e) in enumerate(itertools.product((0, 100, 500, 899, 900, 999), ends))]
+    state = spark.createDataFrame(asked, "g int, i int, rank long, low double, high double, base long, above double, open boolean, from_v double, to_v double")
+    got = prefix._narrowed(data, ["g"], state, 100, 10).collect()
+    assert len(got) == len(asked)
+    for b in got:
+        assert b.low <= values[b.rank] <= b.high and b.base == sum(v < b.low for v in values)
+        assert b.above == min((v for v in values if v > b.high), default=None)
+
+
 def test_brier_identity(spark):
     rng = np.random.default_rng(3)
     p = rng.random(4000)

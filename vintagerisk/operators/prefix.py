@@ -9,7 +9,7 @@ cumulated on its own and shifted by the totals of the ranges before it.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk.sources.storage import materialise
@@ -144,43 +144,112 @@ def values_near_ranks(
     return counts.selectExpr(*keys, "i", "n", "v", "c", f"sum(c) OVER {order} AS upto")
 
 
-def exact_quantiles(long: DataFrame, keys: list[str], value: str, probabilities: list[float], store: bool = True, **options) -> DataFrame:
+def exact_quantiles(
+    long: DataFrame, keys: list[str], value: str, probabilities: list[float], accuracy: int = 10000, small: int = 20000
+) -> DataFrame:
     """Exact interpolated quantiles per group (NULLs skipped): (keys, i, quantile) per wanted probability.
 
-    The input is read twice, so it is stored in between unless `store` says that it is
-    cheaper to derive it again (as for rows repeated for many models).  Every bracket is checked: the wanted
-    rank must lie above what was counted below the bracket and within what it holds.  If a
-    sketch missed a rank, the brackets are widened and counted again, so a wrong value
-    cannot come out.  One row per group is kept between the steps.
+    The input is read a few times, so it is stored in between.
     """
-    long = long.select(*keys, value)
-    long = materialise(long) if store else long
-    widen = 1.0
-    while True:
-        ends = materialise(_bracket_ends(values_near_ranks(long, keys, value, probabilities, widen=widen, **options), keys, probabilities))
-        missed = " OR ".join(f"below{i} > floor((n - 1) * {q!r}D) OR reach{i} <= ceil((n - 1) * {q!r}D)" for i, q in enumerate(probabilities))
-        if ends.where(missed).isEmpty():
-            break
-        widen *= 8
-    rows = ", ".join(f"{i}, (n - 1) * {q!r}D, a{i}, b{i}" for i, q in enumerate(probabilities))
+    present = materialise(long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v")))
+    picks = ", ".join(f"struct({i} AS i, (n - 1) * {q!r}D AS position)" for i, q in enumerate(probabilities))
+    wanted = _sketched(present, keys, accuracy).selectExpr("*", f"inline(array({picks}))").withColumn("rank", F.expr("cast(floor(position) as bigint)"))
+    started = _held(_first_brackets(wanted, keys, accuracy, small, "position"))
+    ends = _selected(present, keys, started.drop("position"), accuracy, small)
     share = "(position - floor(position))"
-    return ends.selectExpr(*keys, f"stack({len(probabilities)}, {rows}) AS (i, position, a, b)").selectExpr(
+    return ends.join(F.broadcast(started.select(*keys, "i", "position")), [*keys, "i"]).selectExpr(
         *keys, "i",
         f"CASE WHEN a = b OR {share} = 0 THEN a WHEN {share} < 0.5D THEN a + (b - a) * {share} "
         f"ELSE b - (b - a) * (1D - {share}) END AS quantile",
     )
 
 
-def _bracket_ends(ranked: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
-    """Per group: the two values around each rank, what lies below its bracket and up to its end."""
-    columns = []
-    for i, q in enumerate(probabilities):
-        position = f"((n - 1) * {q!r}D)"
-        mine = f"i IN (-1, {i})"
-        columns += [
-            F.expr(f"min(CASE WHEN {mine} AND upto > floor({position}) THEN v END)").alias(f"a{i}"),
-            F.expr(f"min(CASE WHEN {mine} AND upto > ceil({position}) THEN v END)").alias(f"b{i}"),
-            F.expr(f"coalesce(max(CASE WHEN {mine} AND v IS NULL THEN upto END), 0)").alias(f"below{i}"),
-            F.expr(f"max(CASE WHEN {mine} THEN upto END)").alias(f"reach{i}"),
-        ]
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *columns)
+def order_statistics(present: DataFrame, keys: list[str], wanted: DataFrame, accuracy: int = 10000, small: int = 20000) -> DataFrame:
+    """(keys, i, a, b): the value `v` of each wanted zero-based rank (keys, i, rank) of its group, and the value of the next rank.
+
+    Each rank has a bracket of values.  A pass counts, map-side, what the inside of the bracket holds, and sketches it; the
+    sketch proposes a bracket some hundred times narrower, whose counts the next pass takes, and so on for all ranks together
+    until none has more than `small` rows between its ends, whatever the size of the table: three passes at 10^9 rows.
+    Counts decide where a rank lies, so a poor proposal costs a pass but no wrong value can come out.  The ends of a
+    bracket are counted apart from its inside: values shared by very many rows never stop the narrowing.  Groups must
+    be few: brackets, one row per wanted rank, pass through the driver and are broadcast.  `b` is NULL at the last rank.
+    """
+    sketched = wanted.join(_sketched(present, keys, accuracy), keys)
+    return _selected(present, keys, _held(_first_brackets(sketched, keys, accuracy, small)), accuracy, small)
+
+
+def _steps(accuracy: int) -> int:
+    return max(4, min(2048, accuracy // 4))
+
+
+def _grid(value: str, accuracy: int) -> Column:
+    """Sketch of the values at evenly spaced shares of their ranks."""
+    return F.percentile_approx(value, [g / _steps(accuracy) for g in range(_steps(accuracy) + 1)], accuracy).alias("grid")
+
+
+def _proposed(rank: str, n: str, accuracy: int) -> tuple[str, str]:
+    """Two values of the grid that should lie on both sides of a rank."""
+    steps = _steps(accuracy)
+    at = f"cast(floor({rank} * {steps}D / {n}) as int)"
+    return f"grid[greatest({at} - 1, 0)]", f"grid[least({at} + 2, {steps})]"
+
+
+def _sketched(present: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
+    return present.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), _grid("v", accuracy))
+
+
+def _first_brackets(sketched: DataFrame, keys: list[str], accuracy: int, small: int, *further: str) -> DataFrame:
+    from_v, to_v = _proposed("rank", "n", accuracy)
+    return sketched.selectExpr(
+        *keys, "i", "rank", "low", "high", "0L AS base", "cast(NULL as double) AS above", f"n > {small} AND low < high AS open",
+        f"{from_v} AS from_v", f"{to_v} AS to_v", *further,
+    )
+
+
+def _held(state: DataFrame) -> DataFrame:
+    """A small table, computed once and kept on the driver."""
+    return state.sparkSession.createDataFrame(state.toArrow(), state.schema)
+
+
+def _selected(present: DataFrame, keys: list[str], state: DataFrame, accuracy: int, small: int) -> DataFrame:
+    while not state.where("open").isEmpty():
+        state = _held(state.where("NOT open").unionByName(_narrowed(present, keys, state.where("open"), accuracy, small)))
+    near = present.join(F.broadcast(state.select(*keys, "i", "rank", "low", "high", "base", "above")), keys).where("v BETWEEN low AND high")
+    counts = near.groupBy(*keys, "i", "rank", "base", "above", "v").agg(F.count("*").alias("c"))
+    order = f"(PARTITION BY {', '.join([*keys, 'i'])} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return counts.selectExpr(*keys, "i", "rank", "above", "v", "c", f"base + sum(c) OVER {order} AS upto").groupBy(*keys, "i").agg(
+        F.expr("min(CASE WHEN upto > rank THEN v END)").alias("a"),
+        F.expr("coalesce(min(CASE WHEN upto > rank + 1 THEN v END), max(above))").alias("b"),
+    )
+
+
+def _narrowed(present: DataFrame, keys: list[str], state: DataFrame, accuracy: int, small: int) -> DataFrame:
+    """The open brackets after one more pass: each takes the zone of its proposal that holds its rank."""
+    ends = F.broadcast(state.select(*keys, "i", "low", "high", "from_v", "to_v"))
+    within = "v > from_v AND v < to_v"
+    zones = (
+        present.join(ends, keys).where("v BETWEEN low AND high")
+        .withColumn("inner", F.expr(f"CASE WHEN {within} THEN v END"))
+        .groupBy(*keys, "i").agg(
+            F.count_if(F.expr("v < from_v")).alias("n_less"), F.count_if(F.expr("v = from_v")).alias("n_from"), F.count("inner").alias("n_inner"),
+            F.count_if(F.expr("v = to_v AND to_v > from_v")).alias("n_to"),
+            F.max(F.expr("CASE WHEN v < from_v THEN v END")).alias("last_less"), F.min(F.expr("CASE WHEN v > to_v THEN v END")).alias("first_more"),
+            F.min("inner").alias("first_inner"), F.max("inner").alias("last_inner"), _grid("inner", accuracy),
+        )
+    )
+    placed = state.join(zones, [*keys, "i"]).selectExpr(
+        "*", "n_less + n_from AS upto_from", "n_less + n_from + n_inner AS upto_inner", "n_less + n_from + n_inner + n_to AS upto_to", "rank - base AS place"
+    ).withColumn("zone", F.expr("CASE WHEN place < n_less THEN 0 WHEN place < upto_from THEN 1 WHEN place < upto_inner THEN 2 WHEN place < upto_to THEN 3 ELSE 4 END"))
+    pick = lambda *of: f"element_at(array({', '.join(of)}), zone + 1)"
+    next_from = "coalesce(first_inner, CASE WHEN n_to > 0 THEN to_v END, first_more, above)"
+    inner_from, inner_to = _proposed("(place - upto_from)", "nullif(n_inner, 0)", accuracy)
+    moved = placed.selectExpr(
+        *keys, "i", "rank", "zone", "n_inner", "grid", "place", "upto_from",
+        f"{pick('low', 'from_v', 'first_inner', 'to_v', 'first_more')} AS low", f"{pick('last_less', 'from_v', 'last_inner', 'to_v', 'high')} AS high",
+        f"base + {pick('0L', 'n_less', 'upto_from', 'upto_inner', 'upto_to')} AS base",
+        f"{pick(f'CASE WHEN n_from > 0 THEN from_v ELSE {next_from} END', next_from, 'CASE WHEN n_to > 0 THEN to_v ELSE coalesce(first_more, above) END', 'coalesce(first_more, above)', 'above')} AS above",
+    )
+    return moved.selectExpr(
+        *keys, "i", "rank", "low", "high", "base", "above", f"low < high AND (zone IN (0, 4) OR n_inner > {small}) AS open",
+        f"CASE WHEN zone = 2 THEN {inner_from} ELSE low END AS from_v", f"CASE WHEN zone = 2 THEN {inner_to} ELSE high END AS to_v",
+    )
