@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -71,6 +72,25 @@ def test_elias_fano_is_near_the_least_space():
     assert len(token_store.EliasFano.of(values).to_bytes()) * 8 < 20_000 * (2 + np.log2(50) + 1.0)
 
 
+def test_a_large_vocabulary_takes_four_bytes_an_id(spark):
+    spec = json.loads(vocabulary("byte_bpe_50k.json"))
+    first = len(spec["model"]["vocab"])
+    spec["model"]["vocab"] |= {f"<spare{k}>": k for k in range(first, 70_001)}
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 70_000, "content": "<spare70000>"})
+    vocab, folder = json.dumps(spec), scratch(spark, "test-large")
+    rows = [(1, "one <spare70000> two"), (2, None), (3, "<spare70000>")]
+    token_store.write_shards(documents(spark, rows), folder, vocab, end_id=65_536, shards=2)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_store.read_shards(spark, folder).collect()}
+    library = Tokenizer.from_str(vocab)
+    assert got == {d: [*library.encode(t or "", add_special_tokens=False).ids, 65_536] for d, t in rows} and got[3][0] == 70_000
+    for end, width in ((2, 2), (-1, None), (2, 3)):
+        with pytest.raises(ValueError):
+            token_store.write_shards(documents(spark, rows), folder, vocab, end_id=end, width=width)
+    with pytest.raises(ValueError):
+        token_store.width_for(vocabulary("byte_bpe_50k.json"), 1 << 16, 2)
+    assert token_store.width_for(vocabulary("byte_bpe_50k.json"), 2) == 2 and token_store.width_for(vocabulary("byte_bpe_50k.json"), 1 << 16) == 4
+
+
 @pytest.mark.parametrize("rows", [ROWS, [], [(None, None)]])
 @pytest.mark.parametrize("width", [2, 4])
 def test_token_shards_round_trip(spark, rows, width):

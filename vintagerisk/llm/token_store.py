@@ -1,7 +1,7 @@
 """Token ids as binary shards with Elias-Fano document boundaries.
 
-A shard is two files: `ids-N.bin`, the ids of its documents in a row at 2 bytes an id (4 where the vocabulary
-needs them), and `bounds-N.ef`, the document boundaries and the document numbers, both monotone, as Elias-Fano
+A shard is two files: `ids-N.bin`, the ids of its documents in a row at 2 bytes an id (4 where the vocabulary or the
+end id needs them; an id that does not fit is an error, never cut), and `bounds-N.ef`, the document boundaries and the document numbers, both monotone, as Elias-Fano
 codes. Such a code keeps the low bits of each value in a packed array and the high bits in unary, about
 2 + log2(range / count) bits a value; a count of ones per 512 bits of the unary part lets `select` find a value
 without a table of 64-bit offsets. Shards hold ascending, disjoint ranges of document numbers, so a shard's first
@@ -87,11 +87,23 @@ MANIFEST = T.StructType([T.StructField("shard", T.LongType()), T.StructField("n_
 DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
+def width_for(tokenizer_json: str, end_id: int, width: int | None = None) -> int:
+    """Bytes an id; a width asked for must hold every id of the vocabulary and the end id."""
+    from tokenizers import Tokenizer
+
+    highest = max(end_id, *Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values())
+    least = 2 if highest < 1 << 16 else 4
+    if end_id < 0 or width not in (None, 2, 4) or (width or 4) < least:
+        raise ValueError(f"ids up to {highest}, end id {end_id}: not to be written at {width} bytes")
+    return width or least
+
+
 def write_shards(
-    docs: DataFrame, folder: str, tokenizer_json: str, end_id: int, width: int = 2, shards: int | None = None, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, folder: str, tokenizer_json: str, end_id: int, width: int | None = None, shards: int | None = None, doc_id: str = "doc_id", text: str = "text"
 ) -> None:
-    """Encode `docs` and write them in ascending order of their numbers. width: bytes an id, 2 or 4."""
+    """Encode `docs` and write them in ascending order of their numbers. width: bytes an id, 2 or 4; unless given, as the vocabulary asks."""
     spark = docs.sparkSession
+    width = width_for(tokenizer_json, end_id, width)
     told = spark.sparkContext.broadcast(tokenizer_json)  # the size of a vocabulary file
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +120,8 @@ def write_shards(
                 numbers.append(number.to_numpy())
                 for _, (offsets, ids) in encode.batches(batch.column(1)):
                     ids = np.insert(ids, offsets[1:], end_id)
+                    if width < 4 and int(ids.max()) >> (8 * width):
+                        raise OverflowError(f"id {int(ids.max())} does not fit in {width} bytes")
                     out.write(ids.astype(f"<u{width}").tobytes())
                     sizes.append(np.diff(offsets) + 1)
                 batch = next(batches, None)
