@@ -74,9 +74,9 @@ def test_elias_fano_is_near_the_least_space():
 
 def test_a_large_vocabulary_takes_four_bytes_an_id(spark):
     spec = json.loads(vocabulary("byte_bpe_50k.json"))
-    first = len(spec["model"]["vocab"])
-    spec["model"]["vocab"] |= {f"<spare{k}>": k for k in range(first, 70_001)}
-    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 70_000, "content": "<spare70000>"})
+    end = spec["added_tokens"][0]
+    spec["model"]["vocab"] |= {end["content"]: end["id"]} | {f"<spare{k}>": k for k in range(end["id"] + 1, 70_001)}
+    spec["added_tokens"].append({**end, "id": 70_000, "content": "<spare70000>"})
     vocab, folder = json.dumps(spec), scratch(spark, "test-large")
     rows = [(1, "one <spare70000> two"), (2, None), (3, "<spare70000>")]
     token_store.write_shards(documents(spark, rows), folder, vocab, end_id=65_536, shards=2)
