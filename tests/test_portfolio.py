@@ -1,3 +1,6 @@
+import re
+from statistics import NormalDist
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +98,26 @@ def test_prior_correction_is_a_shift_of_the_log_odds(spark):
     assert all(odds(r.q) - odds(r.p) == pytest.approx(odds(0.04) - odds(0.3)) for r in moved)
     with pytest.raises(Exception, match="strictly between"):
         rows.select(portfolio.prior_correct("p", "1D", "0.04D")).collect()
+
+
+@pytest.mark.parametrize("options", [{"maturity": "years"}, {"maturity": "years", "by": ["unit"]}])
+def test_methods_stay_short_enough_to_be_compiled(spark, options, capsys, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS unit", "0.001D * id AS pd", "0.4D AS lgd", "5D * id AS ead", "1D + id % 5 AS years").write.parquet(str(tmp_path / "tape"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        portfolio.portfolio_totals(spark.read.parquet(str(tmp_path / "tape")), **options).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(s) for s in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM does not compile longer ones
+
+
+def test_quantile_and_distribution_of_missing_and_extreme_values(spark):
+    from vintagerisk.functions.normal import add_norm_cdf, add_norm_quantile
+
+    rows = spark.sql("SELECT * FROM VALUES (0D), (1D), (0.5D), (cast(NULL AS double)), (1e-12D) AS t(p)")
+    got = {r.p: r.g for r in add_norm_quantile(rows, "p", "g").collect()}
+    assert got[0.0] is None and got[1.0] is None and got[None] is None and got[0.5] == 0.0
+    assert got[1e-12] == pytest.approx(NormalDist().inv_cdf(1e-12), rel=1e-12)
+    cdf = {r.p: r.c for r in add_norm_cdf(rows, "p", "c").collect()}
+    assert cdf[None] is None and cdf[0.0] == 0.5 and cdf[1.0] == pytest.approx(NormalDist().cdf(1.0), rel=1e-14)

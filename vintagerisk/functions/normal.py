@@ -95,16 +95,23 @@ def norm_quantile(p: str, r: str | None = None) -> str:
 
 
 def add_norm_cdf(df: DataFrame, x: str, name: str) -> DataFrame:
-    """Add the distribution function of a column.  Intermediates are projected first, so they are computed once per row."""
+    """Add the distribution function of a column.  Intermediates are projected first, so they are computed once per row.
+
+    They are never NULL (a missing x is handled at the end): the generated polynomials carry no null checks, which keeps
+    methods short enough for the JVM to compile.
+    """
     return (
-        df.selectExpr("*", f"abs({x}) / {dbl(math.sqrt(2.0))} AS cdf_y")
+        df.selectExpr("*", f"coalesce(abs({x}) / {dbl(math.sqrt(2.0))}, 0D) AS cdf_y")
         .selectExpr("*", "cdf_y * cdf_y AS cdf_y2")
-        .selectExpr("*", "CASE WHEN cdf_y2 > 0 THEN 1D / cdf_y2 END AS cdf_inv")
+        .selectExpr("*", "coalesce(CASE WHEN cdf_y2 > 0 THEN 1D / cdf_y2 END, 0D) AS cdf_inv")
         .selectExpr("* EXCEPT (cdf_y, cdf_y2, cdf_inv)", f"{norm_cdf(x, 'cdf_y', 'cdf_y2', 'cdf_inv')} AS {name}")
     )
 
 
 def add_norm_quantile(df: DataFrame, p: str, name: str) -> DataFrame:
-    return df.selectExpr("*", f"sqrt(-ln(least({p}, 1D - {p}))) AS quantile_r").selectExpr(
-        "* EXCEPT (quantile_r)", f"{norm_quantile(p, 'quantile_r')} AS {name}"
+    """Add the quantile function of a column; a missing probability counts as 0 on the way and has no quantile."""
+    return (
+        df.selectExpr("*", f"coalesce({p}, 0D) AS quantile_p")
+        .selectExpr("*", "coalesce(sqrt(-ln(least(quantile_p, 1D - quantile_p))), 0D) AS quantile_r")
+        .selectExpr("* EXCEPT (quantile_p, quantile_r)", f"{norm_quantile('quantile_p', 'quantile_r')} AS {name}")
     )

@@ -164,8 +164,12 @@ def floored_pd(pd: str = "pd") -> str:
 
 
 def asset_correlation(pd: str = "pd") -> str:
-    w = f"((1 - exp(-50 * {floored_pd(pd)})) / {dbl(1 - math.exp(-50))})"
-    return f"(0.12D * {w} + 0.24D * (1 - {w}))"
+    return correlation_of(floored_pd(pd))
+
+
+def correlation_of(floored: str) -> str:
+    """Falls from 0.24 to 0.12 as the (floored) PD rises."""
+    return f"(0.24D - 0.12D * ((1 - exp(-50 * {floored})) / {dbl(1 - math.exp(-50))}))"
 
 
 def firm_size_adjusted(correlation: str, sales: str) -> str:
@@ -177,20 +181,27 @@ def firm_size_adjusted(correlation: str, sales: str) -> str:
 
 
 def maturity_adjustment(pd: str = "pd") -> str:
-    return f"power(0.11852D - 0.05478D * ln({floored_pd(pd)}), 2)"
+    return maturity_slope(floored_pd(pd))
+
+
+def maturity_slope(floored: str) -> str:
+    return f"power(0.11852D - 0.05478D * ln({floored}), 2)"
 
 
 def with_irb(df: DataFrame, maturity: str | None = None, sales: str | None = None, pd: str = "pd", lgd: str = "lgd") -> DataFrame:
-    """Add correlation, maturity factor, conditional PD and the capital requirement K per unit of EAD."""
+    """Add correlation, maturity factor, conditional PD and the capital requirement K per unit of EAD.
+
+    The floored PD and the roots are projected once; columns of the way are dropped as soon as they are spent.
+    """
     m = maturity or dbl(P.IRB_MATURITY)
     worst = dbl(NormalDist().inv_cdf(P.IRB_CONFIDENCE))
-    correlation = asset_correlation(pd) if sales is None else firm_size_adjusted(asset_correlation(pd), sales)
-    arg = f"irb_g / sqrt(1 - irb_correlation) + sqrt(irb_correlation / (1 - irb_correlation)) * {worst} AS irb_arg"
-    out = df.selectExpr("*", f"{correlation} AS irb_correlation", f"{maturity_adjustment(pd)} AS irb_maturity", f"{floored_pd(pd)} AS irb_pd")
-    out = add_norm_cdf(add_norm_quantile(out, "irb_pd", "irb_g").selectExpr("*", arg), "irb_arg", "irb_conditional_pd")
-    out = out.drop("irb_g", "irb_arg", "irb_pd")
-    k = f"greatest(0D, ({lgd} * irb_conditional_pd - {floored_pd(pd)} * {lgd}) * (1 + ({m} - 2.5D) * irb_maturity) / (1 - 1.5D * irb_maturity))"
-    return out.withColumn("irb_k", checked(k, pd, lgd, "1D"))
+    correlation = correlation_of("irb_pd") if sales is None else firm_size_adjusted(correlation_of("irb_pd"), sales)
+    out = df.selectExpr("*", f"{floored_pd(pd)} AS irb_pd").selectExpr("*", f"{correlation} AS irb_correlation", f"{maturity_slope('irb_pd')} AS irb_maturity")
+    arg = f"(irb_g + sqrt(irb_correlation) * {worst}) / sqrt(1 - irb_correlation) AS irb_arg"
+    out = add_norm_quantile(out, "irb_pd", "irb_g").selectExpr("* EXCEPT (irb_g)", arg)
+    out = add_norm_cdf(out, "irb_arg", "irb_conditional_pd")
+    k = f"greatest(0D, {lgd} * (irb_conditional_pd - irb_pd) * (1 + ({m} - 2.5D) * irb_maturity) / (1 - 1.5D * irb_maturity))"
+    return out.withColumn("irb_k", checked(k, pd, lgd, "1D")).drop("irb_arg", "irb_pd")
 
 
 def risk_weighted_assets(ead: str = "ead") -> Column:
@@ -208,7 +219,8 @@ def portfolio_totals(df: DataFrame, by: list[str] | None = None, maturity: str |
     if missing:
         raise KeyError(f"portfolio frame lacks {sorted(missing)}")
     usable = "pd IS NOT NULL AND lgd IS NOT NULL AND ead IS NOT NULL AND NOT isnan(pd) AND NOT isnan(lgd) AND NOT isnan(ead)"
-    marked = df.withColumn("usable", F.expr(usable))
+    needed = {"pd", "lgd", "ead", maturity, *(by or [])}
+    marked = df.select(*[c for c in df.columns if c in needed]).withColumn("usable", F.expr(usable))
     own = [F.when(F.col("usable"), F.col(c)).alias(c) for c in ("pd", "lgd", "ead")]
     kept = [c for c in marked.columns if c not in ("pd", "lgd", "ead")]
     rows = marked.select(*kept, *own, F.when(~F.col("usable") & ~F.isnan("ead"), F.col("ead")).alias("unused_ead"))
