@@ -59,24 +59,33 @@ def visible_summary(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | Non
     return obs.select("cik", "as_of").join(states, _current()).drop("state_cik", "epoch", "next_epoch")
 
 
+VINTAGE_COLUMNS = ["value", "tag", "form", "fiscal_year", "source"]
+
+
+def newest_version() -> list[Column]:
+    """Aggregates of a group of facts: its newest filing date, and the last non-null of every other column."""
+    last = [F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN filed END)").alias(c) for c in VINTAGE_COLUMNS]
+    return [F.max("filed").alias("filed"), *last]
+
+
 def latest_vintage(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None) -> DataFrame:
     """Newest version of each (field, period) per observation; each column keeps its last non-null.
 
     Versions collapse to one row per epoch before the issuer join, so each observation
     meets exactly one row per visible (field, period).
     """
-    columns = ["value", "tag", "form", "fiscal_year", "source"]
-    newest = [F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN filed END)").alias(c) for c in columns]
-    versions = with_epoch(facts, obs, dates).groupBy("cik", "field", "period_end", "epoch").agg(
-        F.max("filed").alias("filed"), *newest
-    )
+    return vintage_of_versions(with_epoch(facts, obs, dates).groupBy("cik", "field", "period_end", "epoch").agg(*newest_version()), obs)
+
+
+def vintage_of_versions(versions: DataFrame, obs: DataFrame) -> DataFrame:
+    """`latest_vintage` from one row per (cik, field, period_end, epoch), however these came about."""
     by_key = "PARTITION BY cik, field, period_end ORDER BY epoch"
     so_far = f"({by_key} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     states = versions.selectExpr(
         "cik AS state_cik", "field", "period_end", "epoch",
         f"lead(epoch) OVER ({by_key}) AS next_epoch",
         f"max(filed) OVER {so_far} AS filed",
-        *[f"last({c}, true) OVER {so_far} AS {c}" for c in columns],
+        *[f"last({c}, true) OVER {so_far} AS {c}" for c in VINTAGE_COLUMNS],
     )
     return obs.select("cik", "as_of").join(states, _current()).drop("state_cik", "epoch", "next_epoch")
 
@@ -86,6 +95,15 @@ def _current() -> Column:
     return F.expr("cik = state_cik AND epoch <= as_of AND (next_epoch IS NULL OR as_of < next_epoch)")
 
 
+def epoch_of(dates: list[dt.date]) -> Column:
+    """The first of the dates that sees a fact, NULL after the last one; a CASE chain, for grids of modest length."""
+    chain = None
+    for day in sorted(set(dates)):
+        seen = F.col("filed") <= F.lit(day)
+        chain = F.when(seen, F.lit(day)) if chain is None else chain.when(seen, F.lit(day))
+    return F.lit(None).cast("date") if chain is None else chain
+
+
 def with_epoch(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None) -> DataFrame:
     """Attach the earliest observation date that sees each fact; facts no date sees are dropped.
 
@@ -96,11 +114,7 @@ def with_epoch(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = N
     """
     facts = facts.where(F.col("filed").isNotNull())
     if dates is not None and len(dates) <= 64:
-        chain = None
-        for day in sorted(set(dates)):
-            seen = F.col("filed") <= F.lit(day)
-            chain = F.when(seen, F.lit(day)) if chain is None else chain.when(seen, F.lit(day))
-        return facts.withColumn("epoch", chain).where(F.col("epoch").isNotNull())
+        return facts.withColumn("epoch", epoch_of(dates)).where(F.col("epoch").isNotNull())
 
     days = obs.select("as_of").distinct()
     previous = F.lag("as_of").over(Window.orderBy("as_of"))

@@ -16,8 +16,8 @@ oracle("q_tag_preference", f"SELECT cik, field, period_end, filed, form, fiscal_
 oracle("q_visible_facts", f"""
 SELECT o.cik, o.as_of, count(*) AS n_facts, max(filed) AS latest_filed, {r('sum(value)', 4, 'total_value')}
 FROM obs o JOIN facts f ON o.cik = f.cik AND filed <= as_of GROUP BY o.cik, o.as_of""", "obs", "facts")
-oracle("q_latest_vintage", f"""
-SELECT cik, as_of, field, period_end, filed, {r('value', 4)}, tag, form FROM vintage_gaps""", "vintage_gaps")
+for name in ("q_latest_vintage", "q_stream_vintage"):
+    oracle(name, f"SELECT cik, as_of, field, period_end, filed, {r('value', 4)}, tag, form FROM vintage_gaps", "vintage_gaps")
 oracle("q_anchor_period", """
 SELECT a.cik, a.as_of, a.anchor, CASE WHEN asset_anchor IS NOT NULL THEN 'total_assets' ELSE 'fullest_period' END AS anchored_by,
        p.n_fields
