@@ -182,3 +182,30 @@ def test_hosmer_lemeshow_against_numpy(scored, scored_pdf):
             stat, used = stat + (o - e) ** 2 / d, used + 1
     got = ct.hosmer_lemeshow(scored).first()
     assert got.statistic == pytest.approx(stat) and got.dof == used - 2 and 0 <= got.p_value <= 1
+
+
+def reads_of(df, capsys):
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_ranks_leave_the_input_behind_after_one_read(spark, scored, tmp_path, capsys):
+    scored.write.parquet(str(tmp_path / "scored"))
+    stored = spark.read.parquet(str(tmp_path / "scored"))
+    for ranked in (discrimination.auc(stored), discrimination.ks_statistic(stored), discrimination.roc_points(stored), prefix.equal_count_buckets(stored, 7)):
+        assert "FileScan" not in reads_of(ranked, capsys)  # what is left of the plan starts from the stored ladder
+
+
+def test_separation_takes_all_figures_from_one_ladder(scored):
+    found = discrimination.separation(prefix.score_ladder(scored)).first()
+    assert found.auc == discrimination.auc(scored).first().auc and found.gini == 2 * found.auc - 1
+    assert found.ks == discrimination.ks_statistic(scored).first().ks
+
+
+def test_buckets_skip_missing_scores_and_take_empty_tables(spark, scored):
+    odd = spark.sql("SELECT cast(NULL AS double) AS p, 1 AS y, 9000001L AS id, cast(NULL AS bigint) AS grp UNION ALL SELECT double('NaN'), 0, 9000002L, NULL")
+    both = scored.select("p", "y", "id").unionByName(odd.select("p", "y", "id"))
+    want = sorted(prefix.equal_count_buckets(scored, 5).collect())
+    assert sorted(prefix.equal_count_buckets(both, 5).collect()) == want
+    assert prefix.equal_count_buckets(both.where("false"), 5).count() == 0
+    assert discrimination.auc(both.where("false")).first().auc is None

@@ -1,46 +1,43 @@
-"""AUC, Gini, KS and ROC points from running totals over distinct scores."""
+"""AUC, Gini, KS and ROC points, all read from one ladder of distinct scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintagerisk.operators.prefix import range_splits, running_totals
+from vintagerisk.operators.prefix import score_ladder
 
 
-def score_ladder(scored: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
-    """One row per distinct score: positives and negatives here, below, and in all. NULL and NaN scores take no part."""
-    rows = scored.select(F.expr(f"nanvl(cast({score} as double), NULL)").alias("score"), F.col(y).alias("y")).where("score IS NOT NULL")
-    counted = rows.groupBy("score").agg(
-        F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum((1 - F.col("y")).cast("bigint")).alias("neg")
+def separation(ladder: DataFrame) -> DataFrame:
+    """One row from a score ladder: classes, AUC with ties counted half, Gini and KS; NULL when only one class is present."""
+    pairs = F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
+    gap = F.expr("abs((pos_before + pos) / nullif(cast(pos_total as double), 0D) - (neg_before + neg) / nullif(cast(neg_total as double), 0D))")
+    return (
+        ladder.agg(pairs.alias("pairs"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.max(gap).alias("ks"))
+        .selectExpr("n_pos", "n_neg", "pairs / nullif(cast(n_pos as double) * n_neg, 0D) AS auc", "ks")
+        .selectExpr("n_pos", "n_neg", "auc", "2 * auc - 1 AS gini", "ks")
     )
-    return running_totals(counted, "score", ["pos", "neg"], range_splits(rows, "score"))
 
 
 def auc(scored: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
-    """One row: AUC with ties counted half, and Gini; NULL when only one class is present."""
-    pairs = F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
-    return (
-        score_ladder(scored, score, y)
-        .agg(pairs.alias("pairs"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-        .selectExpr("n_pos", "n_neg", "pairs / nullif(cast(n_pos as double) * n_neg, 0D) AS auc")
-        .withColumn("gini", 2 * F.col("auc") - 1)
-    )
+    return separation(score_ladder(scored, score, y)).drop("ks")
 
 
 def ks_statistic(scored: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
     """Largest gap between the cumulative score distributions of the two classes."""
-    gap = F.expr("abs((pos_before + pos) / nullif(cast(pos_total as double), 0D) - (neg_before + neg) / nullif(cast(neg_total as double), 0D))")
-    return score_ladder(scored, score, y).agg(F.max(gap).alias("ks"))
+    return separation(score_ladder(scored, score, y)).select("ks")
 
 
 def roc_points(scored: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
     """Points of the ROC curve from strict to lenient thresholds, starting at (0, 0)."""
-    points = score_ladder(scored, score, y).selectExpr(
+    return roc_of(score_ladder(scored, score, y))
+
+
+def roc_of(ladder: DataFrame) -> DataFrame:
+    points = ladder.selectExpr(
         "score AS threshold",
         "(neg_total - neg_before) / nullif(cast(neg_total as double), 0D) AS fpr",
         "(pos_total - pos_before) / nullif(cast(pos_total as double), 0D) AS tpr",
     )
-    spark = scored.sparkSession
-    start = spark.sql("SELECT cast(NULL AS double) AS threshold, 0D AS fpr, 0D AS tpr")
+    start = ladder.sparkSession.sql("SELECT cast(NULL AS double) AS threshold, 0D AS fpr, 0D AS tpr")
     return points.unionByName(start)

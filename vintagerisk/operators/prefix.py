@@ -86,25 +86,35 @@ def bucket_of(rank: str, total: str, k: int) -> str:
     )
 
 
+def score_ladder(scored: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
+    """One row per distinct score: rows, positives and negatives here (`n`, `pos`, `neg`), below (`_before`) and in all (`_total`).
+
+    The rows are read once; the counts per score are stored, so all that is asked of the ladder reads the store.
+    NULL and NaN scores take no part.
+    """
+    rows = scored.select(F.expr(f"nanvl(cast({score} as double), NULL)").alias("score"), F.col(y).cast("bigint").alias("y")).where("score IS NOT NULL")
+    levels = materialise(rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+    return running_totals(levels, "score", ["n", "pos", "neg"], range_splits(levels, "score"))
+
+
 def equal_count_buckets(scored: DataFrame, k: int, p: str = "p", y: str = "y", key: str = "id") -> DataFrame:
     """Split rows ordered by (p, key) into `k` buckets of equal count; returns n, sum_p, sum_y per bucket.
 
-    Rows are first counted per distinct p.  A p whose whole run of ranks falls in one
-    bucket is added as it stands; only the at most k - 1 values that straddle a boundary
-    are ranked row by row on the key, again in ranges, so even a p shared by a third of
+    Rows are read twice.  The ladder of distinct p adds a p whose whole run of ranks falls in one
+    bucket as it stands; the rows of the at most k - 1 values that straddle a boundary are stored
+    and ranked one by one on the key, again in ranges, so even a p shared by a third of
     the rows is spread over tasks.  NULL and NaN values of p take no part.
     """
-    rows = scored.select(F.expr(f"nanvl(cast({p} as double), NULL)").alias("p"), F.col(y).cast("bigint").alias("y"), F.col(key).cast("bigint").alias("key")).where("p IS NOT NULL")
-    counted = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"))
-    placed = running_totals(counted, "p", ["n"], range_splits(rows, "p")).selectExpr(
-        "p", "n", "sum_y", "n_before", "n_total",
+    placed = score_ladder(scored, p, y).selectExpr(
+        "score AS p", "n", "pos AS sum_y", "n_before", "n_total",
         f"{bucket_of('n_before', 'n_total', k)} AS first_bucket",
         f"{bucket_of('(n_before + n - 1)', 'n_total', k)} AS last_bucket",
     )
     whole = placed.where("first_bucket = last_bucket").selectExpr("first_bucket AS bucket", "n", "p * n AS sum_p", "sum_y")
 
-    split_values = placed.where("first_bucket < last_bucket").selectExpr("p", "n_before AS p_start", "n_total AS all_rows")
-    split_rows = rows.join(F.broadcast(split_values), "p").withColumn("one", F.lit(1).cast("bigint"))  # at most k - 1 values
+    rows = scored.select(F.expr(f"nanvl(cast({p} as double), NULL)").alias("p"), F.col(y).cast("bigint").alias("y"), F.col(key).cast("bigint").alias("key"))
+    split_values = placed.where("first_bucket < last_bucket").selectExpr("p", "n_before AS p_start", "n_total AS all_rows")  # at most k - 1
+    split_rows = materialise(rows.where("p IS NOT NULL").join(F.broadcast(split_values), "p").withColumn("one", F.lit(1).cast("bigint")))
     ranked = running_totals(split_rows, "key", ["one"], range_splits(split_rows, "key"), by=["p"])
     parts = ranked.selectExpr(
         f"{bucket_of('(p_start + one_before)', 'all_rows', k)} AS bucket", "one AS n", "p AS sum_p", "y AS sum_y"

@@ -18,7 +18,7 @@ from vintagerisk import params as P
 from vintagerisk.functions.numeric import dbl
 from vintagerisk.models import bootstrap, calibrate, logit, resampling
 from vintagerisk.operators import calibration_tests, diagnostics, discrimination, portfolio, scores, stability, universe
-from vintagerisk.operators.prefix import exact_quantiles
+from vintagerisk.operators.prefix import exact_quantiles, score_ladder
 from vintagerisk.sources.storage import materialise, write_csv, write_json
 
 
@@ -84,12 +84,11 @@ def _with_risk_score(panel: DataFrame) -> DataFrame:
 
 
 def _discrimination_row(name: str, scored: DataFrame, score: str, settings: Settings, interval: bool = True) -> DataFrame:
-    if interval:
-        found = bootstrap.bootstrap_auc(scored, score, "y", "group_id", settings.draws, settings.seed)
-    else:
-        found = discrimination.auc(scored, score).selectExpr("auc", "cast(NULL as double) AS lower", "cast(NULL as double) AS upper", "0L AS n_draws")
-    ks = discrimination.ks_statistic(scored, score).scalar()
-    return found.withColumn("ks", ks).selectExpr(f"'{name}' AS model", "auc", "lower", "upper", "n_draws", "2 * auc - 1 AS gini", "ks")
+    whole = discrimination.separation(score_ladder(scored, score))
+    if not interval:
+        return whole.selectExpr(f"'{name}' AS model", "auc", "cast(NULL as double) AS lower", "cast(NULL as double) AS upper", "0L AS n_draws", "gini", "ks")
+    found = bootstrap.bootstrap_auc(scored, score, "y", "group_id", settings.draws, settings.seed)
+    return found.withColumn("ks", whole.select("ks").scalar()).selectExpr(f"'{name}' AS model", "auc", "lower", "upper", "n_draws", "2 * auc - 1 AS gini", "ks")
 
 
 def run(panel: DataFrame, issuers: DataFrame, settings: Settings | None = None) -> RunResult:
