@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagerisk import params as P
+from vintagerisk.operators.codes import decode, encode
 from vintagerisk.operators.facts import tag_marks
 
 ASSETS_BIT = 1 << P.FIELDS.index("total_assets")
@@ -60,6 +61,7 @@ def visible_summary(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | Non
 
 
 VINTAGE_COLUMNS = ["value", "tag", "form", "fiscal_year", "source"]
+WORD_COLUMNS = ["tag", "form", "source"]
 
 
 def newest_version() -> list[Column]:
@@ -68,13 +70,19 @@ def newest_version() -> list[Column]:
     return [F.max("filed").alias("filed"), *last]
 
 
-def latest_vintage(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None) -> DataFrame:
+def latest_vintage(facts: DataFrame, obs: DataFrame, dates: list[dt.date] | None = None, book: DataFrame | None = None) -> DataFrame:
     """Newest version of each (field, period) per observation; each column keeps its last non-null.
 
     Versions collapse to one row per epoch before the issuer join, so each observation
-    meets exactly one row per visible (field, period).
+    meets exactly one row per visible (field, period).  With a code book of tag, form and
+    source (`codes.code_book`) they collapse in a hash aggregate; without one strings are sorted.
     """
-    return vintage_of_versions(with_epoch(facts, obs, dates).groupBy("cik", "field", "period_end", "epoch").agg(*newest_version()), obs)
+    seen = with_epoch(facts, obs, dates)
+    if book is not None:
+        seen = encode(seen, WORD_COLUMNS, book)
+    versions = seen.groupBy("cik", "field", "period_end", "epoch").agg(*newest_version())
+    found = vintage_of_versions(versions, obs)
+    return found if book is None else decode(found, WORD_COLUMNS, book)
 
 
 def vintage_of_versions(versions: DataFrame, obs: DataFrame) -> DataFrame:

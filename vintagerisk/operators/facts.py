@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vintagerisk import params as P
 from vintagerisk.functions.numeric import no_nan
+from vintagerisk.operators.codes import decode, encode
 
 FACT_KEY = ["cik", "field", "period_end", "filed"]
 FACT_COLUMNS = ["cik", "source", "field", "period_end", "filed", "form", "fiscal_year", "value", "tag"]
@@ -25,21 +26,21 @@ def tag_marks(tag: Column) -> Column:
     return F.when(tag.isNotNull(), marks.otherwise(0))
 
 
-def resolve_tag_preference(raw: DataFrame) -> DataFrame:
+def resolve_tag_preference(raw: DataFrame, book: DataFrame | None = None) -> DataFrame:
     """One fact per (issuer, field, period, filing date): the tag of best rank.
 
     `row_key` (non-negative, below 2**60) breaks ties between equal ranks.  Rank and key
     are packed into one long so each attribute is a plain `min_by`; attributes a query
     does not read are pruned, and map-side combine keeps a hot issuer from piling up.
+    With a code book of form and tag no row is sorted, also where these are read.
     """
     order = F.shiftleft(F.col("tag_rank").cast("bigint"), 60) + F.col("row_key")
     kept = [c for c in FACT_COLUMNS if c not in FACT_KEY + ["source"] and c in raw.columns]
-    return (
-        raw.withColumn("pick", order)
-        .withColumn("marks", tag_marks(F.col("tag")))
-        .groupBy(*FACT_KEY, "source")
-        .agg(*[F.min_by(c, "pick").alias(c) for c in kept + ["marks"]])
-    )
+    words = [c for c in ("form", "tag") if c in kept]
+    marked = raw.withColumn("pick", order).withColumn("marks", tag_marks(F.col("tag")))
+    coded = marked if book is None else encode(marked, words, book)
+    picked = coded.groupBy(*FACT_KEY, "source").agg(*[F.min_by(c, "pick").alias(c) for c in kept + ["marks"]])
+    return picked if book is None else decode(picked, words, book)
 
 
 REQUIRED_COLUMNS = {"cik", "field", "period_end", "value", "filed"}

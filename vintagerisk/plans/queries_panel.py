@@ -27,7 +27,7 @@ def q_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_tag_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = tape.facts(spark, sf_dir).select("cik", "field", "period_end", "filed", "form", "fiscal_year", "value", "tag")
+    facts = tape.facts(spark, sf_dir, book=tape.fact_words(spark, sf_dir)).select("cik", "field", "period_end", "filed", "form", "fiscal_year", "value", "tag")
     return tidy(facts, value=4)
 
 
@@ -39,7 +39,8 @@ def q_visible_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_latest_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with gaps: a newest row without a value keeps the older value under the newer date."""
-    vintage = asof.latest_vintage(tape.facts(spark, sf_dir, null_values=True), observations(spark, sf_dir), GRID)
+    book = tape.fact_words(spark, sf_dir)
+    vintage = asof.latest_vintage(tape.facts(spark, sf_dir, True, book), observations(spark, sf_dir), GRID, book)
     return tidy(vintage.select("cik", "as_of", "field", "period_end", "filed", "value", "tag", "form"), value=4)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vintagerisk import params as P
 from vintagerisk.functions.numeric import dbl, num
+from vintagerisk.operators.codes import code_book
 from vintagerisk.operators.facts import resolve_tag_preference
 
 WINDOW = (dt.date(1996, 1, 1), dt.date(2002, 12, 31))
@@ -86,8 +87,13 @@ def facts_raw(spark: SparkSession, sf_dir: str, null_values: bool = False) -> Da
     )
 
 
-def facts(spark: SparkSession, sf_dir: str, null_values: bool = False) -> DataFrame:
-    return resolve_tag_preference(facts_raw(spark, sf_dir, null_values))
+def facts(spark: SparkSession, sf_dir: str, null_values: bool = False, book: DataFrame | None = None) -> DataFrame:
+    return resolve_tag_preference(facts_raw(spark, sf_dir, null_values), book)
+
+
+def fact_words(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """Code book of the words that facts repeat."""
+    return code_book(facts_raw(spark, sf_dir), ["tag", "form", "source"])
 
 
 def issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
