@@ -114,6 +114,28 @@ def test_leave_one_issuer_out_is_exact(rows, panel_pdf, batch):
         assert got.loc[list(zip(test["ticker"], test["as_of"]))].to_numpy() == pytest.approx(expected, abs=1e-7)
 
 
+def test_left_out_fits_share_their_sums(spark, monkeypatch):
+    """Ties, gaps, an empty feature and values between two models' bounds; no sum is taken model by model but for the whole fit."""
+    rng = np.random.default_rng(4)
+    n, names = 1200, ["smooth", "heavy", "tied", "gaps", "empty"]
+    x = np.c_[rng.normal(size=n), rng.standard_cauchy(n), rng.integers(0, 4, n), np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)), np.full(n, np.nan)]
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - x[:, 0]))).astype(int)
+    issuer = rng.integers(0, 300, n)
+    data = [(f"T{g}", int(k), int(g), int(t), *(None if np.isnan(v) else float(v) for v in r)) for k, (g, t, r) in enumerate(zip(issuer, y, x, strict=True))]
+    rows = spark.createDataFrame(data, "ticker string, as_of int, group_id long, y int, " + ", ".join(f"{f} double" for f in names))
+    expected = {}
+    for g in (0, 17, 299):
+        held = rows.withColumn("hold", F.array((F.col("group_id") == g).cast("int")))
+        scored = logit.out_of_fold(held, logit.fit_models(held, [(0, 1)], names), resampling.KEYS).where("n_models > 0")
+        expected |= {r.as_of: r.raw_pd for r in scored.collect()}
+    plain, asked = logit._summed, []
+    monkeypatch.setattr(logit, "_summed", lambda r, f, models, *rest: asked.append(len(models)) or plain(r, f, models, *rest))
+    got = {r.as_of: r.raw_pd for r in resampling.leave_one_issuer_out(rows, batch=200, features=names).collect()}
+    assert max(asked) == 1
+    assert len(got) == n
+    assert [got[k] for k in expected] == pytest.approx(list(expected.values()), abs=1e-9)
+
+
 def test_out_of_time(rows, panel_pdf):
     scored, _ = resampling.out_of_time(rows, 2014)
     got = scored.toPandas().set_index(["ticker", "as_of"])["raw_pd"]
