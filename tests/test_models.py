@@ -331,6 +331,23 @@ def test_boosted_models_of_all_folds_equal_plain_boosting(spark, rows, panel_pdf
     assert got.reindex(want.index).to_numpy() == pytest.approx(want.to_numpy(), abs=1e-6)
 
 
+def test_boosting_fills_the_cores(spark, rows, monkeypatch):
+    """Few rows with many models are cut into parts of the models; the trees are those of one part."""
+    assert histogram._layout(35_000, 100, 12, 100_000) == (1, 12)
+    assert histogram._layout(500, 100, 12, 100_000) == (1, 1)
+    slices, parts = histogram._layout(2_000_000, 100, 12, 100_000)
+    assert (slices, parts) == (20, 1)
+    names = P.FEATURES[:3]
+    once, _ = resampling.boosted_oof(rows, n_folds=2, repeats=2, features=names, rounds=4, bins=16, refresh=2)
+    monkeypatch.setattr(histogram, "ROW_MODELS_PER_TASK", 150)
+    for rows_per_task in (1000, 80):
+        layout = histogram._layout(144, 4, 4, rows_per_task)
+        assert layout[0] * layout[1] > 1 and layout[1] > 1
+        parted, _ = resampling.boosted_oof(rows, n_folds=2, repeats=2, features=names, rounds=4, bins=16, refresh=2, rows_per_task=rows_per_task)
+        key = lambda df: df.toPandas().sort_values(["ticker", "as_of"])["gbt_pd"].to_numpy()
+        assert key(parted) == pytest.approx(key(once), abs=1e-9)
+
+
 def test_boosting_learns_which_side_missing_values_take(spark):
     data = [(i, None if i % 2 else float(i % 7), int(i % 2 == 1 or i % 7 == 6)) for i in range(200)]
     df = spark.createDataFrame(data, "group_id long, x double, y int").selectExpr("*", "array(-1) AS hold", "'t' AS ticker", "current_date() AS as_of")
