@@ -35,7 +35,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, vocabulary("word_bpe_49k.json"), end_id=0)
+    # smaller memories than the operator's own: the executors still hold what the stages before took
+    return packing.packed_documents(docs, vocabulary("word_bpe_49k.json"), end_id=0, known=150_000, slice_bytes=1 << 20)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", secrets), ("pack", pack)]

@@ -189,6 +189,12 @@ def test_partitions_with_gaps_exchange(spark):
     assert len(out) == 600 and packing.lower_bound(np.array(lengths), 100) <= sequences_hold(out, 100) <= first
 
 
+def test_pieces_with_small_memories_are_the_same(spark):
+    docs, told = documents(spark, ROWS), vocabulary("word_bpe_49k.json")
+    listed = lambda **own: sorted((tuple(r)[1:] for r in packing.pieces(docs, told, 0, **own).collect()), key=str)
+    assert listed(known=50, slice_bytes=64) == listed()
+
+
 @pytest.mark.parametrize("rows", [ROWS, [], [(None, None), (None, None)]])
 def test_packing_places_every_token(spark, rows):
     vocab = vocabulary("word_bpe_49k.json")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -56,3 +57,11 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22)
             to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def give_back() -> None:
+    """At the end of a task: hand freed memory back to the system, since Spark keeps idle Python workers for the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk.llm.components import components
-from vintagerisk.llm.frames import hex_sha256, land, partitions, pick
+from vintagerisk.llm.frames import give_back, hex_sha256, land, partitions, pick
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 BANDS, PER_BAND, STEP = 40, 5, 20
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id"), part.column("words_id"), pa.array([None if m is None else m.tobytes() for m in made], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     ["doc_id", "words_id", "minima", "bands"],
                 )
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "words", hex_sha256(F.col("words")).alias("words_id")).mapInArrow(run, f"doc_id {kind}, words_id string, minima binary, bands array<long>")
@@ -195,6 +196,7 @@ def compared(members: DataFrame, threshold: Fraction, tolerance: float) -> DataF
             if found := links([r[3:] for r in rows], i, j):
                 row, n, least = zip(*found, strict=True)
                 yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "n_links": pa.array(n, pa.int64()), "least": pa.array(least, pa.int64())})
+        give_back()
 
     dealt = members.select("root", "i", "j", "block", "row", "minima", "words").repartition(partitions(members.sparkSession), "root", "i", "j")
     return dealt.sortWithinPartitions("root", "i", "j").mapInArrow(run, "row long, n_links long, least long")

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintagerisk.llm.frames import land, pick
+from vintagerisk.llm.frames import give_back, land, pick
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -251,5 +251,7 @@ def identified(docs: DataFrame, model: Model, least: float = 0.3, text: str = "t
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(text)]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintagerisk.llm.chunks import LibraryEncoder, loaded
-from vintagerisk.llm.frames import land, pick
+from vintagerisk.llm.frames import give_back, land, pick
 
 CAPACITY = 2048
 PIECES = "key long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -80,14 +80,22 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (a piece's own number), doc_id, piece, start, length, ids_crc32 of all pieces; landed, so that keys stay."""
+def pieces(
+    docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
+    known: int = 500_000, slice_bytes: int = 1 << 22,
+) -> DataFrame:
+    """key (a piece's own number), doc_id, piece, start, length, ids_crc32 of all pieces; landed, so that keys stay.
+
+    known, slice_bytes: chunks a Python worker remembers and text it works on at once, the bounds of its memory.
+    """
     told = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # the size of a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = loaded(LibraryEncoder, told.value)
+        encoder.limit = known
         for batch in batches:
             numbers = batch.column(0).to_pylist()
-            for at, (offsets, ids) in loaded(LibraryEncoder, told.value).batches(batch.column(1)):
+            for at, (offsets, ids) in encoder.batches(batch.column(1), slice_bytes):
                 rows = []
                 for i in range(len(offsets) - 1):
                     own = np.append(ids[offsets[i] : offsets[i + 1]], end_id).astype("<u4")
@@ -97,6 +105,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CA
                 columns = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     made = rows.mapInArrow(run, PIECES.removeprefix("key long, "))
@@ -154,7 +163,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.when(F.col("round") < 0, -1 - F.col("bin")).otherwise(packed).alias("sequence_id"), "offset")
 
 
-def packed_documents(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def packed_documents(
+    docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
+    known: int = 500_000, slice_bytes: int = 1 << 22,
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document stands."""
-    made = pieces(docs, tokenizer_json, end_id, capacity, doc_id, text)
+    made = pieces(docs, tokenizer_json, end_id, capacity, doc_id, text, known, slice_bytes)
     return made.join(pack(made.select("key", "length"), capacity), "key").drop("key")
