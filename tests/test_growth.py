@@ -44,3 +44,8 @@ def test_documents_hold_every_line_of_an_issuer_and_filing_once(spark):
     docs = [json.loads(r.document) for r in tape.company_documents(spark, SF).collect()]
     sizes = Counter((d["cik"], sum(len(e) for tags in d["facts"].values() for b in tags.values() for e in b["units"].values())) for d in docs)
     assert sizes == Counter((cik, n) for (cik, _), n in want.items())
+
+
+def test_annual_span_reads_the_documents_once(spark):
+    plan = plan_of(entrypoint.queries()["q_annual_span"](spark, SF))
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 1

@@ -23,10 +23,9 @@ def q_facts_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_annual_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = companyfacts.known_entries(companyfacts.explode_entries(tape.company_documents(spark, sf_dir)))
-    flows = entries.where("is_duration")
-    kept = companyfacts.annual_only(flows).groupBy("field").agg(F.count("*").alias("kept"))
-    seen = flows.groupBy("field").agg(F.count("*").alias("seen"), F.count("start").alias("with_start"))
-    return seen.join(kept, "field", "left").select("field", "seen", "with_start", F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"))
+    return entries.where("is_duration").groupBy("field").agg(
+        F.count("*").alias("seen"), F.count("start").alias("with_start"), F.count_if(companyfacts.is_annual()).alias("kept")
+    )
 
 
 @query

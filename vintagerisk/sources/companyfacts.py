@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,9 +70,14 @@ def known_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+def is_annual() -> Column:
+    """Flow values must span about a year."""
+    return ~F.col("is_duration") | F.col("span_days").between(*P.ANNUAL_SPAN_DAYS)
+
+
 def annual_only(entries: DataFrame) -> DataFrame:
-    """Flow values must span about a year; quarterly values of the same tag are dropped."""
-    return entries.where(~F.col("is_duration") | F.col("span_days").between(*P.ANNUAL_SPAN_DAYS))
+    """Quarterly values of the same tag are dropped."""
+    return entries.where(is_annual())
 
 
 def scan_company_facts(documents: DataFrame, source: str = "filings") -> DataFrame:
