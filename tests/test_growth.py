@@ -51,7 +51,7 @@ def test_annual_span_reads_the_documents_once(spark):
     assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 1
 
 
-@pytest.mark.parametrize("name", ["q_winsorise"])
+@pytest.mark.parametrize("name", ["q_winsorise", "q_exposures", "q_cross_section"])
 def test_a_panel_read_twice_is_built_once(spark, name):
     """What a query still has to do after its own quantiles starts from stored rows, not from the facts."""
     assert "l_extendedprice" not in plan_of(entrypoint.queries()[name](spark, SF))
