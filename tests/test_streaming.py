@@ -6,6 +6,7 @@ import random
 import pytest
 
 from vintagerisk.operators import asof
+from vintagerisk.operators.codes import code_book, decode
 from vintagerisk.sources import storage
 from vintagerisk.streaming import vintages
 
@@ -83,3 +84,25 @@ def test_a_landing_without_facts_writes_nothing(spark, places):
     vintages.heartbeat(spark, places["folder"], DATES[0])
     update(spark, places)
     assert vintages.read_versions(spark, places["target"]).count() == 0
+
+
+def test_a_book_of_words_gives_the_same_versions_without_a_sort(spark, places):
+    facts = history(3)
+    book = code_book(spark.createDataFrame(facts, storage.FACT_SCHEMA), asof.WORD_COLUMNS)
+    for part in (facts[::2], facts[1::2]):
+        land(spark, places, part)
+    vintages.heartbeat(spark, places["folder"], DATES[-1] + dt.timedelta(days=LATENESS + 1))
+    update(spark, places, book=book)
+    versions = vintages.read_versions(spark, places["target"])
+    got = decode(asof.vintage_of_versions(versions, observations(spark)), asof.WORD_COLUMNS, book)
+    assert rows_of(got) == rows_of(asof.latest_vintage(spark.createDataFrame(facts, storage.FACT_SCHEMA), observations(spark), DATES))
+    plain = vintages.version_stream(spark.createDataFrame(facts, storage.FACT_SCHEMA), DATES, LATENESS, book)
+    assert "SortAggregate" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_word_that_is_not_in_the_book_stops_the_stream(spark, places):
+    facts = history(3)
+    book = code_book(spark.createDataFrame(facts, storage.FACT_SCHEMA).where("tag = 'T1' OR tag IS NULL"), asof.WORD_COLUMNS)
+    land(spark, places, facts)
+    with pytest.raises(Exception, match="no code for tag"):
+        update(spark, places, book=book)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vintagerisk import params as P
 from vintagerisk.functions.numeric import tidy
 from vintagerisk.operators import asof, diagnostics, labels, scores
+from vintagerisk.operators.codes import decode
 from vintagerisk.operators.panel import build_panel
 from vintagerisk.plans.core import issuer_panel, issuer_snapshots, observations, query
 from vintagerisk.sources import storage, tape
@@ -52,20 +53,19 @@ def q_stream_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest vintages once more, from facts that land in four deliveries, each up to 120 days after its filing."""
     waits = [(later - day).days for day, later in zip(GRID, GRID[1:], strict=False)]
     lateness = ARRIVAL_DAYS + max(waits) + 1
-    folder, target, checkpoint = (storage.scratch_path(spark, name) for name in ("landing", "versions", "progress"))
-    arrived = tape.facts(spark, sf_dir, null_values=True).withColumn(
-        "arrives", F.expr(f"date_add(filed, pmod(hash(cik, field, period_end, filed), {ARRIVAL_DAYS}))")
-    )
-    feed = storage.materialise(arrived)
-    cuts = [None, *[GRID[len(GRID) * k // 4] for k in (1, 2, 3)], None]
-    for after, until in zip(cuts, cuts[1:], strict=False):
-        delivery = feed if after is None else feed.where(F.col("arrives") > F.lit(after))
-        delivery = delivery if until is None else delivery.where(F.col("arrives") <= F.lit(until))
-        delivery.select(*storage.FACT_SCHEMA.fieldNames()).write.mode("append").parquet(folder)
-        if until is None:
+    feed, folder, target, checkpoint = (storage.scratch_path(spark, name) for name in ("feed", "landing", "versions", "progress"))
+    book = tape.fact_words(spark, sf_dir)
+    arrives = F.expr(f"date_add(filed, pmod(hash(cik, field, period_end, filed), {ARRIVAL_DAYS}))")
+    cuts = [GRID[len(GRID) * k // 4] for k in (1, 2, 3)]
+    delivery = sum(F.coalesce(arrives > F.lit(day), F.lit(False)).cast("int") for day in cuts)
+    facts = tape.facts(spark, sf_dir, True, book).select(*storage.FACT_SCHEMA.fieldNames())
+    facts.withColumn("delivery", delivery).write.partitionBy("delivery").parquet(feed)
+    for k in range(len(cuts) + 1):
+        spark.read.parquet(feed).where(F.col("delivery") == k).select(*storage.FACT_SCHEMA.fieldNames()).write.mode("append").parquet(folder)
+        if k == len(cuts):
             vintages.heartbeat(spark, folder, GRID[-1] + dt.timedelta(days=lateness + 1))
-        vintages.update_versions(spark, folder, target, checkpoint, GRID, lateness)
-    out = asof.vintage_of_versions(vintages.read_versions(spark, target), observations(spark, sf_dir))
+        vintages.update_versions(spark, folder, target, checkpoint, GRID, lateness, book=book)
+    out = decode(asof.vintage_of_versions(vintages.read_versions(spark, target), observations(spark, sf_dir)), asof.WORD_COLUMNS, book)
     return tidy(out.select("cik", "as_of", "field", "period_end", "filed", "value", "tag", "form"), value=4)
 
 
