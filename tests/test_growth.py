@@ -55,3 +55,14 @@ def test_annual_span_reads_the_documents_once(spark):
 def test_a_panel_read_twice_is_built_once(spark, name):
     """What a query still has to do after its own quantiles starts from stored rows, not from the facts."""
     assert "l_extendedprice" not in plan_of(entrypoint.queries()[name](spark, SF))
+
+
+def test_the_book_of_words_needs_no_orders(spark, monkeypatch):
+    read = []
+    table = tape.table
+    monkeypatch.setattr(tape, "table", lambda spark, sf_dir, name: read.append(name) or table(spark, sf_dir, name))
+    book = tape.fact_words(spark, SF)
+    assert read == ["lineitem"]
+    known = {(r.name, r.word) for r in book.collect()}
+    facts = tape.facts_raw(spark, SF).select("tag", "form", "source").distinct().collect()
+    assert {(c, r[c]) for r in facts for c in ("tag", "form", "source")} <= known
