@@ -52,6 +52,16 @@ def test_backtracking_gives_the_ids_of_merging():
     assert decode(np.array(cut, np.int64)) == library.decode(cut, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_over_a_line_end_do_not_take_the_whole_path(name):
+    encoder = LibraryEncoder(vocabulary(name))
+    whole, seen = encoder._whole_path, []
+    encoder._whole_path = lambda chunks: [seen.extend(chunks), whole(chunks)][1]
+    texts = ["a thannt.\nWhlynt b", "its ÉCLAT!?\nÃñ c", "don't.\n's x-'s.\nY z", "a.\n\nB c", "a²;\nÑandú. z", "a.\n\u0301b q", "a.\nb1 c.\n d", "ß.\n\tK l,m\nn'\nll o", "e.\nÃ\u0303 ÀÖØöøÿ×÷ f", "w>\n\u0338x y>\u0338"]
+    assert encoded(encoder, texts) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {" thannt.\nWhlynt", " ÉCLAT!?\nÃñ"} & set(seen)
+
+
 def test_a_small_memory_changes_nothing():
     vocab = vocabulary("byte_bpe_50k.json")
     small = bpe.BacktrackingEncoder(vocab)
