@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entrypoint
+from vintagerisk.plans import core
 from vintagerisk.sources import tape
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,13 @@ def test_the_book_of_words_needs_no_orders(spark, monkeypatch):
     known = {(r.name, r.word) for r in book.collect()}
     facts = tape.facts_raw(spark, SF).select("tag", "form", "source").distinct().collect()
     assert {(c, r[c]) for r in facts for c in ("tag", "form", "source")} <= known
+
+
+def test_the_panel_deals_wide_rows_only_once_they_are_few(spark):
+    """The aggregate of all fields of a period takes its rows from one partition; what it sums up in part is not shuffled."""
+    with settings(spark, spark__sql__adaptive__enabled=False, spark__sql__autoBroadcastJoinThreshold=-1):
+        lines = plan_of(core.issuer_panel(spark, SF)).splitlines()
+    wide = [k for k, line in enumerate(lines) if "HashAggregate" in line and "bit_or" in line]
+    assert len(wide) == 2 and "Exchange" not in "".join(lines[wide[0] : wide[1]])
+    dealt = [m for line in lines for m in re.findall(r"Exchange hashpartitioning\((\w+)#\w+, (\w+)#\w+(?:, (\w+)#\w+)?, \d", line)]
+    assert dealt == [("cik", "period_end", ""), ("cik", "field", "period_end")]
