@@ -82,6 +82,24 @@ def test_bounds_of_every_training_set_are_the_plain_quantiles(spark):
         assert (fit.low[m, 3], fit.middle[m, 3], fit.high[m, 3]) == (-np.inf, 0, np.inf)
 
 
+@pytest.mark.parametrize("at_once", [0, 5, 100_000])
+def test_ranks_among_ties_need_no_rows_and_cells_of_any_size_agree(spark, monkeypatch, at_once):
+    rng = np.random.default_rng(5)
+    x = np.c_[rng.integers(0, 2, 4000).astype(float), rng.normal(size=4000)]
+    hold = np.c_[rng.integers(0, 5, 4000), rng.integers(0, 5, 4000)]
+    rows = spark.createDataFrame([(*map(float, v), 0, h.tolist()) for v, h in zip(x, hold, strict=True)], "tied double, smooth double, y int, hold array<int>")
+    sent, deal = [], logit._rows_of_cells
+    monkeypatch.setattr(logit, "_rows_of_cells", lambda rows, features, edges, cells, *more: [sent.extend(cells), deal(rows, features, edges, cells, *more)][1])
+    monkeypatch.setattr(logit, "SORTED_AT_ONCE", at_once)
+    models = [(r, f) for r in range(2) for f in range(5)]
+    fit = logit.quantile_bounds(rows, ["tied", "smooth"], models)
+    assert sent and all(j == 1 for j, _ in sent)
+    for m, (r, f) in enumerate(models):
+        wanted = np.quantile(x[hold[:, r] != f], [0.01, 0.5, 0.99], axis=0)
+        assert (fit.low[m], fit.high[m]) == (pytest.approx([-np.inf if a >= b else a for a, b in zip(wanted[0], wanted[2])], abs=1e-12), pytest.approx(wanted[2], abs=1e-12))
+        assert fit.middle[m] == pytest.approx(wanted[1], abs=1e-12)
+
+
 def test_out_of_fold_matches_per_fold_fits(spark, rows, panel_pdf):
     scored, _ = resampling.grouped_oof(rows, n_folds=3, repeats=2)
     got = scored.toPandas().set_index(["ticker", "as_of"])["raw_pd"]
